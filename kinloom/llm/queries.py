@@ -9,13 +9,23 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .media import read_headers, read_media, write_media
+from .packing import pack
 from .quality import judge_quality
 from .urls import judge_urls
 from .warc import read_warc, records, write_warc
+from .wavelet import read_tokens, write_tokens
 
+END_ID = 2
+SEQUENCE_TOKENS = 1024
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_media(table(spark, sf_dir, "documents"))
     return read_media(read_headers(index)).withColumnRenamed("id", "doc_id").drop("shard", "offset")
@@ -25,6 +35,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(read_warc(write_warc(table(spark, sf_dir, "pages"))))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "words", END_ID))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -35,11 +49,17 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), "bytes", END_ID, SEQUENCE_TOKENS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op3_warc": op3_warc,
+    "op6_token_files": op6_token_files,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
