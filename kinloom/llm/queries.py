@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .media import read_headers, read_media, write_media
+from .near_dup import near_duplicates
 from .packing import pack
 from .quality import judge_quality
 from .urls import judge_urls
@@ -35,6 +36,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(read_warc(write_warc(table(spark, sf_dir, "pages"))))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, rows=9, bands=54)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "words", END_ID))
 
@@ -56,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op3_warc": op3_warc,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_token_files": op6_token_files,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
