@@ -12,6 +12,7 @@ from .media import read_headers, read_media, write_media
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import judge_quality
+from .substring import dedup_substrings
 from .urls import judge_urls
 from .warc import read_warc, records, write_warc
 from .wavelet import read_tokens, write_tokens
@@ -36,6 +37,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(read_warc(write_warc(table(spark, sf_dir, "pages"))))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13, rejoin=True)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85, rows=9, bands=54)
 
@@ -61,6 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op3_warc": op3_warc,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_files": op6_token_files,
     "op8_quality_rules": op8_quality_rules,
