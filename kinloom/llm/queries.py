@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .html import extract_text
 from .media import read_headers, read_media, write_media
+from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality import judge_quality
@@ -33,6 +35,11 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_media(read_headers(index)).withColumnRenamed("id", "doc_id").drop("shard", "offset")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return found.select("doc_id", "source", "block", "slot", "position")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(read_warc(write_warc(table(spark, sf_dir, "pages"))))
 
@@ -50,6 +57,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "words", END_ID))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judge_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -66,10 +77,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op2_mix_sources": op2_mix_sources,
     "op3_warc": op3_warc,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_token_files": op6_token_files,
+    "op7_html_text": op7_html_text,
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
