@@ -99,7 +99,7 @@ def mix_sources(
     keyed = named.withColumn("__key", key).withColumn("__chunk", chunk)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("__name").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = keyed.groupBy("__name", "__chunk").agg(F.count("*").alias("n")).select("__name", "__chunk", before.alias("__before"))
-    ties = [F.col(id_col), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])]
+    ties = [F.col(id_col), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if c not in {"block", "slot", "position"}])]
     within = F.row_number().over(Window.partitionBy("__name", "__chunk").orderBy("__key", *ties)) - 1
     number = keyed.withColumn("__within", within).join(groups, ["__name", "__chunk"]).withColumn("__n", F.col("__before") + F.col("__within"))
     share = F.broadcast(spark.createDataFrame(list(shares.items()), "__name string, __a long"))
