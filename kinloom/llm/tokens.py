@@ -1,21 +1,54 @@
-"""Token ids by the tokenizers library, with a memo of the pieces between which a tokenizer can never merge.
+"""Token ids by the tokenizers library, with memos of the pieces and units between which a tokenizer can never merge.
 
-Both vocabularies split a text before they merge, and never across the places used here: a byte-level one starts a new
-unit at every space that is followed by a non-space; a word-level one drops white space. So a text's ids are its pieces' ids, one
-after the other, and each distinct piece is encoded once. The memo is emptied when it is full, so memory is bounded.
+Both vocabularies split a text before they merge. A text is first cut into pieces at white space (a byte-level vocabulary starts
+a new unit at every space that is followed by a non-space; a word-level one drops white space), and a text's ids are its pieces'
+ids, one after the other. A piece of Latin letters that the memo lacks is cut into the vocabulary's units by its published pattern,
+and each unit goes to the library's BPE model once; other pieces, and texts with odd white space, are encoded whole. The memos are emptied when they are full, so
+memory is bounded.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
+from itertools import chain
 
-import numpy as np
+import regex
 
-#: White space to Python only, or two in a row: texts for the careful path.
+#: White space to Python only, or two in a row: such texts are encoded whole.
 _ODD_WORD_SPACE = re.compile("[\x1c-\x1f]")
 _ODD_BYTE_SPACE = re.compile(r" (?=\s|\Z)")
-_BYTE_PIECES = re.compile(r"(?= \S)")
+_LATIN = re.compile("[\n\x21-\x7e\xa1-ɏ]*")
+#: Fixed values of the two vocabularies: their patterns of units.
+UNITS = {
+    "bytes": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "words": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
+def byte_symbols() -> dict[int, int]:
+    """The printable character that stands for each byte: itself, or for the others the next free ones from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+class _Units(dict):
+    """The ids of each unit, remembered. gaps: a space has no ids."""
+
+    def __init__(self, model, gaps: bool) -> None:
+        super().__init__()
+        self.model, self.gaps, self.symbols = model, gaps, byte_symbols()
+
+    def __missing__(self, unit: str) -> bytes:
+        if unit == " " and self.gaps:
+            found = b""
+        else:
+            shown = unit.encode().decode("latin-1").translate(self.symbols)
+            found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        self[unit] = found
+        return found
 
 
 class Encoder:
@@ -24,7 +57,7 @@ class Encoder:
     kind: ``bytes`` (byte-level, white space kept) or ``words`` (white space dropped).
     """
 
-    def __init__(self, path: str, kind: str, end_id: int, memo: int = 300_000, long: int = 64) -> None:
+    def __init__(self, path: str, kind: str, end_id: int, memo: int = 500_000, long: int = 64) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -35,30 +68,61 @@ class Encoder:
         self.kind, self.limit, self.long = kind, memo, long
         self.end = int(end_id).to_bytes(4, "little")
         self.memo: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
+        self.units = _Units(self.tokenizer.model, kind == "words")
+        self.unit_pattern = regex.compile(UNITS[kind] + ("| " if kind == "words" else ""))
+
+    def _alone(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; byte-level pieces stand after a space."""
+        before = " " if self.kind == "bytes" else ""
+        plain = [p for p in pieces if p and len(p) <= self.long and _LATIN.fullmatch(p)]
+        found = dict(zip(plain, self._line(" " + " ".join(plain), len(plain)), strict=True)) if plain else {}
+        return [found[p] if p in found else self._alone(before + p) for p in pieces]
+
+    def _line(self, line: str, n: int) -> list[bytes]:
+        """The ids between the spaces of a line of n pieces."""
+        if self.kind == "words" and not line.isascii():
+            line = self.tokenizer.normalizer.normalize_str(line)
+        elif self.kind == "words":
+            line = line.lower()
+        units = self.unit_pattern.findall(line)
+        starts = [k for k, u in enumerate(units) if u[0] == " "]
+        data = list(map(self.units.__getitem__, units))
+        if len(starts) != n:
+            raise AssertionError("a piece was split at other places than its spaces")
+        return [b"".join(data[a:b]) for a, b in zip(starts, [*starts[1:], len(units)], strict=True)]
+
+    def _split(self, text: str) -> list[str] | None:
+        """A text's pieces, None if it must be encoded whole. Byte-level pieces but the first lack the space before them."""
         if self.kind == "words":
-            return [text] if _ODD_WORD_SPACE.search(text) else text.split()
-        if _ODD_BYTE_SPACE.search(text):
-            return _BYTE_PIECES.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
+            return None if _ODD_WORD_SPACE.search(text) else text.split()
+        return None if _ODD_BYTE_SPACE.search(text) else text.split(" ")
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        parts = [self.pieces(t or "") for t in texts]
+        texts = [t or "" for t in texts]
+        split = [self._split(t) for t in texts]
+        heads = [b""] * len(texts)
+        if self.kind == "bytes":  # the first piece has no space before it
+            for k, parts in enumerate(split):
+                if parts is not None:
+                    heads[k] = self._alone(parts[0]) if parts[0] else b""
+                    del parts[0]
         if len(self.memo) > self.limit:
             self.memo = {}
+        if len(self.units) > self.limit:
+            self.units.clear()
         memo, once = self.memo, {}
-        missing = list({p for ps in parts for p in ps if p not in memo})
+        missing = list(set(chain.from_iterable(p for p in split if p is not None)).difference(memo))
         for at in range(0, len(missing), 50_000):
             some = missing[at : at + 50_000]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, "<u4").tobytes()
+            for piece, ids in zip(some, self._pieces(some), strict=True):
                 (memo if len(piece) <= self.long else once)[piece] = ids
         if once:
             memo = _Both(memo, once)
         get = memo.__getitem__
-        return [b"".join(map(get, ps)) + self.end for ps in parts]
+        return [self._alone(t) + self.end if p is None else b"".join([head, *map(get, p), self.end]) for t, head, p in zip(texts, heads, split, strict=True)]
 
 
 class _Both(dict):
