@@ -48,6 +48,22 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that an operator needs only until its result is stored; clear() deletes their folder."""
+
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.root = spark, new_path(spark, what)
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        path = f"{self.root}/{what}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words(text: Column) -> Column:
     """Words of a text in order; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAPS), lambda w: w != "")

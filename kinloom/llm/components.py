@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,14 +27,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link to another; component is its smallest node.
 
-    Every step's links are written to the shared folder; the number of steps grows with the logarithm of the longest
-    chain. Null ends and self-links are left out. No node's links are gathered in one task: sums are partial before the shuffle and hot nodes split in the join.
+    Every step's links are written to the shared folder, and the step's before deleted; the number of steps grows with the
+    logarithm of the longest chain. Null ends and self-links are left out. No node's links are gathered in one task: sums are partial
+    before the shuffle and hot nodes split in the join.
     """
-    edges = stored(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct(), "links")
+    spark = links.sparkSession
+    held = Scratch(spark, "links")
+    edges = held.stored(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct(), "links")
     mark = None
     while True:
-        edges = stored(_small_star(stored(_large_star(edges), "large-star")), "small-star")
+        large, small = Scratch(spark, "large-star"), Scratch(spark, "small-star")
+        edges = small.stored(_small_star(large.stored(_large_star(edges), "step")), "step")
+        large.clear()
+        held.clear()
+        held = small
         now = edges.agg(F.count("*").alias("n"), F.sum("b").alias("sb"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == mark:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b")).distinct()
+            break
         mark = now
+    found = stored(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b")).distinct(), "components")
+    held.clear()
+    return found

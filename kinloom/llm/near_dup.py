@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
+from .common import Scratch, partitions, stored
 from .components import components
 
 U64 = np.uint64
@@ -160,14 +160,14 @@ def shingle_docs(docs: DataFrame, width: int, percent: int, rows: int, bands: in
     return picked.mapInPandas(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def candidate_groups(classes: DataFrame) -> DataFrame:
+def candidate_groups(classes: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) over classes that share a band, directly or by others."""
     rows = classes.select("rep", F.explode("bands").alias("band"))
-    met = stored(rows.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").drop("last"), "bands")
+    met = scratch.stored(rows.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").drop("last"), "bands")
     return components(rows.join(met, "band").where("rep <> first").select("rep", "first").distinct(), "rep", "first")
 
 
-def verified_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, width: int, percent: int, block: int, id_col: str, text_col: str) -> DataFrame:
+def verified_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, width: int, percent: int, block: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(a, b) links that span the components of each candidate group, checked on full sets."""
     spark = docs.sparkSession
     sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -182,7 +182,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, width
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node IS NOT NULL")
     sets = texts.join(members, "node").select("component", "node", "blocks", "set_key", "text").mapInPandas(to_sets, "component long, node long, blocks int, items binary")
-    sets = stored(sets.dropDuplicates(["node"]), "group-sets")
+    sets = scratch.stored(sets.dropDuplicates(["node"]), "group-sets")
     # a member of block x is sent to the tasks of all pairs of blocks (x, y)
     mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least(F.col("mine"), y).alias("i"), F.greatest(F.col("mine"), y).alias("j"))))
@@ -212,14 +212,17 @@ def near_duplicates(
 
     rows and bands must suit percent: a pair at similarity s is missed with probability (1 - s ** rows) ** bands.
     """
-    found = stored(shingle_docs(docs, width, percent, rows, bands, id_col, text_col), "shingles")
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    found = scratch.stored(shingle_docs(docs, width, percent, rows, bands, id_col, text_col), "shingles")
     classes = found.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = stored(classes, "classes")
-    groups = candidate_groups(classes)
-    links = verified_links(docs, groups, classes, width, percent, block, id_col, text_col)
+    classes = scratch.stored(classes, "classes")
+    groups = candidate_groups(classes, scratch)
+    links = verified_links(docs, groups, classes, width, percent, block, id_col, text_col, scratch)
     joined = components(links)
     final = classes.select("set_key", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    final = stored(final.select("set_key", F.coalesce("component", "rep").alias("component")), "near-classes")
+    final = scratch.stored(final.select("set_key", F.coalesce("component", "rep").alias("component")), "near-classes")
     out = found.drop("bands").join(final, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = stored(out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")), "near-duplicates")
+    scratch.clear()
+    return out
