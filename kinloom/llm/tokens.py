@@ -45,7 +45,7 @@ class _Units(dict):
         if unit == " " and self.gaps:
             found = b""
         else:
-            shown = unit.encode().decode("latin-1").translate(self.symbols)
+            shown = unit if unit.isascii() and unit.isalnum() else unit.encode().decode("latin-1").translate(self.symbols)
             found = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
         self[unit] = found
         return found
@@ -74,19 +74,10 @@ class Encoder:
     def _alone(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece; byte-level pieces stand after a space."""
-        before = " " if self.kind == "bytes" else ""
-        plain = [p for p in pieces if p and len(p) <= self.long and _LATIN.fullmatch(p)]
-        found = dict(zip(plain, self._line(" " + " ".join(plain), len(plain)), strict=True)) if plain else {}
-        return [found[p] if p in found else self._alone(before + p) for p in pieces]
-
     def _line(self, line: str, n: int) -> list[bytes]:
         """The ids between the spaces of a line of n pieces."""
-        if self.kind == "words" and not line.isascii():
-            line = self.tokenizer.normalizer.normalize_str(line)
-        elif self.kind == "words":
-            line = line.lower()
+        if self.kind == "words":
+            line = line.lower()  # these characters are composed already, and have no lower case that depends on their place
         units = self.unit_pattern.findall(line)
         starts = [k for k, u in enumerate(units) if u[0] == " "]
         data = list(map(self.units.__getitem__, units))
@@ -114,11 +105,14 @@ class Encoder:
         if len(self.units) > self.limit:
             self.units.clear()
         memo, once = self.memo, {}
-        missing = list(set(chain.from_iterable(p for p in split if p is not None)).difference(memo))
-        for at in range(0, len(missing), 50_000):
-            some = missing[at : at + 50_000]
-            for piece, ids in zip(some, self._pieces(some), strict=True):
-                (memo if len(piece) <= self.long else once)[piece] = ids
+        missing = set(chain.from_iterable(p for p in split if p is not None)).difference(memo)
+        plain = [p for p in missing if p and len(p) <= self.long and _LATIN.fullmatch(p)]
+        before = " " if self.kind == "bytes" else ""
+        for piece in missing.difference(plain):
+            (memo if len(piece) <= self.long else once)[piece] = self._alone(before + piece)
+        for at in range(0, len(plain), 50_000):
+            some = plain[at : at + 50_000]
+            memo.update(zip(some, self._line(" " + " ".join(some), len(some)), strict=True))
         if once:
             memo = _Both(memo, once)
         get = memo.__getitem__

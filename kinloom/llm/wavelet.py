@@ -40,9 +40,9 @@ def pack_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray)
     bits = max(1, int(seq.max(initial=0)).bit_length())
     zeros, ones, sizes, blocks = [], [], [], []
     for level in range(bits - 1, -1, -1):
-        bit = (seq >> level) & 1 != 0
+        bit = (seq & seq.dtype.type(1 << level)) != 0
         plane = np.packbits(bit, bitorder="little")
-        per_block = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK_BITS), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
+        per_block = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), BLOCK_BITS // 8), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
         ones.append([0, *np.cumsum(per_block).tolist()])
         for at in range(0, len(plane), BLOCK_BITS // 8):
             blocks.append(pack(plane[at : at + BLOCK_BITS // 8].tobytes()))
