@@ -270,10 +270,10 @@ def _(g):
     return S.search_persons(g.person, "Nick7").select("uid")
 
 
-@_query("x17_names", "SELECT uid, array_to_string(list_filter(list_distinct(list_sort(list_concat([original_name], aliases))), lambda x: length(x) > 1), ',') IS NOT NULL AS some, len(list_concat([original_name], aliases)) AS n FROM person")
+@_query("x17_names", "SELECT uid, array_to_string(list_filter(list_distinct(list_sort(list_concat([original_name], aliases))), lambda x: length(x) > 1), ',') IS NOT NULL AS named, len(list_concat([original_name], aliases)) AS n FROM person")
 def _(g):
     names = specific_names(all_names(F.col("original_name"), F.col("aliases")))
-    return g.person.select("uid", (F.array_join(names, ",") != "").alias("some"), F.size(names).cast("long").alias("n"))
+    return g.person.select("uid", (F.array_join(names, ",") != "").alias("named"), F.size(names).cast("long").alias("n"))
 
 
 @_query("g5_canned_routes")
