@@ -12,6 +12,7 @@ from .html import extract_text
 from .media import read_headers, read_media, write_media
 from .mixing import mix_sources
 from .near_dup import near_duplicates
+from .oracles import ORACLE_SQL as ORACLE_SQL
 from .packing import pack
 from .quality import judge_quality
 from .substring import dedup_substrings
@@ -87,5 +88,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
 }
-
-ORACLE_SQL: dict[str, str] = {}
