@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, stored
@@ -160,18 +160,53 @@ def shingle_docs(docs: DataFrame, width: int, percent: int, rows: int, bands: in
     return picked.mapInPandas(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def candidate_groups(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) over classes that share a band, directly or by others."""
-    rows = classes.select("rep", F.explode("bands").alias("band"))
-    met = scratch.stored(rows.groupBy("band").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").drop("last"), "bands")
-    return components(rows.join(met, "band").where("rep <> first").select("rep", "first").distinct(), "rep", "first")
+def met_in_batch(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bands and nodes of a batch's rows, sorted and distinct, and whether a record is the first of its band."""
+    bands = [b for b in batch["bands"] if len(b)]
+    if not bands:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    band = np.concatenate(bands)
+    node = np.repeat(batch["node"].to_numpy(np.int64), [len(b) for b in batch["bands"]])
+    order = np.lexsort((node, band))
+    band, node = band[order], node[order]
+    new = np.append(True, band[1:] != band[:-1])
+    keep = new | np.append(True, node[1:] != node[:-1])
+    return band[keep], node[keep], new[keep]
+
+
+def links_in_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(a, b) from each node to the smallest node of the batch that shares a band with it."""
+    for batch in batches:
+        _, node, new = met_in_batch(batch)
+        first = node[np.maximum.accumulate(np.where(new, np.arange(len(node)), 0))]
+        yield pd.DataFrame({"a": node[~new], "b": first[~new]}).drop_duplicates()
+
+
+def firsts_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(band, node): each band of a batch once, with its smallest node."""
+    for batch in batches:
+        band, node, new = met_in_batch(batch)
+        yield pd.DataFrame({"band": band[new], "node": node[new]})
+
+
+def candidate_groups(found: DataFrame) -> DataFrame:
+    """(node, component) over classes, each named by the hash of its set, that share a band, directly or by others.
+
+    Classes that meet within a batch are linked there. Of each band a batch sends on its smallest class alone, so in the one shuffle of bands a band has
+    at most a record a batch, whatever the number of its classes and copies.
+    """
+    sketched = found.where("set_key IS NOT NULL AND doc_id IS NOT NULL").select(F.xxhash64("set_key").alias("node"), "bands")
+    least = F.min("node").over(Window.partitionBy("band"))
+    across = sketched.mapInPandas(firsts_of_batches, "band long, node long").select(F.col("node").alias("a"), least.alias("b")).where("a <> b")
+    return components(sketched.mapInPandas(links_in_batches, "a long, b long").union(across))
 
 
 def verified_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, width: int, percent: int, block: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(a, b) links that span the components of each candidate group, checked on full sets."""
     spark = docs.sparkSession
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = groups.join(sizes, "component").join(classes.select(F.col("rep").alias("node"), "set_key"), "node")
+    sizes = scratch.stored(groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "group-sizes")
+    named = classes.select(F.xxhash64("set_key").alias("class"), F.col("rep").alias("node"), "set_key")
+    members = groups.withColumnRenamed("node", "class").join(sizes, "component").join(named, "class").drop("class")
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -214,9 +249,9 @@ def near_duplicates(
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     found = scratch.stored(shingle_docs(docs, width, percent, rows, bands, id_col, text_col), "shingles")
-    classes = found.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = found.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     classes = scratch.stored(classes, "classes")
-    groups = candidate_groups(classes, scratch)
+    groups = candidate_groups(found)
     links = verified_links(docs, groups, classes, width, percent, block, id_col, text_col, scratch)
     joined = components(links)
     final = classes.select("set_key", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
