@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +15,8 @@ from ..functions.parse import EXTRACTION
 #: Encodings in the order in which they are tried.
 ENCODINGS = ("utf-8", "gbk", "gb2312", "utf-16")
 CHUNK = "chunk_id string, chapter string, content string, char_count int"
-RESULT = EXTRACTION.removeprefix("struct<").removesuffix(">")
+#: The same fields as a table's schema, which has no colons at its top level.
+RESULT = re.sub(r"\b(persons|dynasties|events|places|relations|source_text|source_chapter):", r"\1 ", EXTRACTION.removeprefix("struct<").removesuffix(">"))
 
 
 def decoded(raw: bytes) -> str:
