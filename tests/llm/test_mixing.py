@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kinloom.llm.mixing import mix_sources, period, shares_of
+from kinloom.llm.mixing import fractions_of, mix_sources, period, schedule, shares_of
 
 SCHEMA = "doc_id long, source string, slot string, block int, text string"
 
@@ -60,3 +60,28 @@ def test_defaults_and_nothing(spark):
     assert mix_sources(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mix_sources(docs, {"a": 1.0}).count()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.floats(0.01, 50), min_size=1, max_size=9), st.integers(1, 400))
+def test_every_block_lies_in_the_window_of_its_exact_weight(weights, n):
+    parts = fractions_of({f"s{i}": w for i, w in enumerate(weights)})
+    found = schedule(parts, {k: n // (i + 1) for i, k in enumerate(parts)})
+    assert len({t for slots in found.values() for t in slots.tolist()}) == sum(map(len, found.values()))
+    for name, slots in found.items():
+        w = parts[name]
+        assert all(k * w.denominator // w.numerator <= t < -(-(k + 1) * w.denominator // w.numerator) for k, t in enumerate(slots.tolist()))
+
+
+@pytest.mark.parametrize("weights", [None, {"hot": 0.9, **{f"s{i}": 0.1 / 19 for i in range(19)}}, {"hot": 7.0, **{f"s{i}": 1.0 + i / 3 for i in range(19)}}])
+def test_lag_against_the_weights_over_many_periods(spark, weights):
+    names = ["hot"] * 9 + [f"s{i}" for i in range(19)]
+    rows = [(i, names[i % len(names)]) for i in range(12000)]
+    counts = Counter(s for _, s in rows)
+    target = weights or {k: n**0.5 for k, n in counts.items()}
+    found = mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=1, slots=50).collect()
+    assert len(found) == 12000 and len({r.slot for r in found}) == 12000
+    total = sum(target.values())
+    for r in found:  # before and after its slot, a source is less than one block from its weight
+        w = target[r.source] / total
+        assert abs(r.block - w * r.slot) < 1 + 1e-6 and abs(r.block + 1 - w * (r.slot + 1)) < 1 + 1e-6
