@@ -6,7 +6,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but th
 - near_duplicates: one document of each group stays, the one with the smallest id.
 - substrings: words in a run of 50 or more that also starts in a document with a smaller id go; n_chars is the new length.
 - mix: rows are written in the order in which the sources' blocks are due.
-- pack: pieces of at most 1,024 tokens, each with its sequence and its place there.
+- pack: pieces of at most 1,024 tokens, each with its sequence and its place there. Tables keep no order of rows, so the mixed order is worked
+  out again: pieces of a length are laid by it, and sequences are numbered by it.
 
 Nulls, empty texts, repeated rows and empty tables are handled as the operators' own docstrings say.
 """
@@ -26,6 +27,9 @@ from kinloom.llm.substring import dedup_substrings
 
 #: Words of a repeated passage.
 PASSAGE_WORDS = 50
+#: Documents a block of the mix, and target weights by source (None: square roots of the counts).
+BLOCK_DOCS = 16
+WEIGHTS: dict[str | None, float] | None = None
 
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -47,13 +51,19 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def _mixed(docs: DataFrame) -> DataFrame:
+    """Each row as a struct, with its slot and position."""
     rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("__row"))
-    return mix_sources(rows).orderBy("slot", "position").select("__row.*")
+    return mix_sources(rows, WEIGHTS, BLOCK_DOCS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _mixed(docs).orderBy("slot", "position").select("__row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs, vocabulary("byte_bpe_50k.json"), "bytes", END_ID, SEQUENCE_TOKENS)
+    ordered = _mixed(docs).select("doc_id", F.col("__row.text").alias("text"), (F.col("slot") * BLOCK_DOCS + F.col("position")).alias("order"))
+    return pack(ordered, vocabulary("byte_bpe_50k.json"), "bytes", END_ID, SEQUENCE_TOKENS, order_col="order")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicate), ("substrings", substrings), ("mix", mix), ("pack", packing)]

@@ -8,6 +8,9 @@ Both rules depend on lengths alone, so they are run on the histogram of lengths
 many documents): runs of equal pieces go to runs of equal bins. Spark then ranks the pieces within their length, in salted groups
 whose number follows each length's count, and looks each rank up in the plan.
 
+With an order column, pieces of a length are ranked by it, in ranges of the order instead of salted groups, and sequences are numbered by
+the first piece, in that order, that they hold.
+
 Defined cases: a null or empty text is its end id alone. Repeated rows are packed each. An empty table gives an empty result.
 """
 
@@ -103,50 +106,72 @@ def plan(counts: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: the cut documents."""
+def tokenize_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, with an order column, order: the cut documents."""
+    ordered = ["order"] if order_col else []
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(tokenizer, kind, end_id).encode
         for batch in batches:
-            ids, texts = batch["id"].tolist(), batch["text"].tolist()
+            ids, texts, *orders = (batch[c].tolist() for c in ["id", "text", *ordered])
             for some in batches_of(texts):
                 rows = []
-                for key, data in zip(ids[some], encode(texts[some]), strict=True):
+                for key, data, *order in zip(ids[some], encode(texts[some]), *(o[some] for o in orders), strict=True):
                     n = len(data) // 4
                     ends = range((n - 1) % capacity + 1, n + 1, capacity)
                     begin, raw = 0, memoryview(data)
                     for piece, end in enumerate(ends):
-                        rows.append((key, piece, begin, end - begin, zlib.crc32(raw[4 * begin : 4 * end])))
+                        rows.append((key, piece, begin, end - begin, zlib.crc32(raw[4 * begin : 4 * end]), *order))
                         begin = end
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *ordered])
                 yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.col(order_col).cast("long").alias("order")] if order_col else []))
+    return picked.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", order long" if order_col else ""))
 
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Adds sequence_id and offset to stored pieces (doc_id, piece, start, length, ...)."""
+    """Adds sequence_id and offset to stored pieces (doc_id, piece, start, length, ...); by their column order, if they have one, which is then dropped."""
     spark = pieces.sparkSession
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     runs = [tuple(map(int, r)) for r in plan(counts, capacity)]
+    by_order = ["order"] if "order" in pieces.columns else []
     largest = max(1, sum(counts.values()) // (4 * partitions(spark)))
     salts = F.broadcast(spark.createDataFrame([(k, -(-n // largest)) for k, n in counts.items()], "length long, salts long"))
-    salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("salts")
+    if by_order:
+        salted = _ranged(pieces, ["order", "doc_id", "piece"], "salt")
+    else:
+        salted = pieces.join(salts, "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("salts")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", before.alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1
+    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*by_order, "doc_id", "piece")) - 1
     ranked = salted.withColumn("within", within).join(groups, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within"))
     table = F.broadcast(spark.createDataFrame(runs, "r_length long, first long, n long, bin long, per_bin long, base long"))
     on = (F.col("length") == F.col("r_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
     at = F.col("rank") - F.col("first")
     found = ranked.join(table, on)
     bin_ = F.col("bin") + F.floor(at / F.col("per_bin")).cast("long")
-    return found.select(*pieces.columns, bin_.alias("sequence_id"), (F.col("base") + at % F.col("per_bin") * F.col("length")).alias("offset"))
+    placed = found.select(*pieces.columns, bin_.alias("sequence_id"), (F.col("base") + at % F.col("per_bin") * F.col("length")).alias("offset"))
+    return _in_order(stored(placed, "placed")) if by_order else placed
+
+
+def _ranged(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Stored rows with the number of their range of the keys; ranges are about equally large."""
+    return stored(df.repartitionByRange(4 * partitions(df.sparkSession), *keys).withColumn(name, F.spark_partition_id()), "ranged")
+
+
+def _in_order(placed: DataFrame) -> DataFrame:
+    """Sequences numbered by their first piece in the order."""
+    firsts = placed.groupBy("sequence_id").agg(F.min(F.struct("order", "piece", "doc_id")).alias("first")).select("sequence_id", "first.*")
+    ranged = _ranged(firsts, ["order", "piece", "doc_id", "sequence_id"], "range")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    starts = F.broadcast(ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before")))
+    within = F.row_number().over(Window.partitionBy("range").orderBy("order", "piece", "doc_id", "sequence_id")) - 1
+    numbers = ranged.withColumn("within", within).join(starts, "range").select("sequence_id", (F.col("before") + F.col("within")).alias("number"))
+    return placed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("number")).select(*[c for c in placed.columns if c != "order"])
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "bytes", end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str = "bytes", end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = stored(tokenize_pieces(docs, tokenizer, kind, end_id, capacity, id_col, text_col), "pieces")
+    pieces = stored(tokenize_pieces(docs, tokenizer, kind, end_id, capacity, id_col, text_col, order_col), "pieces")
     return place(pieces, capacity)

@@ -69,3 +69,33 @@ def test_empty_table(spark):
         docs = stage(spark, docs, "")
         assert docs.count() == 0
     assert C.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def test_weights_change_the_packed_order(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, text_of(i, 150), "en", "ab"[i % 2], 1) for i in range(600)], SCHEMA).repartition(3)
+    source, share, order = {i: "ab"[i % 2] for i in range(600)}, {}, {}
+    for a in (9.0, 1.0):
+        monkeypatch.setattr(C, "WEIGHTS", {"a": a, "b": 10.0 - a})
+        mixed = [r.doc_id for r in C.mix(spark, docs, "").collect()]
+        packed = sorted(C.packing(spark, docs, "").collect(), key=lambda r: (r.sequence_id, r.offset))
+        assert {r.sequence_id for r in packed} == set(range(packed[-1].sequence_id + 1))
+        rank, seen = {d: k for k, d in enumerate(mixed)}, {}
+        for r in packed:
+            seen[r.sequence_id] = min(seen.get(r.sequence_id, 10**9), rank[r.doc_id])
+        assert list(seen.values()) == sorted(seen.values())
+        order[a] = [r.doc_id for r in packed]
+        share[a] = sum(source[d] == "a" for d in order[a][:150])
+    assert order[9.0] != order[1.0] and share[9.0] > 100 and share[1.0] < 50
+
+
+def test_equal_lengths_are_laid_in_order(spark):
+    from kinloom.llm.common import stored
+    from kinloom.llm.packing import place
+
+    rows = [(i, 0, 0, 100 if i % 5 else 700, (i * 7919) % 1000) for i in range(1000)]
+    pieces = stored(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, order long").withColumn("ids_crc32", C.F.lit(1)), "pieces")
+    found = place(pieces, 1024).collect()
+    assert sorted(r.doc_id for r in found) == list(range(1000))
+    at = {r.doc_id: r.sequence_id for r in found}
+    long = [at[i] for i, *_ in sorted((r for r in rows if r[3] == 700), key=lambda r: r[4])]
+    assert long == sorted(long)
