@@ -1,8 +1,8 @@
 """Entity resolution: persons that share a specific name become one node, in order of arrival.
 
 The outcome depends on order, but only among persons that share names or uids, directly or through others. So those
-connected groups are found by joins on names, and each is folded in order by itself. A group is one task's work by the nature of the rule; groups
-larger than ``max_group`` raise an error that names them instead of failing later for memory.
+connected groups are found by joins on names, and each is folded in order by itself. A group's records stream through one task, sorted by
+Spark; the task holds the group's nodes and a name index, not its records, so groups of any number of records are folded.
 
 Defined cases: a person without specific names matches nobody. Of several matches the node created first is taken; an exact name comes
 before an alias. A merge that would leave more than 25 aliases is not made.
@@ -10,6 +10,9 @@ before an alias. A merge that would leave more than 25 aliases is not made.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,13 +57,33 @@ class _Fold:
 
     def __init__(self) -> None:
         self.nodes: dict[str, dict] = {}
+        self.order: dict[str, int] = {}
+        #: By name, a heap of (order, uid); entries that no longer hold are dropped when they come up.
+        self.named: dict[str, list] = {}
+        self.aliased: dict[str, list] = {}
+
+    def _index(self, uid: str, index: dict[str, list], names: set[str]) -> None:
+        for name in names:
+            if name:
+                heapq.heappush(index.setdefault(name, []), (self.order[uid], uid))
 
     def _match(self, names: set[str]) -> dict | None:
-        nodes = self.nodes.values()
-        return next((n for n in nodes if n["original_name"] in names), None) or next((n for n in nodes if names.intersection(n["aliases"])), None)
+        for index, field in ((self.named, "original_name"), (self.aliased, "aliases")):
+            found = []
+            for name in names:
+                heap = index.get(name, [])
+                while heap and not (name == self.nodes[heap[0][1]][field] if field == "original_name" else name in self.nodes[heap[0][1]][field]):
+                    heapq.heappop(heap)
+                found += heap[:1]
+            if found:
+                return self.nodes[min(found)[1]]
+        return None
 
     def _upsert(self, p: dict) -> None:
         held = self.nodes.get(p["uid"])
+        self.order.setdefault(p["uid"], len(self.order))
+        self._index(p["uid"], self.named, {p["original_name"]} - ({held["original_name"]} if held else set()))
+        self._index(p["uid"], self.aliased, set(p["aliases"]).difference(held["aliases"] if held else ()))
         if held is None:
             self.nodes[p["uid"]] = p
             return
@@ -77,6 +100,7 @@ class _Fold:
         if held is None or len(merged) > MAX_ALIASES:
             self._upsert(p)
             return
+        self._index(held["uid"], self.aliased, set(merged).difference(held["aliases"]))
         held["aliases"] = merged
         held["loyalty"] = list(dict.fromkeys([*held["loyalty"], *p["loyalty"]]))
         if len(p["description"] or "") > len(held["description"] or ""):
@@ -87,26 +111,32 @@ class _Fold:
             held["role"] = p["role"]
 
 
-def merge_persons(records: DataFrame, max_group: int = 200_000) -> DataFrame:
+def merge_persons(records: DataFrame) -> DataFrame:
     """Nodes from person records (PERSON_SCHEMA; seq is the order of arrival, existing nodes with the seq of their creation)."""
     records = records.select(*[x.split()[0] for x in PERSON_SCHEMA.split(", ")])
     names = specific_names(all_names(F.col("original_name"), F.col("aliases")))
     keys = records.select(F.col("seq").alias("node"), F.explode(F.array_append(F.transform(names, lambda n: F.concat(F.lit("n:"), n)), F.concat(F.lit("u:"), "uid"))).alias("key"))
     groups = connected(keys)
-    large = groups.groupBy("group").count().where(F.col("count") > max_group).limit(5).collect()
-    if large:
-        raise ValueError(f"groups of shared names with over {max_group} persons: {[(r['group'], r['count']) for r in large]}")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        state = _Fold()
-        rows = group.drop(columns="group").sort_values("seq").astype(object)
-        for row in rows.where(rows.notna(), None).to_dict("records"):
-            years = {k: None if row[k] is None else int(row[k]) for k in ("birth_year", "death_year")}
-            lists = {k: [] if row[k] is None else list(row[k]) for k in ("aliases", "loyalty")}
-            state.add(row | years | lists)
+
+    def nodes_of(state: _Fold) -> pd.DataFrame:
         out = pd.DataFrame(list(state.nodes.values()))
         return out.assign(birth_year=out["birth_year"].astype("Int32"), death_year=out["death_year"].astype("Int32"))
 
-    joined = records.join(groups.withColumnRenamed("node", "seq"), "seq")
-    return joined.groupBy("group").applyInPandas(fold, PERSON_SCHEMA)
-
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, current = _Fold(), None
+        for batch in batches:
+            rows = batch.astype(object)
+            for row in rows.where(rows.notna(), None).to_dict("records"):
+                group = row.pop("group")
+                if group != current and state.nodes:
+                    yield nodes_of(state)
+                    state = _Fold()
+                current = group
+                years = {k: None if row[k] is None else int(row[k]) for k in ("birth_year", "death_year")}
+                lists = {k: [] if row[k] is None else list(row[k]) for k in ("aliases", "loyalty")}
+                state.add(row | years | lists)
+        if state.nodes:
+            yield nodes_of(state)
+
+    joined = records.join(groups.withColumnRenamed("node", "seq"), "seq").select(*records.columns, "group")
+    return joined.repartition("group").sortWithinPartitions("group", "seq").mapInPandas(fold, PERSON_SCHEMA)

@@ -111,6 +111,35 @@ def test_merge_stops_at_many_aliases(spark):
     assert set(merged(spark, [person(1, "a", "张三丰", many), person(2, "b", "名字1", ["新名"])])) == {"a", "b"}
 
 
+def test_merge_folds_a_group_of_any_size(spark):
+    n = 200_050
+    rows = spark.range(n).selectExpr("concat('u', id) AS uid", "'张三丰' AS original_name", "array(concat('别名', id % 7)) AS aliases", "'其他' AS role", "array('x') AS loyalty", "CAST(NULL AS INT) AS birth_year", "CAST(NULL AS INT) AS death_year", "CAST(NULL AS STRING) AS death_cause", "'' AS description", "id AS seq")
+    found = merge_persons(rows).collect()
+    assert [(r.uid, len(r.aliases)) for r in found] == [("u0", 7)]
+
+
+def test_fold_matches_a_scan_of_all_nodes():
+    import copy
+    import random
+
+    from kinloom.operators.merge import _Fold
+
+    class Scan(_Fold):
+        def _match(self, names):
+            nodes = self.nodes.values()
+            return next((n for n in nodes if n["original_name"] in names), None) or next((n for n in nodes if names.intersection(n["aliases"])), None)
+
+    for seed in range(40):
+        rng = random.Random(seed)
+        names = [f"名{k}" for k in range(60)] + ["太祖", ""]
+        index, scan = _Fold(), Scan()
+        for seq in range(150):
+            p = person(seq, f"u{rng.randrange(90)}", rng.choice(names), rng.sample(names, rng.choice([0, 1, 3, 20])))
+            index.add(copy.deepcopy(p))
+            scan.add(copy.deepcopy(p))
+        assert list(index.nodes.values()) == list(scan.nodes.values())
+
+
 @pytest.mark.parametrize("sql", ["SELECT 1", "SELECT * FROM person LIMIT 1", "WITH x AS (SELECT uid FROM edges_ ) SELECT 1", "SELECT uid FROM person WHERE uid IN (SELECT src FROM edges)"])
 def test_guard_lets_queries_pass(spark, sql):
     if "edges_" in sql:
