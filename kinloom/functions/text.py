@@ -117,11 +117,22 @@ def chunk_table(parts: DataFrame, size: int = 1500, overlap: int = 200) -> DataF
 
 
 def numbered(chunk_rows: DataFrame) -> DataFrame:
-    """Adds chunk_id by (name, chapter_no, chunk_no): running counts by chapter, not by row, meet in one task."""
+    """Adds chunk_id by (name, chapter_no, chunk_no): chapters' counts are summed within ranges of the order, and only one row a range meets in one task."""
     from pyspark.sql import Window
 
+    spark = chunk_rows.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinloom-"))
     sizes = chunk_rows.groupBy("name", "chapter_no").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("name", "chapter_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("name", "chapter_no", before.alias("__before"))
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = sizes.repartitionByRange(ranges, "name", "chapter_no").withColumn("__range", F.spark_partition_id()).checkpoint()
+    sum_before = lambda n, w: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = ranged.groupBy("__range").agg(F.sum("__n").alias("__total")).select("__range", sum_before("__total", Window.orderBy("__range")).alias("__base"))
+    before = F.col("__base") + sum_before("__n", Window.partitionBy("__range").orderBy("name", "chapter_no"))
+    starts = ranged.join(F.broadcast(totals), "__range").select("name", "chapter_no", before.alias("__before"))
     number = F.col("__before") + F.col("chunk_no")
     return chunk_rows.join(starts, ["name", "chapter_no"]).withColumn("chunk_id", F.format_string("chunk_%05d", number)).drop("__before")

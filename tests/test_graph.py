@@ -111,6 +111,17 @@ def test_merge_stops_at_many_aliases(spark):
     assert set(merged(spark, [person(1, "a", "张三丰", many), person(2, "b", "名字1", ["新名"])])) == {"a", "b"}
 
 
+def test_chunk_numbers_need_no_window_over_all_rows(spark):
+    from kinloom.functions.text import numbered
+
+    rows = [(f"b{b:03}", c, k, "x") for b in range(60) for c in range(b % 4) for k in range(1 + (b * c) % 5)]
+    out = numbered(spark.createDataFrame(rows, "name string, chapter_no int, chunk_no int, content string").repartition(5))
+    assert {(r.name, r.chapter_no, r.chunk_no): r.chunk_id for r in out.collect()} == {x[:3]: f"chunk_{k:05}" for k, x in enumerate(sorted(rows))}
+    assert "RangePartitioning" not in out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in x]
+    assert len(windows) == 2 and sum("chapter_no" in x and "[__range" in x for x in windows) == 1
+
+
 def test_merge_folds_a_group_of_any_size(spark):
     n = 200_050
     rows = spark.range(n).selectExpr("concat('u', id) AS uid", "'张三丰' AS original_name", "array(concat('别名', id % 7)) AS aliases", "'其他' AS role", "array('x') AS loyalty", "CAST(NULL AS INT) AS birth_year", "CAST(NULL AS INT) AS death_year", "CAST(NULL AS STRING) AS death_cause", "'' AS description", "id AS seq")
