@@ -122,6 +122,20 @@ def test_chunk_numbers_need_no_window_over_all_rows(spark):
     assert len(windows) == 2 and sum("chapter_no" in x and "[__range" in x for x in windows) == 1
 
 
+def test_missing_links_by_aliases_in_texts(spark):
+    from kinloom.operators.repair import missing_links
+    from kinloom.streaming.ingest import empty_graph
+
+    g = empty_graph(spark)
+    people = [person(1, "a", "李存勖", ["亚子", "庄皇"]), person(2, "b", "朱温", ["全忠"]), person(3, "c", "王建", ["贼王八"])]
+    texts = ["亚子与全忠战", "贼王八入蜀", "无人", "朱温见庄皇"]
+    events = [(f"e{k}", f"事{k}", "战", None, "", [], "", t, k) for k, t in enumerate(texts)]
+    graph = Graph(spark.createDataFrame(people, g.person.schema), g.dynasty, spark.createDataFrame(events, g.event.schema), g.place, g.edges)
+    want = {(p["uid"], f"e{k}") for p in people for k, t in enumerate(texts) if any(n in t for n in [p["original_name"], *p["aliases"]])}
+    found = [(r.src, r.dst) for r in missing_links(graph).collect()]
+    assert len(want) == 5 and sorted(found) == sorted(want)
+
+
 def test_merge_folds_a_group_of_any_size(spark):
     n = 200_050
     rows = spark.range(n).selectExpr("concat('u', id) AS uid", "'张三丰' AS original_name", "array(concat('别名', id % 7)) AS aliases", "'其他' AS role", "array('x') AS loyalty", "CAST(NULL AS INT) AS birth_year", "CAST(NULL AS INT) AS death_year", "CAST(NULL AS STRING) AS death_cause", "'' AS description", "id AS seq")
