@@ -45,7 +45,9 @@ BAD_TOKENS = frozenset("ad ads advert advertisement adverts banner breadcrumb br
 FEATURES = ["bad_tag", "good_tag", "good_tokens", "bad_tokens", "path_bad_tag", "path_good_tag", "path_good_tokens", "path_bad_tokens", "log_chars", "link_density", "chars_per_tag", "punctuation", "depth", "place", "siblings", "share_of_parent", "share_of_page", "paragraphs", "chars_per_block", "is_p", "is_heading", "is_list", "is_box", "controls", "sibling_links"]
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|style|aria-hidden)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|\b(hidden)\b", re.I)
+_VALUE = r"\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)"
+#: One attribute at a time, so that a name is never found inside another name or a quoted value.
+_ATTRIBUTE = re.compile(rf"(?:(class|id|role|style|aria-hidden)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))|(hidden)(?![^\s=/>])(?:{_VALUE})?|[^\s\"'=/>]+(?:{_VALUE})?", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _MARKS = re.compile(r"[.,;:!?]")
@@ -90,7 +92,12 @@ class Page:
             text = _SPACE.sub(" ", "".join(self._run)).strip()
             self._run = []
             if text:
-                self.texts.append((self._stack[-1][1], text))
+                node = self._stack[-1][1]
+                if node == 0:  # loose text belongs to an implied body, as the root is never main text
+                    for held, value in ((self.tag, "body"), (self.parent, 0), (self.good, 0), (self.bad, 0), (self.hidden, False), (self.tags, 1), (self.controls, 0), (self.links, self.links[0])):
+                        held.append(value)
+                    node, self.links[0] = len(self.tag) - 1, 0
+                self.texts.append((node, text))
 
     def _text(self, raw: str) -> None:
         node = self._stack[-1][1]
@@ -120,6 +127,8 @@ class Page:
             for key, value, flag in _ATTRIBUTE.findall(attributes) if attributes else ():
                 if flag:
                     hidden = True
+                elif not key:
+                    continue
                 elif key.lower() == "style":
                     hidden = hidden or re.search(r"display\s*:\s*none", value, re.I) is not None
                 elif key.lower() == "aria-hidden":

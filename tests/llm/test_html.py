@@ -57,3 +57,13 @@ def test_pages(spark, trees):
     assert all(r.n_chars == len(r.text) for r in found)
     assert [r.text for r in found if r.page_id in (10, 11)] == ["", ""]
     assert extract_text(pages.limit(0), trees=trees).count() == 0
+
+
+def test_loose_text_and_the_word_hidden():
+    for html, want in [("plain", "plain"), ("<b>bare</b> text", "bare text"), ("<p>a</p></html>after", "a\n\nafter")]:
+        page = Page(html)
+        assert page.decode(np.ones(len(page.tag))) == want
+        assert page.features().shape[0] == len(page.tag)
+    for attributes, hidden in [('data-hidden="false"', False), ('title="The hidden river"', False), ("title='a hidden id=x'", False), ('class="x" HIDDEN', True), ('hidden="" id=a', True), ('aria-hidden="true"', True), ('style="display: none"', True)]:
+        page = Page(f"<div {attributes}>text</div>")
+        assert page.hidden[1] is hidden, attributes
