@@ -21,12 +21,12 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, stored
-from .tokens import batches_of, encoder
+from .tokens import encoder, slices_of
 
 
 class Run(NamedTuple):
@@ -108,26 +108,26 @@ def plan(counts: dict[int, int], capacity: int) -> list[Run]:
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, with an order column, order: the cut documents."""
-    ordered = ["order"] if order_col else []
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, kind, end_id).encode
         for batch in batches:
-            ids, texts, *orders = (batch[c].tolist() for c in ["id", "text", *ordered])
-            for some in batches_of(texts):
-                rows = []
-                for key, data, *order in zip(ids[some], encode(texts[some]), *(o[some] for o in orders), strict=True):
-                    n = len(data) // 4
-                    ends = range((n - 1) % capacity + 1, n + 1, capacity)
-                    begin, raw = 0, memoryview(data)
-                    for piece, end in enumerate(ends):
-                        rows.append((key, piece, begin, end - begin, zlib.crc32(raw[4 * begin : 4 * end]), *order))
-                        begin = end
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *ordered])
-                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            for first, texts in slices_of(batch["text"]):
+                ids, sizes = encode(texts)
+                pieces = -(-sizes // capacity)
+                of = np.repeat(np.arange(len(texts)), pieces)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                end = sizes[of] - (pieces[of] - 1 - piece) * capacity  # only the first piece may be shorter
+                start = np.maximum(end - capacity, 0)
+                begins = (np.cumsum(sizes) - sizes)[of]
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((begins + start).tolist(), (begins + end).tolist(), strict=True)]
+                rows = pa.array(of + first)
+                columns = [batch["id"].take(rows), piece.astype(np.int32), start, end - start, np.array(crcs, np.int64)]
+                columns = [pa.array(c) for c in columns] + ([batch["order"].take(rows)] if order_col else [])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *(["order"] if order_col else [])])
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.col(order_col).cast("long").alias("order")] if order_col else []))
-    return picked.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", order long" if order_col else ""))
+    return picked.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", order long" if order_col else ""))
 
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:

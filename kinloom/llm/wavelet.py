@@ -21,14 +21,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, partitions, stored
-from .tokens import batches_of, encoder
+from .tokens import encoder, slices_of
 
 MAGIC = b"KLWM0001"
 BLOCK_BITS = 1 << 16
+SHARDS = pa.schema([("part", pa.string()), ("seq", pa.int64()), ("first_id", pa.int64()), ("shard", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
 
 
 def pack_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
@@ -142,39 +144,46 @@ def write_tokens(docs: DataFrame, tokenizer: str, kind: str, end_id: int, id_col
     """Writes the shards; returns one row each: part, seq, first_id, shard, n_docs, n_tokens, start (of its first id)."""
     root = new_path(docs.sparkSession, "tokens")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         encode = encoder(tokenizer, kind, end_id).encode
         system, base = fs.FileSystem.from_uri(root)
-        part, seq, keys, held, tokens = uuid.uuid4().hex, 0, [], [], 0
+        part, seq, keys, held, sizes = uuid.uuid4().hex, 0, [], [], []
 
-        def flush() -> pd.DataFrame:
-            nonlocal seq, keys, held, tokens
+        def flush() -> pa.RecordBatch:
+            nonlocal seq, keys, held, sizes
             system.create_dir(base, recursive=True)
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
+            ids, lengths = np.concatenate(held), np.concatenate(sizes)
             name = f"{part}-{seq:06d}.wm"
             with system.open_output_stream(f"{base}/{name}", compression=None) as out:
-                out.write(pack_shard(np.frombuffer(b"".join(held), "<u4"), keys, lengths))
-            row = pd.DataFrame({"part": [part], "seq": [seq], "first_id": pd.array([keys[0]], "Int64"), "shard": [f"{root}/{name}"], "n_docs": [len(keys)], "n_tokens": [tokens]})
-            seq, keys, held, tokens = seq + 1, [], [], 0
-            return row
+                out.write(pack_shard(ids, keys, lengths))
+            row = {"part": part, "seq": seq, "first_id": keys[0], "shard": f"{root}/{name}", "n_docs": len(keys), "n_tokens": len(ids)}
+            seq, keys, held, sizes = seq + 1, [], [], []
+            return pa.RecordBatch.from_pylist([row], SHARDS)
 
         for batch in batches:
-            ids, texts = batch["id"].tolist(), batch["text"].tolist()
-            for some in batches_of(texts):
-                for key, data in zip(ids[some], encode(texts[some]), strict=True):
-                    keys.append(None if pd.isna(key) else int(key))
-                    held.append(data)
-                    tokens += len(data) // 4
-                    if tokens >= shard_tokens:
+            doc_ids = batch["id"].to_pylist()
+            for first, texts in slices_of(batch["text"]):
+                ids, lengths = encode(texts)
+                ends = np.cumsum(lengths)
+                k = 0
+                while k < len(texts):  # documents from k on; the one that fills a shard is its last
+                    begin = int(ends[k - 1]) if k else 0
+                    room = shard_tokens - sum(map(len, held))
+                    stop = min(int(np.searchsorted(ends, begin + room)) + 1, len(texts))
+                    keys += doc_ids[first + k : first + stop]
+                    held.append(ids[begin : ends[stop - 1]])
+                    sizes.append(lengths[k:stop])
+                    k = stop
+                    if sum(map(len, held)) >= shard_tokens:
                         yield flush()
         if keys:
             yield flush()
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     dealt = picked.repartitionByRange("id").sortWithinPartitions("id", "text")
-    shards = stored(dealt.mapInPandas(write, "part string, seq long, first_id long, shard string, n_docs long, n_tokens long"), "token-shards")
+    shards = stored(dealt.mapInArrow(write, "part string, seq long, first_id long, shard string, n_docs long, n_tokens long"), "token-shards")
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("size"), F.min_by("first_id", "seq").alias("first"))
     before = F.coalesce(F.sum("size").over(Window.orderBy(F.asc_nulls_first("first")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,17 +25,32 @@ def plain(kind, text):
     return [*PLAIN[kind].encode(text or "", add_special_tokens=False).ids, 2]
 
 
+def encoded(encoder, texts):
+    ids, sizes = encoder.encode(pa.array(texts, pa.string()))
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 @pytest.mark.parametrize("kind", NAMES)
 def test_pieces_encode_as_whole_texts(kind):
-    for text, data in zip(TEXTS, ENCODERS[kind].encode(TEXTS), strict=True):
-        assert np.frombuffer(data, "<u4").tolist() == plain(kind, text), text
+    for text, ids in zip(TEXTS, encoded(ENCODERS[kind], TEXTS), strict=True):
+        assert ids == plain(kind, text), text
+
+
+@pytest.mark.parametrize("kind", NAMES)
+def test_small_memos_and_latin_letters(kind):
+    small = Encoder(public_tokenizers.path(NAMES[kind]), kind, 2, memo=3, units=5)
+    letters = [f"{chr(c)}a{chr(c)} 1{chr(c)}\n {chr(c)}'s B{chr(c + 1)}." for c in range(0x21, 0x24F)]
+    for at in range(0, len(letters), 40):
+        for text, ids in zip(letters[at : at + 40], encoded(small, letters[at : at + 40]), strict=True):
+            assert ids == plain(kind, text), text
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("ab'sE1.é́　 \n\t\x1f\x85ſß 漢"), max_size=30))
 def test_pieces_encode_as_whole_texts_generated(text):
     for kind in NAMES:
-        assert np.frombuffer(ENCODERS[kind].encode([text])[0], "<u4").tolist() == plain(kind, text)
+        texts = [text, None, "a " + text, text + " b", text + "\n"]
+        assert encoded(ENCODERS[kind], texts) == [plain(kind, t) for t in texts]
 
 
 @pytest.mark.parametrize("size", [0, 1, 5, 70_000])
