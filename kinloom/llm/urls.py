@@ -1,27 +1,25 @@
 """URL filtering: host and path rules first, then association rules that FP-growth mines from labelled URLs.
 
-Mining runs on Spark ML over every labelled URL. A rule is a set of URL tokens whose presence implies the label
+A URL's tokens are all words of its host, path and query. Mining runs on Spark ML over every labelled URL; those that no rule fits and that have no
+label are left out, so they are neither good nor bad examples. A rule is a set of tokens whose presence implies the label
 ``block``; rules below the confidence or support threshold, and rules that contain a shorter kept rule, are pruned.
 Matching uses an inverted index from one token of each rule (its rarest) to the rule, so a URL is only held against rules that
-share that token. The index holds at most 1 / min_support times the tokens of a URL, however many URLs there are.
+share that token. The index grows with 1 / min_support and the words of a URL, not with the number of URLs.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, no tokens, and the verdict ``allow`` unless
-a rule with an empty host fits. Repeated rows are judged alike. An empty table gives an empty result. Other columns of
-the input are kept; a column that clashes with a result column is replaced by it.
+a rule with an empty host fits. Repeated rows are judged alike, and each counts in mining. A very long URL is judged by all its words. An empty table gives
+an empty result. Other columns of the input are kept; a column that clashes with a result column is replaced by it.
 """
 
 from __future__ import annotations
 
-import json
-
+import pandas as pd
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 BLOCK = "label=block"
-#: Longest run of host labels and of path segments that become tokens.
-HOST_DEPTH, PATH_DEPTH = 4, 2
 
 
 def host_of(url: Column) -> Column:
@@ -46,25 +44,23 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
     return (none, none) if name is None else (name, verdict)
 
 
-def tokens_of(host: Column, path: Column) -> Column:
-    """Distinct tokens: each host suffix and each path prefix up to a depth, digits written as #."""
-    labels = F.reverse(F.filter(F.split(host, r"\."), lambda x: x != ""))
-    parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda x: x != "")
+def query_of(url: Column) -> Column:
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+
 
-    def runs(items: Column, depth: int, tag: str, turn: bool) -> Column:
-        n = F.least(F.size(items), F.lit(depth))
-        run = lambda k: F.slice(items, F.lit(1), k)
-        text = lambda k: F.array_join(F.reverse(run(k)), ".") if turn else F.array_join(run(k), "/")
-        some = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.concat(F.lit(tag), text(k)))
-        return F.when(n > 0, some).otherwise(F.array().cast("array<string>"))
+def tokens_of(url: Column) -> Column:
+    """Distinct words of host (h:), path (p:) and query (q:), in lower case, digits written as #."""
+    def tagged(tag: str, part: Column) -> Column:
+        found = F.regexp_extract_all(F.regexp_replace(F.lower(part), "[0-9]+", "#"), F.lit(r"[\p{L}#]+"), 0)
+        return F.transform(found, lambda x: F.concat(F.lit(tag), x))
 
-    return F.array_distinct(F.concat(runs(labels, HOST_DEPTH, "h:", True), runs(parts, PATH_DEPTH, "p:", False)))
+    return F.array_distinct(F.concat(tagged("h:", host_of(url)), tagged("p:", path_of(url)), tagged("q:", query_of(url))))
 
 
 def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.95) -> list[tuple[list[str], float]]:
     """Token sets that imply ``block``, from rows (tokens array, blocked boolean); minimal sets only.
 
-    At most 1 / min_support single tokens per token place can be frequent, so what reaches the driver is bounded.
+    Frequent tokens number at most the words of a URL times 1 / min_support, and the rules made of them reach the driver.
     """
     if labelled.isEmpty():
         return []
@@ -87,13 +83,16 @@ def matches(tokens: Column, mined: list[tuple[list[str], float]]) -> Column:
     if not mined:
         return F.lit(False)
     uses = {t: sum(t in rule for rule, _ in mined) for rule, _ in mined for t in rule}
-    index: dict[str, list[list[str]]] = {}
+    index: dict[str, list[set[str]]] = {}
     for rule, _ in mined:
         key = min(rule, key=lambda t: (uses[t], -len(t), t))
-        index.setdefault(key, []).append(rule)
-    lookup = F.from_json(F.lit(json.dumps(index)), "map<string,array<array<string>>>")
-    hits = F.flatten(F.transform(F.filter(tokens, lambda t: F.map_contains_key(lookup, t)), lambda t: F.element_at(lookup, t)))
-    return F.exists(hits, lambda rule: F.size(F.array_except(rule, tokens)) == 0)
+        index.setdefault(key, []).append(set(rule))
+
+    @F.pandas_udf("boolean")
+    def hit(found: pd.Series) -> pd.Series:
+        return pd.Series([any(rule.issubset(have) for t in have if t in index for rule in index[t]) for have in map(set, found)], dtype=bool)
+
+    return hit(tokens)
 
 
 def judge_urls(
@@ -106,16 +105,17 @@ def judge_urls(
 ) -> DataFrame:
     """Adds host, path, rule and verdict. labelled: rows (url, blocked) to mine from.
 
-    Without labelled rows of its own, the filter learns from the listed rules: a URL counts as blocked if a block rule
-    fits it, and as a negative example otherwise.
+    Without labelled rows of its own, the filter learns from the listed rules: a URL that a block rule decides is a bad example, one that an
+    allow rule decides a good one, and the others teach nothing.
     """
-    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    found = pages.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "__verdict": verdict})
+    host, path, tokens = host_of(F.col(url_col)), path_of(F.col(url_col)), tokens_of(F.col(url_col))
+    rule, verdict = rule_of(F.col("__host"), F.col("__path"), rules)
+    found = pages.withColumns({"__tokens": tokens, "__host": host, "__path": path}).withColumns({"__rule": rule, "__verdict": verdict})
     if labelled is None:
-        examples = found.select(tokens_of(F.col("host"), F.col("path")).alias("tokens"), F.coalesce(F.col("__verdict") == "block", F.lit(False)).alias("blocked"))
+        examples = found.where("__verdict IS NOT NULL").select(F.col("__tokens").alias("tokens"), (F.col("__verdict") == "block").alias("blocked"))
     else:
-        examples = labelled.select(tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
+        examples = labelled.select(tokens_of(F.col("url")).alias("tokens"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
     mined = mine_rules(examples, min_support, min_confidence)
-    learned = F.when(matches(tokens_of(F.col("host"), F.col("path")), mined), "block").otherwise("allow")
-    return found.withColumn("verdict", F.coalesce("__verdict", learned)).drop("__verdict")
+    learned = F.when(matches(F.col("__tokens"), mined), "block").otherwise("allow")
+    results = {"host": F.col("__host"), "path": F.col("__path"), "rule": F.col("__rule"), "verdict": F.coalesce("__verdict", learned)}
+    return found.withColumns(results).drop("__tokens", "__host", "__path", "__rule", "__verdict")

@@ -1,20 +1,11 @@
 import hashlib
 import zlib
 
-import pytest
-
 from kinloom.llm.media import payload_of, read_headers, read_media, write_media
-from kinloom.llm.queries import URL_RULES
-from kinloom.llm.urls import judge_urls
 from kinloom.llm.warc import read_warc, records, write_warc
 
 TEXTS = ["", None, "short", "é" * 500, "x" * 192, "many words " * 40_000, "short"]
 HTML = [None, "", "tiny", "tiny", "p" * 100, "p" * 100, "ü" * 60, "long " * 60_000, "long " * 60_000]
-URLS = [
-    (None, "", "", None), ("no scheme", "", "", None), ("http://a.COM/x?y", "a.com", "/x", "com/"), ("http://example.com/en/1", "example.com", "/en/1", "example.com/en/"),
-    ("http://www.example.com/en/#t", "www.example.com", "/en/", "www.example.com/en/"), ("https://m.x.net/es/9", "m.x.net", "/es/9", "net/es/"),
-    ("https://x.net/fr", "x.net", "/fr", None), ("ftp://notcom/", "notcom", "/", None), ("http://com", "com", "", None), ("a://b://c/d", "b:", "//c/d", None),
-]
 
 
 def test_media_round_trip(spark):
@@ -49,26 +40,3 @@ def test_warc_round_trip(spark):
 
 def test_warc_empty_table(spark):
     assert records(read_warc(write_warc(spark.createDataFrame([], "page_id long, url string, html string")))).count() == 0
-
-
-def test_urls_match_rules(spark):
-    pages = spark.createDataFrame([(i, u[0], 7) for i, u in enumerate(URLS)], "page_id long, url string, host long")
-    verdicts = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block"}
-    for r in judge_urls(pages, URL_RULES, min_support=0.5).collect():
-        _, host, path, rule = URLS[r.page_id]
-        assert (r.host, r.path, r.rule) == (host, path, rule)
-        assert r.verdict == verdicts.get(rule, "allow")
-
-
-@pytest.mark.parametrize("label", [True, False])
-def test_mined_rules_block_combinations(spark, label):
-    bad = [(f"http://shop{i}.io/casino/{i}", True) for i in range(30)]
-    good = [(f"http://shop{i}.io/books/{i}", False) for i in range(30)] + [(f"http://site{i}.org/casino/", False) for i in range(30)]
-    labelled = spark.createDataFrame(bad + good, "url string, blocked boolean")
-    pages = spark.createDataFrame([(1, "http://other.io/casino/77"), (2, "http://other.org/casino/"), (3, "http://other.io/books/1")], "page_id long, url string")
-    found = {r.page_id: r.verdict for r in judge_urls(pages, [], labelled if label else labelled.limit(0), min_support=0.1).collect()}
-    assert found == {1: "block" if label else "allow", 2: "allow", 3: "allow"}
-
-
-def test_urls_empty_table(spark):
-    assert judge_urls(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
