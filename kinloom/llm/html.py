@@ -1,14 +1,15 @@
 """Main text of web pages: gradient-boosted trees over DOM-node features, decoded over the tree.
 
 Every block-level node gets features of its own (tag, attribute tokens, text), of its subtree (text, link and punctuation
-density), of its place (depth, siblings) and of its path. Boosted trees, fitted by Spark ML on generated pages whose nodes are
-labelled (a bounded sample, ``train_pages``), give each node a log-odds of being main text. Decoding then picks the best labels for
+density), of its place (depth, siblings) and of its path. Tags and attribute tokens count by how they speak for main text: a log-odds each, learned
+from one half of generated pages whose nodes are labelled (a bounded sample, ``train_pages``); unknown ones count nothing. Boosted trees, fitted by Spark ML on
+the other half, give each node a log-odds of being main text. Decoding then picks the best labels for
 all nodes at once under the rule that along any path from the root come containers, then main text, then what is left
 out; so nothing inside a dropped node is kept, and main text has no container inside.
 
 Defined cases: null and empty pages, and pages without main text, give an empty text. Unclosed and crossing tags are
-repaired as browsers do for paragraphs, list items and table cells; a stray end tag is ignored. Repeated rows are
-treated alike. An empty table gives an empty result. Clashing result columns are replaced.
+repaired as browsers do for paragraphs, list items and table cells; a stray end tag is ignored. Very long pages are read whole. Null ids and URLs are kept, and
+repeated rows are treated alike. An empty table gives an empty result. Other columns are kept, but html is not; clashing result columns are replaced.
 """
 
 from __future__ import annotations
@@ -37,12 +38,9 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 KEEPS_P = frozenset("td th table caption button html body article".split())
 
-BAD_TAGS = frozenset("nav header footer aside form menu dialog fieldset select".split())
-GOOD_TAGS = frozenset("article main".split())
-#: Attribute tokens that speak for and against main text.
-GOOD_TOKENS = frozenset("article content main post entry story body text".split())
-BAD_TOKENS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice pager pagination popup promo promoted recommended related reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget".split())
-FEATURES = ["bad_tag", "good_tag", "good_tokens", "bad_tokens", "path_bad_tag", "path_good_tag", "path_good_tokens", "path_bad_tokens", "log_chars", "link_density", "chars_per_tag", "punctuation", "depth", "place", "siblings", "share_of_parent", "share_of_page", "paragraphs", "chars_per_block", "is_p", "is_heading", "is_list", "is_box", "controls", "sibling_links"]
+#: Features by token: of a node's tag and of its attributes' words, the least and the greatest weight at the node and on its path.
+TOKEN_FEATURES = [f"{where}{what}_{end}" for where in ("", "path_") for what in ("tag", "word") for end in ("least", "most")]
+FEATURES = [*TOKEN_FEATURES, "log_chars", "link_density", "chars_per_tag", "punctuation", "depth", "place", "siblings", "share_of_parent", "share_of_page", "paragraphs", "chars_per_block", "is_p", "is_heading", "is_list", "is_box", "controls", "sibling_links"]
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>", re.S)
 _VALUE = r"\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)"
@@ -57,7 +55,7 @@ class Page:
     """Block nodes in page order, and the text blocks with the node each belongs to."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.good, self.bad = ["#root"], [-1], [0], [0]
+        self.tag, self.parent, self.words = ["#root"], [-1], [frozenset()]
         self.hidden, self.tags, self.controls, self.links = [False], [0], [0], [0]
         self.texts: list[tuple[int, str]] = []
         self._run: list[str] = []
@@ -94,7 +92,7 @@ class Page:
             if text:
                 node = self._stack[-1][1]
                 if node == 0:  # loose text belongs to an implied body, as the root is never main text
-                    for held, value in ((self.tag, "body"), (self.parent, 0), (self.good, 0), (self.bad, 0), (self.hidden, False), (self.tags, 1), (self.controls, 0), (self.links, self.links[0])):
+                    for held, value in ((self.tag, "body"), (self.parent, 0), (self.words, frozenset()), (self.hidden, False), (self.tags, 1), (self.controls, 0), (self.links, self.links[0])):
                         held.append(value)
                     node, self.links[0] = len(self.tag) - 1, 0
                 self.texts.append((node, text))
@@ -122,7 +120,7 @@ class Page:
         if name in VOID:
             return
         if name in BLOCK:
-            good = bad = 0
+            words: set[str] = set()
             hidden = self.hidden[node] or name in HIDDEN
             for key, value, flag in _ATTRIBUTE.findall(attributes) if attributes else ():
                 if flag:
@@ -134,9 +132,8 @@ class Page:
                 elif key.lower() == "aria-hidden":
                     hidden = hidden or "true" in value.lower()
                 else:
-                    tokens = {t.lower() for t in _TOKEN.findall(value)}
-                    good, bad = good + len(tokens & GOOD_TOKENS), bad + len(tokens & BAD_TOKENS)
-            for held, value in ((self.tag, name), (self.parent, node), (self.good, good), (self.bad, bad), (self.hidden, hidden), (self.tags, 1), (self.controls, 0), (self.links, 0)):
+                    words.update(t.lower() for t in _TOKEN.findall(value))
+            for held, value in ((self.tag, name), (self.parent, node), (self.words, words), (self.hidden, hidden), (self.tags, 1), (self.controls, 0), (self.links, 0)):
                 held.append(value)
             node = len(self.tag) - 1
         elif name == "a":
@@ -166,7 +163,8 @@ class Page:
             if name not in BLOCK and self._stack[k][0] in BLOCK:
                 return  # an inline end tag does not reach past its block
 
-    def features(self) -> np.ndarray:
+    def features(self, weights: dict[str, float]) -> np.ndarray:
+        """A row of FEATURES a node. weights: those of tokens_of()."""
         n = len(self.tag)
         parent = np.array(self.parent)
         chars, marks, blocks = np.zeros(n), np.zeros(n), np.zeros(n)
@@ -175,8 +173,9 @@ class Page:
             marks[node] += len(_MARKS.findall(text))
             blocks[node] += 1
         tag = np.array(self.tag)
-        own = {"bad_tag": np.isin(tag, list(BAD_TAGS)), "good_tag": np.isin(tag, list(GOOD_TAGS)), "good_tokens": np.array(self.good), "bad_tokens": np.array(self.bad)}
-        paths = {f"path_{k}": v.astype(float) for k, v in own.items()}
+        own = {"tag": [[weights.get("<" + t, 0.0)] for t in self.tag], "word": [[weights.get(w, 0.0) for w in sorted(ws)] or [0.0] for ws in self.words]}
+        tokens = {f"{what}_{end}": np.array([pick(v) for v in values]) for what, values in own.items() for end, pick in (("least", min), ("most", max))}
+        paths = {f"path_{k}": v.copy() for k, v in tokens.items()}
         links, tags, controls = np.array(self.links, float), np.array(self.tags, float), np.array(self.controls, float)
         paragraphs, depth, order, siblings = (tag == "p").astype(float), np.zeros(n), np.zeros(n), np.zeros(n)
         for i in range(1, n):
@@ -184,15 +183,15 @@ class Page:
             depth[i] = depth[p] + 1
             order[i] = siblings[p]
             siblings[p] += 1
-            for v in paths.values():
-                v[i] += v[p]
+            for k, v in paths.items():
+                v[i] = min(v[i], v[p]) if k.endswith("least") else max(v[i], v[p])
         for i in range(n - 1, 0, -1):
             p = parent[i]
             for v in (chars, marks, blocks, links, tags, controls, paragraphs):
                 v[p] += v[i]
         around = siblings[parent]
         density = np.minimum(links, chars) / np.maximum(chars, 1)
-        columns = own | paths | {
+        columns = tokens | paths | {
             "log_chars": np.log1p(chars),
             "link_density": density,
             "chars_per_tag": chars / np.maximum(tags, 1),
@@ -213,6 +212,9 @@ class Page:
         }
         return np.column_stack([columns[k].astype(float) for k in FEATURES])
 
+    def tokens_of(self, node: int) -> set[str]:
+        return {"<" + self.tag[node], *self.words[node]}
+
     def decode(self, odds: np.ndarray) -> str:
         """Text of the nodes labelled as main text by the best labels for the whole tree.
 
@@ -239,10 +241,11 @@ class Page:
         return "\n\n".join(text for node, text in self.texts if label[node] == 1)
 
 
-def training_page(rng: random.Random) -> tuple[str, str]:
-    """A generated page, and the name of the attribute that marks labelled nodes in it (y="1" or y="0").
+def training_page(rng: random.Random) -> str:
+    """A generated page with labelled nodes (y="1" main text, y="0" not).
 
-    Layouts, tags and attribute names vary; texts are of any quality, so that a node's place tells more than its words.
+    Layouts, tags and attribute names vary, and any node may bear names that say nothing; texts are of any quality, so that a node's place
+    tells more than its words.
     """
     def words(n: int) -> str:
         out = []
@@ -255,59 +258,78 @@ def training_page(rng: random.Random) -> tuple[str, str]:
     def links(n: int) -> str:
         return "".join(f'<li y="0"><a href="/{k}">{words(rng.randint(1, 3))}</a></li>' for k in range(n))
 
-    named = lambda options: rng.choice(["class", "id"]) + f'="{rng.choice(options)}"'
+    def named(*options: str) -> str:
+        neutral = rng.choice(["", "", "", " row", " col left", " box", " wide", " " + "".join(rng.choices("bcdfgkmptx", k=3))])
+        return rng.choice(["class", "class", "id", "role"]) + f'="{rng.choice(options)}{neutral}"'
+
+    def plain() -> str:
+        return rng.choice(["", "", "", ' class="row"', ' class="col left"', ' id="box"', ' data-hidden="false"', ' title="hidden places"', f' class="{"".join(rng.choices("bcdfgkmptx", k=4))}"'])
+
     junk = [
-        lambda: f'<nav y="0"><ul y="0">{links(rng.randint(2, 9))}</ul></nav>',
-        lambda: f'<div y="0" {named(["menu", "nav-bar", "breadcrumbs", "topMenu"])}><ul y="0">{links(rng.randint(2, 6))}</ul></div>',
+        lambda: f'<nav y="0"{plain()}><ul y="0">{links(rng.randint(2, 9))}</ul></nav>',
+        lambda: f'<div y="0" {named("menu", "nav-bar", "breadcrumbs", "topMenu", "navigation", "pager", "pagination", "toolbar", "skip")}><ul y="0">{links(rng.randint(2, 6))}</ul></div>',
+        lambda: f'<ul y="0"{plain()}>{links(rng.randint(3, 9))}</ul>',
         lambda: f'<header y="0"><h1 y="0">{words(3)}</h1><p y="0">{words(6)}</p></header>',
-        lambda: f'<div y="0" {named(["site-header", "masthead"])}><p y="0">{words(5)}</p></div>',
+        lambda: f'<div y="0" {named("site-header", "masthead", "banner", "logo")}><p y="0">{words(5)}</p></div>',
         lambda: f'<footer y="0"><p y="0">{words(rng.randint(2, 30))}</p></footer>',
-        lambda: f'<footer y="0">{words(rng.randint(2, 30))}</footer>',
-        lambda: f'<div y="0" {named(["footer", "copyright legal"])}>{words(rng.randint(3, 30))}</div>',
-        lambda: f'<aside y="0"><h3 y="0">{words(2)}</h3><p y="0">{words(rng.randint(4, 60))}</p></aside>',
-        lambda: f'<div y="0" {named(["sidebar", "widget", "related-posts"])}><ul y="0">{links(4)}</ul><p y="0">{words(20)}</p></div>',
-        lambda: f'<div y="0" {named(["ad", "ads", "advert", "sponsored", "promo banner"])}>{words(rng.randint(2, 25))}</div>',
-        lambda: f'<div y="0" {named(["cookie-notice", "notice", "gdpr consent", "popup", "newsletter-signup"])}><p y="0">{words(rng.randint(5, 40))}</p></div>',
-        lambda: f'<form y="0"><p y="0">{words(4)}</p><input name="q"><button>{words(1)}</button></form>',
-        lambda: f'<div y="0" {named(["share", "social-links", "tags"])}>{words(4)}</div>',
+        lambda: f'<footer y="0"{plain()}>{words(rng.randint(2, 30))}</footer>',
+        lambda: f'<div y="0" {named("footer", "copyright legal", "imprint", "disclaimer")}>{words(rng.randint(3, 30))}</div>',
+        lambda: f'<aside y="0"{plain()}><h3 y="0">{words(2)}</h3><p y="0">{words(rng.randint(4, 60))}</p></aside>',
+        lambda: f'<div y="0" {named("sidebar", "widget", "related-posts", "recommended", "trending")}><ul y="0">{links(4)}</ul><p y="0">{words(20)}</p></div>',
+        lambda: f'<div y="0" {named("ad", "ads", "advert", "sponsored", "promo banner", "advertisement", "ad-box")}>{words(rng.randint(2, 25))}</div>',
+        lambda: f'<div y="0" {named("cookie-notice", "notice", "gdpr consent", "popup", "newsletter-signup", "modal", "subscribe", "paywall", "alert")}><p y="0">{words(rng.randint(5, 40))}</p></div>',
+        lambda: f'<form y="0"{plain()}><p y="0">{words(4)}</p><input name="q"><button>{words(1)}</button></form>',
+        lambda: f'<div y="0" {named("search", "login", "share", "social-links", "tags")}>{words(4)}</div>',
     ]
-    comments = lambda: f'<{(t := rng.choice(["div", "section", "ol"]))} y="0" {named(["comments", "comment-list", "disqus_thread", "reader-comments"])}>' + "".join(f'<{"li" if t == "ol" else "div"} y="0" class="comment"><p y="0">{words(rng.randint(3, 60))}</p></{"li" if t == "ol" else "div"}>' for _ in range(rng.randint(1, 5))) + f"</{t}>"
+
+    def comments() -> str:
+        outer, inner = rng.choice([("div", "div"), ("section", "div"), ("section", "article"), ("ol", "li"), ("ul", "li")])
+        said = "".join(f'<{inner} y="0" class="{rng.choice(["comment", "reply", "comment reply"])}"><p y="0">{words(rng.randint(3, 60))}</p></{inner}>' for _ in range(rng.randint(1, 5)))
+        return f'<{outer} y="0" {named("comments", "comment-list", "disqus_thread", "reader-comments", "responses", "discussion")}>{said}</{outer}>'
 
     def body_block() -> str:
         k = rng.random()
-        if k < 0.72:
-            return f'<p y="1">{words(rng.randint(1, 90))}</p>'
-        if k < 0.8:
+        if k < 0.7:
+            return f'<p y="1"{plain()}>{words(rng.randint(1, 90))}</p>'
+        if k < 0.78:
             return f'<h{(d := rng.randint(2, 4))} y="1">{words(rng.randint(1, 6))}</h{d}>'
-        if k < 0.87:
+        if k < 0.85:
             return '<ul y="1">' + "".join(f'<li y="1">{words(rng.randint(1, 12))}</li>' for _ in range(rng.randint(2, 5))) + "</ul>"
-        if k < 0.92:
+        if k < 0.89:
             return f'<blockquote y="1"><p y="1">{words(rng.randint(5, 40))}</p></blockquote>'
+        if k < 0.93:
+            return f'<div y="1"{plain()}>{words(rng.randint(3, 60))}</div>'
         if k < 0.96:
-            return f'<div y="1">{words(rng.randint(3, 60))}</div>'
+            return '<table y="1">' + "".join(f'<tr y="1"><td y="1">{words(2)}</td><td y="1">{words(3)}</td></tr>' for _ in range(rng.randint(2, 4))) + "</table>"
         return f'<p y="1"><a href="/x">{words(3)}</a> {words(rng.randint(5, 40))}</p>'
 
-    blocks = [f'<h1 y="1">{words(rng.randint(2, 9))}</h1>'] * (rng.random() < 0.9) + [body_block() for _ in range(rng.randint(1, 14))]
+    blocks = [f'<h1 y="1">{words(rng.randint(2, 9))}</h1>'] * (rng.random() < 0.85) + [body_block() for _ in range(rng.randint(1, 14))]
     for _ in range(rng.choice([0, 0, 1, 2])):
-        blocks.insert(rng.randint(1, len(blocks)), rng.choice(junk[8:])())
+        blocks.insert(rng.randint(1, len(blocks)), rng.choice(junk[9:])())
     if rng.random() < 0.2:
         blocks.append(comments())
     inner = "".join(blocks)
     article = rng.choice([
-        lambda: f'<article y="1">{inner}</article>',
-        lambda: f'<article y="1" {named(["post", "entry"])}>{inner}</article>',
-        lambda: f'<main y="1">{inner}</main>',
+        lambda: f'<article y="1"{plain()}>{inner}</article>',
+        lambda: f'<article y="1" {named("post", "entry", "story")}>{inner}</article>',
+        lambda: f'<main y="1"{plain()}>{inner}</main>',
         lambda: f'<main><article y="1">{inner}</article></main>',
-        lambda: f'<div y="1" {named(["content", "article-body", "post entry", "main-text", "storyBody"])}>{inner}</div>',
+        lambda: f'<div y="1" {named("content", "article-body", "post entry", "main-text", "storyBody", "page-content", "prose", "text", "main")}>{inner}</div>',
+        lambda: f'<div{plain()}><div y="1"{plain()}>{inner}</div></div>',
+        lambda: f'<section y="1"{plain()}>{inner}</section>',
         lambda: f'<div y="1">{inner}</div>',
     ])()
     around = [rng.choice(junk)() for _ in range(rng.randint(1, 6))]
     if rng.random() < 0.3:
         around.append(comments())
+    rng.shuffle(around)
     cut = rng.randint(0, len(around))
-    page = "".join([*around[:cut], article, *around[cut:]])
+    if rng.random() < 0.12:  # laid out by a table
+        page = f'<table{plain()}><tr><td>{"".join(around[:cut])}</td><td>{article}</td></tr></table>{"".join(around[cut:])}'
+    else:
+        page = "".join([*around[:cut], article, *around[cut:]])
     if rng.random() < 0.4:
-        page = f'<div {named(["wrapper", "page", "container"])}>{page}</div>'
+        page = f'<div {named("wrapper", "page", "container")}>{page}</div>'
     return f"<html><head><title>{words(3)}</title></head><body>{page}</body></html>"
 
 
@@ -326,11 +348,25 @@ class _Labelled(Page):
             self.label.append(int(found[1]) if found else None)
 
 
+def token_weights(pages: list[_Labelled]) -> dict[str, float]:
+    """The smoothed log-odds that a labelled node with the token is main text, against all labelled nodes."""
+    counts: dict[str, list[int]] = {}
+    total = [1, 1]
+    for page in pages:
+        for node, y in enumerate(page.label):
+            if y is not None:
+                total[y] += 1
+                for t in page.tokens_of(node):
+                    counts.setdefault(t, [1, 1])[y] += 1
+    base = math.log(total[1] / total[0])
+    return {t: round(math.log(k[1] / k[0]) - base, 6) for t, k in counts.items()}
+
+
 class Trees:
-    """Boosted trees as arrays: the split feature (-1 at a leaf), threshold, children and value of each node."""
+    """Boosted trees as arrays: the split feature (-1 at a leaf), threshold, children and value of each node; and the tokens' weights."""
 
-    def __init__(self, model) -> None:
-        self.trees = []
+    def __init__(self, model, weights: dict[str, float]) -> None:
+        self.trees, self.weights = [], weights
         for weight, tree in zip(model.treeWeights, model.trees, strict=True):
             rows: list[list[float]] = []
 
@@ -366,20 +402,21 @@ class Trees:
 _fitted: dict[tuple, Trees] = {}
 
 
-def fit_trees(spark: SparkSession, train_pages: int = 400, trees: int = 12, depth: int = 5, seed: int = 7) -> Trees:
-    """Fits on ``train_pages`` generated pages, once an application."""
+def fit_trees(spark: SparkSession, train_pages: int = 800, trees: int = 16, depth: int = 5, seed: int = 7) -> Trees:
+    """Fits on ``train_pages`` generated pages, once an application: tokens' weights on one half, trees on the other."""
     key = (spark.sparkContext.applicationId, train_pages, trees, depth, seed)
     if key not in _fitted:
         rng = random.Random(seed)
+        pages = [_Labelled(training_page(rng)) for _ in range(train_pages)]
+        weights = token_weights(pages[::2])
         rows = []
-        for _ in range(train_pages):
-            page = _Labelled(training_page(rng))
-            rows += [(float(y), *map(float, x)) for y, x in zip(page.label, page.features(), strict=True) if y is not None]
+        for page in pages[1::2]:
+            rows += [(float(y), *map(float, x)) for y, x in zip(page.label, page.features(weights), strict=True) if y is not None]
         table = spark.createDataFrame(pd.DataFrame(rows, columns=["label", *FEATURES])).coalesce(2)
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(table).select("label", "features").persist()
         model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed).fit(vectors)
         vectors.unpersist()
-        _fitted[key] = Trees(model)
+        _fitted[key] = Trees(model, weights)
     return _fitted[key]
 
 
@@ -396,7 +433,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", trees: Trees | None =
             htmls, out = batch["__html"].to_pylist(), []
             for at in range(0, len(htmls), 256):
                 some = [Page(h or "") for h in htmls[at : at + 256]]
-                odds = trees.odds(np.concatenate([p.features() for p in some]))
+                odds = trees.odds(np.concatenate([p.features(trees.weights) for p in some]))
                 edges = np.cumsum([0, *[len(p.tag) for p in some]])
                 out += [p.decode(odds[a:b]) for p, a, b in zip(some, edges[:-1], edges[1:], strict=True)]
             columns = [batch[c] for c in keep]

@@ -12,20 +12,48 @@ TEXT = "Head & line\n\nFirst line\n\nSecond <one> é!!\n\nx"
 
 @pytest.fixture(scope="module")
 def trees(spark):
-    return fit_trees(spark, train_pages=150, trees=8)
+    return fit_trees(spark)
 
 
 def test_held_out_pages(trees):
     rng, exact, kept, wrong, missed = random.Random(99), 0, 0, 0, 0
     for _ in range(150):
         page = html._Labelled(training_page(rng))
-        got = page.decode(trees.odds(page.features())).split("\n\n")
+        got = page.decode(trees.odds(page.features(trees.weights))).split("\n\n")
         want = [t for n, t in page.texts if page.label[n] == 1]
         exact += got == want
         kept += len(want)
         wrong += len(set(got) - set(want))
         missed += len(set(want) - set(got))
-    assert exact >= 120 and wrong <= 0.03 * kept and missed <= 0.03 * kept, (exact, wrong, missed, kept)
+    assert exact >= 145 and wrong <= 0.01 * kept and missed <= 0.01 * kept, (exact, wrong, missed, kept)
+
+
+#: Pages written by hand, in layouts that the generator does not make, with their main text.
+PAGES = [
+    (
+        "<body><table><tr><td width=20%><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></td><td><h1>Old page</h1><p>First paragraph of a page that is laid out by a table, as they once were.</p><p>Second one, short.</p></td></tr></table><p class=copyright>Copyright 1999</p></body>",
+        ["Old page", "First paragraph of a page that is laid out by a table, as they once were.", "Second one, short."],
+    ),
+    (
+        '<body><div id="comments"><div class="comment"><p>First! I have not read it, but I like it very much indeed.</p></div><div class="comment"><p>Me too.</p></div></div><div class="story"><h1>After the comments</h1><p>The article comes second on this page, behind its readers.</p></div></body>',
+        ["After the comments", "The article comes second on this page, behind its readers."],
+    ),
+    (
+        '<body><div class="top"><a href="/">Home</a> <a href="/a">About</a></div><div><h2>No article tag</h2><p>There is neither an article nor a main element on this page, only plain boxes.</p><p>They hold the text all the same, and it goes on for a while.</p></div><div class="footer">All rights reserved</div></body>',
+        ["No article tag", "There is neither an article nor a main element on this page, only plain boxes.", "They hold the text all the same, and it goes on for a while."],
+    ),
+    ("<body><article onclick=\"show('hidden')\"><p title=\"hidden gems\">One.</p><div data-hidden=\"false\">Two is here.</div><p data-state=\"not hidden\">Three.</p><p hidden-x>Four.</p><p hidden>Never.</p></article></body>", ["One.", "Two is here.", "Three.", "Four."]),
+    (
+        "<body><nav><a href=/>Start</a></nav><main><h1>Recipe</h1><ul><li>two eggs</li><li>a cup of flour</li></ul><p>Mix and bake.</p><table><tr><td>Time</td><td>20 minutes</td></tr></table></main><aside><h3>More recipes</h3><ul><li><a href=1>Soup</a></li></ul></aside><footer>Imprint</footer></body>",
+        ["Recipe", "two eggs", "a cup of flour", "Mix and bake.", "Time", "20 minutes"],
+    ),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PAGES)
+def test_pages_of_other_layouts(trees, page, want):
+    page = Page(page)
+    assert page.decode(trees.odds(page.features(trees.weights))).split("\n\n") == want
 
 
 def test_decoding_is_the_best_consistent_labelling(trees):
@@ -63,7 +91,7 @@ def test_loose_text_and_the_word_hidden():
     for html, want in [("plain", "plain"), ("<b>bare</b> text", "bare text"), ("<p>a</p></html>after", "a\n\nafter")]:
         page = Page(html)
         assert page.decode(np.ones(len(page.tag))) == want
-        assert page.features().shape[0] == len(page.tag)
+        assert page.features({}).shape[0] == len(page.tag)
     for attributes, hidden in [('data-hidden="false"', False), ('title="The hidden river"', False), ("title='a hidden id=x'", False), ('class="x" HIDDEN', True), ('hidden="" id=a', True), ('aria-hidden="true"', True), ('style="display: none"', True)]:
         page = Page(f"<div {attributes}>text</div>")
         assert page.hidden[1] is hidden, attributes
