@@ -6,12 +6,14 @@ of all hosts' rates. A host whose shrunk rate is above ``host_limit`` with its w
 all its documents; so a host of a few failing documents is judged by its documents alone. Only hosts' sums are joined back; the join splits a hot host
 on the documents' side.
 
-Defined cases: a null or empty text has no words and fails. A null host is a host of its own. Repeated rows count each. An empty
-table gives an empty result. Input columns that clash with a result column are replaced.
+Defined cases: a null or empty text has no words and fails. A null host is a host of its own. Null ids are kept. Repeated rows count each. Very long texts
+are counted whole. An empty table gives an empty result. Input columns that clash with a result column are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, where the optimizer would else copy it into each step of a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def repeat_words(hashes: Column) -> Column:
     """Words that lie in a window found twice or more. hashes: each window's hash, by start.
 
@@ -44,8 +51,7 @@ def repeat_words(hashes: Column) -> Column:
         steps = F.transform(p, lambda x, k: F.least(F.coalesce(F.get(p, k + 1) - x, F.lit(WINDOW)), F.lit(WINDOW)))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  binds a value once
-    return let(pairs, lambda s: let(F.array_sort(starts(s)), covered))
+    return _let(pairs, lambda s: _let(F.array_sort(starts(s)), covered))
 
 
 def count_rules(docs: DataFrame, text_col: str = "text", min_words: int = 20, max_repeat_pct: int = 30) -> DataFrame:
@@ -54,7 +60,9 @@ def count_rules(docs: DataFrame, text_col: str = "text", min_words: int = 20, ma
     lines = F.filter(F.split(text, "\n"), lambda x: _without(x, SPACE) != "")
     out = docs.withColumn("__w", words(F.col(text_col))).withColumn("__l", lines)
     n = F.size("__w")
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("__w", i, WINDOW))))
+    starts = F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1)))
+    hashes = F.transform("__w", lambda w: F.xxhash64(w))  # each word is hashed once, a window from its words' hashes
+    windows = F.when(n >= WINDOW, _let(hashes, lambda h: F.transform(starts, lambda i: F.xxhash64(F.slice(h, i, WINDOW)))))
     out = out.withColumn("__h", F.coalesce(windows, F.array().cast("array<bigint>")))
     repeated = F.size(F.array_distinct("__h")) < F.size("__h")
     out = out.withColumns({

@@ -4,7 +4,7 @@ from collections import Counter
 from kinloom.llm.quality import judge_quality
 
 GOOD = " ".join(f"word{i}" for i in range(40))
-TEXTS = [None, "", " \n\t", "few words", GOOD, GOOD + "\n" + GOOD, "a b c d e f g h " * 10, "line # one\nline # one\n\n" + GOOD, "\x0b" + GOOD + "\x0c#*$%&|<>", "é " * 30]
+TEXTS = [None, "", " \n\t", "few words", GOOD, GOOD + "\n" + GOOD, "a b c d e f g h " * 10, "line # one\nline # one\n\n" + GOOD, "\x0b" + GOOD + "\x0c#*$%&|<>", "é " * 30, "one two three four five six seven eight nine " * 20_000, " ".join(f"x{i % 70_001}" for i in range(90_000))]
 
 
 def brute(text):
