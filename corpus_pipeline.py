@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from kinloom.llm.common import stored, table
 from kinloom.llm.mixing import mix_sources
 from kinloom.llm.near_dup import near_duplicates
-from kinloom.llm.packing import pack
+from kinloom.llm.packing import place, tokenize_pieces
 from kinloom.llm.quality import judge_quality
 from kinloom.llm.queries import END_ID, SEQUENCE_TOKENS, vocabulary
 from kinloom.llm.substring import dedup_substrings
@@ -51,19 +51,18 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
-def _mixed(docs: DataFrame) -> DataFrame:
-    """Each row as a struct, with its slot and position."""
-    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("__row"))
-    return mix_sources(rows, WEIGHTS, BLOCK_DOCS)
-
-
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _mixed(docs).orderBy("slot", "position").select("__row.*")
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("__row"))
+    return mix_sources(rows, WEIGHTS, BLOCK_DOCS).orderBy("slot", "position").select("__row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ordered = _mixed(docs).select("doc_id", F.col("__row.text").alias("text"), (F.col("slot") * BLOCK_DOCS + F.col("position")).alias("order"))
-    return pack(ordered, vocabulary("byte_bpe_50k.json"), "bytes", END_ID, SEQUENCE_TOKENS, order_col="order")
+    keep = {"row": F.monotonically_increasing_id(), "source": F.col("source")}
+    pieces = stored(tokenize_pieces(docs, vocabulary("byte_bpe_50k.json"), "bytes", END_ID, SEQUENCE_TOKENS, keep=keep), "pieces")
+    # the order is worked out on one short row a document, not on texts
+    mixed = mix_sources(pieces.where("piece = 0").select("doc_id", "source", "row"), WEIGHTS, BLOCK_DOCS)
+    order = mixed.select("row", (F.col("slot") * BLOCK_DOCS + F.col("position")).alias("order"))
+    return place(stored(pieces.drop("source").join(order, "row").drop("row"), "ordered"), SEQUENCE_TOKENS)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicate), ("substrings", substrings), ("mix", mix), ("pack", packing)]

@@ -11,7 +11,8 @@ whose number follows each length's count, and looks each rank up in the plan.
 With an order column, pieces of a length are ranked by it, in ranges of the order instead of salted groups, and sequences are numbered by
 the first piece, in that order, that they hold.
 
-Defined cases: a null or empty text is its end id alone. Repeated rows are packed each. An empty table gives an empty result.
+Defined cases: a null or empty text is its end id alone. Null ids are kept. Repeated rows are packed each. Very long texts are encoded whole and cut. An empty table
+gives an empty result. Other columns are not carried, so none can clash.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, stored
@@ -106,8 +107,11 @@ def plan(counts: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, with an order column, order: the cut documents."""
+def tokenize_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and the columns of keep: the cut documents."""
+    keep = keep or {}
+    carried = list(keep)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, kind, end_id).encode
         for batch in batches:
@@ -123,11 +127,12 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, cap
                 crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((begins + start).tolist(), (begins + end).tolist(), strict=True)]
                 rows = pa.array(of + first)
                 columns = [batch["id"].take(rows), piece.astype(np.int32), start, end - start, np.array(crcs, np.int64)]
-                columns = [pa.array(c) for c in columns] + ([batch["order"].take(rows)] if order_col else [])
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *(["order"] if order_col else [])])
+                columns = [pa.array(c) for c in columns] + [batch[f"__{c}"].take(rows) for c in carried]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", *carried])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *([F.col(order_col).cast("long").alias("order")] if order_col else []))
-    return picked.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", order long" if order_col else ""))
+    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[v.alias(f"__{k}") for k, v in keep.items()])
+    kept = "".join(f", {k} {picked.schema[f'__{k}'].dataType.simpleString()}" for k in keep)
+    return picked.mapInArrow(cut, f"doc_id long, piece int, start long, length long, ids_crc32 long{kept}")
 
 
 def place(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -171,7 +176,7 @@ def _in_order(placed: DataFrame) -> DataFrame:
     return placed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("number")).select(*[c for c in placed.columns if c != "order"])
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "bytes", end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str = "bytes", end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = stored(tokenize_pieces(docs, tokenizer, kind, end_id, capacity, id_col, text_col, order_col), "pieces")
+    pieces = stored(tokenize_pieces(docs, tokenizer, kind, end_id, capacity, id_col, text_col), "pieces")
     return place(pieces, capacity)
