@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import stored, table
+from kinloom.llm.common import clear_scratch, stored, table
 from kinloom.llm.mixing import mix_sources
 from kinloom.llm.near_dup import near_duplicates
 from kinloom.llm.packing import place, tokenize_pieces
@@ -75,4 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        clear_scratch()
     return STAGES[-1][1](spark, docs, sf_dir)

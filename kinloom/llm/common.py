@@ -49,21 +49,46 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 class Scratch:
-    """Tables that an operator needs only until its result is stored; clear() deletes their folder."""
+    """Tables that an operator needs only until its result is stored; clear() deletes them.
+
+    An operator that stores its own result clears its scratch itself. One whose result still reads it says so by later(), and the caller clears it by
+    clear_scratch() once that result is stored.
+    """
 
     def __init__(self, spark: SparkSession, what: str) -> None:
-        self.spark, self.root = spark, new_path(spark, what)
+        self.spark, self.root, self.tables = spark, new_path(spark, what), []
 
     def stored(self, df: DataFrame, what: str) -> DataFrame:
         path = f"{self.root}/{what}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, what: str, column: str) -> DataFrame:
+        """A table of the catalog, so that joins on the column need no shuffle of it."""
+        name = f"kinloom_{what}_{uuid.uuid4().hex}"
+        df.write.bucketBy(partitions(self.spark), column).option("path", f"{self.root}/{name}").option("compression", "zstd").saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def later(self) -> None:
+        _waiting.append(self)
+
     def clear(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_waiting: list[Scratch] = []
+
+
+def clear_scratch() -> None:
+    """Deletes what operators left for results that are stored by now; results that are not can no longer be read."""
+    while _waiting:
+        _waiting.pop().clear()
+
+
 def words(text: Column) -> Column:
     """Words of a text in order; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAPS), lambda w: w != "")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import clear_scratch, stored, table
 from .html import extract_text
 from .media import read_headers, read_media, write_media
 from .mixing import mix_sources
@@ -47,7 +47,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13, rejoin=True)
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    found = stored(found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")), "substrings")
+    clear_scratch()
+    return found
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

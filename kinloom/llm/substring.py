@@ -6,16 +6,20 @@ Windows are far too many to shuffle, so matches are found by shorter anchors fir
 (every residue is a difference of two members), any two positions i and j have a shift below v that takes both into D modulo v; an
 anchor of window - v + 1 words at that shift lies inside both windows. So only anchors at cover positions are hashed and
 compared (3 of 7 for 13 words), any match shares an aligned one, and from shared anchors the match is extended to the whole windows
-around them, which are compared next. Hashes of whole windows have 64 bits.
+around them, which are compared next by two independent hashes, 128 bits together; anchors by 64 bits, as a false one only costs a window.
 
 1. Documents are packed into blocks of neighbouring rows and written to a table bucketed by block, so the later steps read them without a shuffle.
-2. Each block sends each distinct anchor once, with its smallest and largest document, to the anchor's bucket. A
-   passage in a third of all documents costs one record a block.
-3. A bucket answers each block with two bits a record: whether a smaller document elsewhere has the anchor, and whether a larger has.
+2. Each block sends each distinct anchor once, with its smallest and largest document, to the anchor's cell, a range of hashes. A
+   passage in a third of all documents costs one record a block. Cells number with the data, about ``cell_bytes`` of text each, and a block sends rows only to cells it
+   has records for: so rows never outnumber records, and a cell stays as large as it is, however large the table.
+3. A task streams its cells one after the other, and answers each block with two bits a record: whether a smaller document elsewhere has the anchor, and whether a
+   larger has.
 4. Windows around shared anchors are sent and answered alike; each block then removes the covered words.
 
+The result reads the blocks' table; once it is stored, clear_scratch() drops it.
+
 Defined cases: null and empty texts have no words. Null doc_ids count as larger than all others. Rows with equal
-doc_ids do not remove each other's words. An empty table gives an empty result. Other columns pass through unchanged, save
+doc_ids do not remove each other's words. A very long text makes a block of its own. An empty table gives an empty result. Other columns pass through unchanged, save
 those named n_words or n_removed, which are replaced.
 """
 
@@ -31,12 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_path, partitions, stored
+from .common import Scratch, partitions
 from .near_dup import MIX, U64, _hashes, mix
 
 NO_ID = np.iinfo(np.int64).max
-SENT = "bucket long, block long, hashes binary, low binary, high_at binary, high binary, ids binary"
-ANSWER = "block long, bucket long, smaller binary, larger binary, n long"
+SENT = "cell long, block long, hashes binary, more binary, low binary, high_at binary, high binary, ids binary"
+ANSWER = "block long, cell long, smaller binary, larger binary, n long"
 
 
 def difference_cover(v: int) -> list[int]:
@@ -49,16 +53,28 @@ def difference_cover(v: int) -> list[int]:
     return sorted(cover)
 
 
-def rolled(h: np.ndarray, width: int) -> np.ndarray:
+def rolled(h: np.ndarray, width: int, multiplier: np.uint64 = MIX[0]) -> np.ndarray:
     """A hash of each run of ``width`` word hashes."""
     n = max(0, len(h) - width + 1)
     total = h[:n].copy()
     for i in range(1, width):
-        total *= MIX[0]
+        total *= multiplier
         total += h[i : i + n]
     return mix(total + U64(width))
 
 
+def grouped(hashes: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of (hash, more), and which of them begin a new value."""
+    order = np.argsort(hashes)
+    new = np.append(True, hashes[order][1:] != hashes[order][:-1])[: len(order)]
+    if more is not None:
+        differ = np.append(False, more[order][1:] != more[order][:-1])[: len(order)]
+        if (differ & ~new).any():
+            order = np.lexsort((more, hashes))
+            new = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (more[order][1:] != more[order][:-1]))
+    return order, new
+
+
 class Block:
     """The words of a block's documents in one line, and what anchors and windows say about them."""
 
@@ -81,15 +97,16 @@ class Block:
         covered[difference_cover(self.period)] = True
         at = np.flatnonzero(covered[self.local % self.period] & (self.left >= width) & (self.n_words[self.doc] >= self.window))
         self.anchor_at = at
-        self.anchor, self.anchor_of, self.anchor_low, self.anchor_high = self._distinct(rolled(self.hashes, width)[at], at)
+        self.anchor, _, self.anchor_of, self.anchor_low, self.anchor_high = self._distinct(rolled(self.hashes, width)[at], None, at)
 
-    def _distinct(self, hashes: np.ndarray, at: np.ndarray) -> tuple:
-        distinct, of = np.unique(hashes, return_inverse=True)
-        low = np.full(len(distinct), len(self.ids), np.int64)
-        high = np.full(len(distinct), -1, np.int64)
-        np.minimum.at(low, of, self.rank[at])
-        np.maximum.at(high, of, self.rank[at])
-        return distinct, of, low, high
+    def _distinct(self, hashes: np.ndarray, more: np.ndarray | None, at: np.ndarray) -> tuple:
+        order, new = grouped(hashes, more)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        starts, rank = np.flatnonzero(new), self.rank[at][order]
+        low, high = (f.reduceat(rank, starts) if len(rank) else rank for f in (np.minimum, np.maximum))
+        first = order[starts]
+        return hashes[first], None if more is None else more[first], of, low, high
 
     def windows(self, smaller: np.ndarray, larger: np.ndarray) -> None:
         """Windows around anchors that another document has, by the answers of the anchors' buckets."""
@@ -101,7 +118,8 @@ class Block:
             mark[hit[self.local[hit] >= shift] - shift] = True
         at = np.flatnonzero(mark & (self.left >= self.window))
         self.window_at = at
-        self.windows_, self.window_of, self.window_low, self.window_high = self._distinct(rolled(self.hashes, self.window)[at], at)
+        first, second = rolled(self.hashes, self.window)[at], rolled(self.hashes, self.window, MIX[1])[at]
+        self.windows_, self.windows_more, self.window_of, self.window_low, _ = self._distinct(first, second, at)
 
     def removed(self, smaller: np.ndarray) -> np.ndarray:
         """Which words go."""
@@ -112,59 +130,70 @@ class Block:
         return np.cumsum(steps[:-1]) > 0
 
 
-def _send(block: int, ids: np.ndarray, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -> pd.DataFrame:
+def _send(block: int, ids: np.ndarray, hashes: np.ndarray, more: np.ndarray | None, low: np.ndarray, high: np.ndarray, cells: int) -> pd.DataFrame:
     """Sorted distinct hashes, dealt out by their leading bits; the documents as places in the row's own list of ids.
 
     ``high`` is sent only where it differs from ``low``.
     """
-    bucket = ((hashes >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
+    cell = ((hashes >> U64(32)) * U64(cells) >> U64(32)).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
     rows = []
-    for k in np.flatnonzero(np.diff(edges)).tolist():
-        a, b = edges[k], edges[k + 1]
+    for a, b in zip(starts.tolist(), np.append(starts[1:], len(cell)).tolist(), strict=len(starts) > 0):
         used, places = np.unique(np.concatenate([low[a:b], high[a:b]]), return_inverse=True)
         small = np.uint16 if len(used) < 1 << 16 else np.uint32
         first, last = places[: b - a].astype(small), places[b - a :].astype(small)
         differ = np.flatnonzero(first != last).astype(np.uint32)
-        rows.append((k, block, hashes[a:b].tobytes(), first.tobytes(), differ.tobytes(), last[differ].tobytes(), ids[used].tobytes()))
+        rows.append((int(cell[a]), block, hashes[a:b].tobytes(), b"" if more is None else more[a:b].tobytes(), first.tobytes(), differ.tobytes(), last[differ].tobytes(), ids[used].tobytes()))
     return pd.DataFrame(rows, columns=[x.split()[0] for x in SENT.split(", ")])
 
 
-def answer(group: pd.DataFrame) -> pd.DataFrame:
-    """For each row's records: is a smaller, is a larger document known to another row of the bucket?"""
-    hashes, lows, highs, sizes = [], [], [], []
-    for row in group.itertuples():
+def answer(rows: list) -> pd.DataFrame:
+    """For each record of a cell's rows: is a smaller, is a larger document known to another row of the cell?"""
+    hashes, mores, lows, highs, sizes = [], [], [], [], []
+    for row in rows:
         h, ids = np.frombuffer(row.hashes, U64), np.frombuffer(row.ids, np.int64)
         small = np.uint16 if len(ids) < 1 << 16 else np.uint32
         first = np.frombuffer(row.low, small)
         last = first.copy()
         last[np.frombuffer(row.high_at, np.uint32)] = np.frombuffer(row.high, small)
         hashes.append(h)
+        mores.append(np.frombuffer(row.more, U64))
         lows.append(ids[first])
         highs.append(ids[last])
         sizes.append(len(h))
-    h, low, high = np.concatenate(hashes), np.concatenate(lows), np.concatenate(highs)
-    order = np.argsort(h, kind="stable")
-    starts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-    group_of = np.empty(len(h), np.int64)
-    group_of[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+    h, more, low, high = (np.concatenate(x) for x in (hashes, mores, lows, highs))
+    order, new = grouped(h, more if len(more) else None)
+    starts, group_of = np.flatnonzero(new), np.empty(len(h), np.int64)
+    group_of[order] = np.cumsum(new) - 1
     smaller = np.minimum.reduceat(low[order], starts)[group_of] < low
     larger = np.maximum.reduceat(high[order], starts)[group_of] > high
     ends = np.cumsum(sizes)
     cut = lambda bits: [np.packbits(bits[e - n : e]).tobytes() for n, e in zip(sizes, ends, strict=True)]
-    return pd.DataFrame({"block": group["block"], "bucket": group["bucket"], "smaller": cut(smaller), "larger": cut(larger), "n": sizes})
+    return pd.DataFrame({"block": [r.block for r in rows], "cell": [r.cell for r in rows], "smaller": cut(smaller), "larger": cut(larger), "n": sizes})
+
+
+def answers_of_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Answers cell by cell; rows come sorted by cell."""
+    held: list = []
+    for batch in batches:
+        for row in batch.itertuples():
+            if held and row.cell != held[0].cell:
+                yield answer(held)
+                held = []
+            held.append(row)
+    if held:
+        yield answer(held)
 
 
 def _bits(answers: list | np.ndarray | None, field: str) -> np.ndarray:
-    """The answers of all buckets in order."""
-    rows = sorted((a for a in ([] if answers is None else answers)), key=lambda a: a["bucket"])
+    """The answers of all cells in order."""
+    rows = sorted((a for a in ([] if answers is None else answers)), key=lambda a: a["cell"])
     parts = [np.unpackbits(np.frombuffer(a[field], np.uint8), count=a["n"]).view(bool) for a in rows]
     return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
 def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, block_docs: int) -> DataFrame:
-    """block, ids, texts, rest (the other columns), written once and bucketed by block."""
-    spark = docs.sparkSession
+    """block, ids, texts, rest (the other columns)."""
     rest = [c for c in docs.columns if c not in {id_col, text_col, "n_words", "n_removed"}]
     other = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.struct(F.lit(0).alias("_"))
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), other.alias("rest"))
@@ -183,17 +212,14 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, b
             lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), batch[c]) for c in ("id", "text", "rest")]
             yield pa.RecordBatch.from_arrays([keys, *lists], names=["block", "ids", "texts", "rest"])
 
-    path, name = new_path(spark, "blocks"), f"kinloom_blocks_{uuid.uuid4().hex}"
-    blocks = picked.mapInArrow(packed, schema)
-    blocks.write.bucketBy(partitions(spark), "block").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return picked.mapInArrow(packed, schema)
 
 
-def _answers(sent: DataFrame, what: str) -> DataFrame:
-    """Stored answers, one row a block."""
-    buckets = partitions(sent.sparkSession)
-    found = stored(sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(answer, ANSWER), what)
-    return found.groupBy("block").agg(F.collect_list(F.struct("bucket", "smaller", "larger", "n")).alias(what))
+def _answers(sent: DataFrame, what: str, cells: int, scratch: Scratch) -> DataFrame:
+    """Stored answers, one row a block. A cell is a task's, or part of one: there are at least as many tasks as the session's width."""
+    dealt = sent.repartition(max(cells, partitions(sent.sparkSession)), "cell").sortWithinPartitions("cell")
+    found = scratch.stored(dealt.mapInPandas(answers_of_cells, ANSWER), what)
+    return found.groupBy("block").agg(F.collect_list(F.struct("cell", "smaller", "larger", "n")).alias(what))
 
 
 def dedup_substrings(
@@ -204,6 +230,7 @@ def dedup_substrings(
     rejoin: bool = False,
     block_bytes: int = 4 << 20,
     block_docs: int = 4096,
+    cell_bytes: int = 16 << 20,
 ) -> DataFrame:
     """The documents with their repeated words removed, and n_words and n_removed.
 
@@ -213,15 +240,18 @@ def dedup_substrings(
     if window < 3:
         raise ValueError("a window needs three words at least")
     spark = docs.sparkSession
-    buckets = partitions(spark)
-    blocks = pack_blocks(docs, id_col, text_col, block_bytes, block_docs)
+    scratch = Scratch(spark, "substrings")
+    scratch.later()
+    blocks = scratch.bucketed(pack_blocks(docs, id_col, text_col, block_bytes, block_docs), "blocks", "block")
+    size = blocks.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.octet_length(t), F.lit(0))))).first()[0] or 0
+    cells = max(partitions(spark), -(-size // cell_bytes))
 
     def send_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 b = Block(_list(row.ids), row.texts, window)
                 b.anchors()
-                yield _send(row.block, b.ids, b.anchor, b.anchor_low, b.anchor_high, buckets)
+                yield _send(row.block, b.ids, b.anchor, None, b.anchor_low, b.anchor_high, cells)
 
     def send_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -229,11 +259,11 @@ def dedup_substrings(
                 b = Block(_list(row.ids), row.texts, window)
                 b.anchors()
                 b.windows(_bits(row.anchors, "smaller"), _bits(row.anchors, "larger"))
-                yield _send(row.block, b.ids, b.windows_, b.window_low, b.window_low, buckets)
+                yield _send(row.block, b.ids, b.windows_, b.windows_more, b.window_low, b.window_low, cells)
 
-    anchors = _answers(blocks.select("block", "ids", "texts").mapInPandas(send_anchors, SENT), "anchors")
+    anchors = _answers(blocks.select("block", "ids", "texts").mapInPandas(send_anchors, SENT), "anchors", cells, scratch)
     joined = blocks.join(anchors, "block", "left")
-    windows = _answers(joined.select("block", "ids", "texts", "anchors").mapInPandas(send_windows, SENT), "windows")
+    windows = _answers(joined.select("block", "ids", "texts", "anchors").mapInPandas(send_windows, SENT), "windows", cells, scratch)
     rest_type = blocks.schema["rest"].dataType.elementType
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("rest", rest_type)])
 

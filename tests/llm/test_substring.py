@@ -1,9 +1,12 @@
+import os
 import random
 import re
 
+import numpy as np
 import pytest
 
-from kinloom.llm.substring import dedup_substrings, difference_cover
+from kinloom.llm import common
+from kinloom.llm.substring import _send, answer, dedup_substrings, difference_cover, grouped
 
 SCHEMA = "doc_id long, text string, n_words string, ids array<int>, block struct<a: int, rest: string>"
 
@@ -71,3 +74,25 @@ def test_rejoins_and_handles_nothing(spark):
 def test_difference_covers(v):
     d = difference_cover(v)
     assert {(a - b) % v for a in d for b in d} == set(range(v))
+
+
+def test_windows_are_compared_by_both_hashes():
+    h, more = np.array([5, 5, 5, 1], np.uint64), np.array([7, 8, 7, 7], np.uint64)
+    order, new = grouped(h, more)
+    assert order[0] == 3 and sorted(order[1:3]) == [0, 2] and new.tolist() == [True, True, False, True]
+    _, new = grouped(h, None)
+    assert new.sum() == 2
+    sent = [_send(block, np.array([block]), h[[3, 0]], m, np.zeros(2, np.int64), np.zeros(2, np.int64), 1) for block, m in ((1, more[[3, 0]]), (2, more[[3, 1]]))]
+    found = answer([r for s in sent for r in s.itertuples()])
+    assert [np.unpackbits(np.frombuffer(x, np.uint8), count=2).tolist() for x in found["smaller"]] == [[0, 0], [1, 0]]
+
+
+def test_cells_number_with_the_data_and_scratch_goes(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    data = rows()
+    docs = spark.createDataFrame([(i, t, "x", [1, None], (i, None)) for i, t in data], SCHEMA).repartition(3)
+    assert found(docs, window=13, block_docs=7, cell_bytes=200) == brute(data, 13)
+    root = common._waiting[-1].root
+    assert {t.name for t in spark.catalog.listTables()} > before and os.path.exists(root.removeprefix("file:"))
+    common.clear_scratch()
+    assert {t.name for t in spark.catalog.listTables()} <= before and not os.path.exists(root.removeprefix("file:"))
