@@ -8,16 +8,18 @@
 3. Bands of r coordinates: classes that share a band meet at the band's smallest class; the components of these stars
    are candidate groups. A pair at similarity s is missed with probability (1 - s ** r) ** bands: 4e-7 at 0.8
    with 80 bands of 8 rows, 7e-7 at 0.85 with 54 of 9. Pairs that only share a common passage rarely meet. Sets too small to reach the threshold with a different set skip this.
-4. Each group is verified exactly on full sets, in blocks of members: one task compares two blocks by counting common
-   shingles and returns a spanning forest of the links, at most one row a member. A group of any size is covered block by block; none is
-   held in one task, and pairs are never emitted.
+4. Each group is verified exactly on full sets, in blocks of members that are bounded by number and by bytes. First every block is compared with the group's
+   block 0. A member that this ties to the largest part of block 0 is settled: it is in the same component as all others that are. Only pairs with an unsettled
+   member outside block 0 are left, and those are compared next, block by block. So no link is lost, no group is held in one task, and pairs are never emitted: a
+   task counts common shingles of two blocks and returns a spanning forest of the links, at most one row a member.
 5. The components of the verified links give the smallest reachable doc_id.
 
-Cost: blocks of a group of m different texts are compared pairwise, so a group costs m * m / block rows shipped and m * m
-comparisons, done as matrix products; exact copies add nothing to m.
+Cost: of a group with m different texts, 2 m rows are shipped first; u unsettled members cost another u * m / block rows and u * m comparisons, done as matrix
+products. Exact copies add nothing to m.
 
 Defined cases: a text without words has an empty set and is its own component. Null doc_ids link with nothing: component
-null, kept. Rows with the same doc_id are one document: both kept if it is kept. An empty table gives an empty result.
+null, kept. Rows with the same doc_id are one document: both kept if it is kept. Very long texts are read whole; a batch is cut where its sets get large. An empty
+table gives an empty result. Other columns are not carried, so none can clash.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from .common import Scratch, partitions, stored
 from .components import components
 
 U64 = np.uint64
+#: Shingles up to which the sets of a batch are sketched together.
+TOGETHER = 1 << 20
 #: Odd multipliers for mixing 64-bit hashes.
 MIX = (U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
 
@@ -73,6 +77,11 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(mix(total + U64(k)))
 
 
+def key_of(items: np.ndarray) -> bytes | None:
+    """128 bits that stand for a set; None for the empty one."""
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
+
+
 def sketches(sets: list[np.ndarray], t: int) -> np.ndarray:
     """One row of t coordinates a set; every set has at least one element."""
     n = len(sets)
@@ -105,8 +114,8 @@ def bands_of(sketch: np.ndarray, rows: int) -> np.ndarray:
     return total
 
 
-def spanning_links(keys: np.ndarray, sets: list[np.ndarray], percent: int, columns: int = 4096) -> list[tuple[int, int]]:
-    """Links (member, smallest key of its component) among sets.
+def labels_of(keys: np.ndarray, sets: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
+    """For each set the smallest key of its component, by links among the sets.
 
     Common shingles are counted by products of membership matrices, some columns at a time.
     """
@@ -124,7 +133,7 @@ def spanning_links(keys: np.ndarray, sets: list[np.ndarray], percent: int, colum
     common = np.zeros((n, n), np.float32)
     for begin in range(0, len(shared), columns):
         a, b = np.searchsorted(column, [begin, begin + columns])
-        member = np.zeros((n, columns), np.float32)
+        member = np.zeros((n, min(columns, len(shared) - begin)), np.float32)
         member[owner[a:b], column[a:b] - begin] = 1
         common += member @ member.T
     union = sizes[:, None] + sizes[None, :] - common
@@ -134,9 +143,8 @@ def spanning_links(keys: np.ndarray, sets: list[np.ndarray], percent: int, colum
     while True:
         least = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
         if (least == label).all():
-            break
+            return label
         label = least
-    return [(int(k), int(v)) for k, v in zip(keys, label, strict=True) if k != v]
 
 
 def shingle_docs(docs: DataFrame, width: int, percent: int, rows: int, bands: int, id_col: str, text_col: str) -> DataFrame:
@@ -144,17 +152,21 @@ def shingle_docs(docs: DataFrame, width: int, percent: int, rows: int, bands: in
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.iloc[at : at + 512]
-                sets = [shingle_set(t, width) for t in part["text"]]
-                # a set of n differs from another by one element at least: n / (n + 1) must reach the threshold
-                big = [i for i, s in enumerate(sets) if 100 * len(s) >= percent * (len(s) + 1)]
-                found: list[list[int]] = [[] for _ in sets]
-                if big:
-                    for i, row in zip(big, bands_of(sketches([sets[i] for i in big], rows * bands), rows).view(np.int64), strict=True):
-                        found[i] = row
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pd.DataFrame({"doc_id": part["id"].astype("Int64").array, "n_shingles": [len(s) for s in sets], "set_key": keys, "bands": found})
+            ids, sets = batch["id"].astype("Int64").array, []
+            for at, text in enumerate(batch["text"], 1):
+                sets.append(shingle_set(text, width))
+                if at == len(batch) or len(sets) == 512 or sum(map(len, sets)) > TOGETHER:
+                    yield sketched(ids[at - len(sets) : at], sets)
+                    sets = []
+
+    def sketched(ids, sets: list[np.ndarray]) -> pd.DataFrame:
+        # a set of n differs from another by one element at least: n / (n + 1) must reach the threshold
+        big = [i for i, s in enumerate(sets) if 100 * len(s) >= percent * (len(s) + 1)]
+        found: list[list[int]] = [[] for _ in sets]
+        if big:
+            for i, row in zip(big, bands_of(sketches([sets[i] for i in big], rows * bands), rows).view(np.int64), strict=True):
+                found[i] = row
+        return pd.DataFrame({"doc_id": ids, "n_shingles": [len(s) for s in sets], "set_key": [key_of(s) for s in sets], "bands": found})
 
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return picked.mapInPandas(sketch, "doc_id long, n_shingles long, set_key binary, bands array<long>")
@@ -201,36 +213,90 @@ def candidate_groups(found: DataFrame) -> DataFrame:
     return components(sketched.mapInPandas(links_in_batches, "a long, b long").union(across))
 
 
-def verified_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, width: int, percent: int, block: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
+def links_of_tasks(percent: int):
+    """A function for mapInPandas over rows (task, node, first, items), sorted by task: (a, b) links that span the components of each task's sets; and (a, null) for
+    each member outside block 0 (first = false) that is not tied to the largest part of block 0."""
+
+    def compared(nodes: list[int], firsts: list[bool], items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.array(nodes, np.int64), return_index=True)
+        first = np.array(firsts)[at]
+        label = labels_of(keys, [np.frombuffer(items[k], U64) for k in at.tolist()], percent)
+        open_ = np.zeros(0, np.int64)
+        if first.any() and not first.all():
+            # the largest part of block 0 by its own links alone, the same in all its tasks
+            own = labels_of(keys[first], [np.frombuffer(items[k], U64) for k in at[first].tolist()], percent)
+            names, sizes = np.unique(own, return_counts=True)
+            main = label[np.searchsorted(keys, names[np.argmax(sizes)])]
+            open_ = keys[~first & (label != main)]
+        moved = keys != label
+        return keys[moved], label[moved], open_
+
+    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, held = None, ([], [], [])
+
+        def flush() -> pd.DataFrame:
+            a, b, open_ = compared(*held)
+            return pd.DataFrame({"a": np.append(a, open_), "b": pd.array([*b.tolist(), *[None] * len(open_)], "Int64")})
+
+        for batch in batches:
+            out = []
+            for now, *row in zip(batch["task"], batch["node"], batch["first"], batch["items"], strict=True):
+                if now != task and held[0]:
+                    out.append(flush())
+                    held = ([], [], [])
+                task = now
+                for column, value in zip(held, row, strict=True):
+                    column.append(value)
+            yield from out
+        if held[0]:
+            yield flush()
+
+    return links
+
+
+def verified_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, width: int, percent: int, block: int, block_bytes: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """(a, b) links that span the components of each candidate group, checked on full sets."""
     spark = docs.sparkSession
-    sizes = scratch.stored(groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "group-sizes")
-    named = classes.select(F.xxhash64("set_key").alias("class"), F.col("rep").alias("node"), "set_key")
-    members = groups.withColumnRenamed("node", "class").join(sizes, "component").join(named, "class").drop("class")
+    blocks_of = lambda n, size: F.ceil(F.greatest(n / block, 8 * size / block_bytes)).cast("int")
+    named = classes.select(F.xxhash64("set_key").alias("class"), F.col("rep").alias("node"), "set_key", "size")
+    grouped = scratch.stored(groups.withColumnRenamed("node", "class").join(named, "class").drop("class"), "grouped")
+    sizes = scratch.stored(grouped.groupBy("component").agg(blocks_of(F.count("*"), F.sum("size")).alias("blocks")), "group-sizes")
+    members = grouped.join(sizes, "component")
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, width) for t in batch["text"]]
-            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            same = [k == bytes(want) for k, want in zip(keys, batch["set_key"], strict=True)]
+            same = [key_of(s) == bytes(want) for s, want in zip(sets, batch["set_key"], strict=True)]
             yield pd.DataFrame({"component": batch["component"], "node": batch["node"], "blocks": batch["blocks"], "items": [s.tobytes() for s in sets]})[same]
 
+    def compare(sent: DataFrame, *keys: str) -> DataFrame:
+        dealt = sent.select(F.xxhash64("component", *keys).alias("task"), "node", "first", "items")
+        dealt = dealt.repartition(partitions(spark), "task").sortWithinPartitions("task")
+        return dealt.mapInPandas(links_of_tasks(percent), "a long, b long")
+
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("node IS NOT NULL")
     sets = texts.join(members, "node").select("component", "node", "blocks", "set_key", "text").mapInPandas(to_sets, "component long, node long, blocks int, items binary")
-    sets = scratch.stored(sets.dropDuplicates(["node"]), "group-sets")
-    # a member of block x is sent to the tasks of all pairs of blocks (x, y)
-    mine = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.struct(F.least(F.col("mine"), y).alias("i"), F.greatest(F.col("mine"), y).alias("j"))))
-    sent = sets.withColumn("mine", mine).withColumn("pair", pairs).select("component", "node", "items", "pair.i", "pair.j")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("node")
-        keys = group["node"].to_numpy(np.int64)
-        found = spanning_links(keys, [np.frombuffer(x, U64) for x in group["items"]], percent)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    dealt = sent.repartition(partitions(spark), "component", "i", "j")
-    return dealt.groupBy("component", "i", "j").applyInPandas(compare, "a long, b long")
+    sets = scratch.stored(sets.dropDuplicates(["node"]).withColumn("mine", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "group-sets")
+
+    # block 0 meets every block
+    others = F.when((F.col("mine") == 0) & (F.col("blocks") > 1), F.sequence(F.lit(1), F.col("blocks") - 1)).otherwise(F.array("mine"))
+    sent = sets.select("component", "node", (F.col("mine") == 0).alias("first"), F.explode(others).alias("j"), "items")
+    near = scratch.stored(compare(sent, "j"), "first-links")
+
+    # what is not settled meets all members but block 0
+    rest = sets.where("blocks > 2 AND mine > 0").drop("blocks", "mine")
+    rest = rest.join(near.where("b IS NULL").select(F.col("a").alias("node"), F.lit(True).alias("loose")).distinct(), "node", "left").withColumn("loose", F.col("loose").isNotNull())
+    counted = lambda flag: (F.count_if(flag), F.sum(F.when(flag, F.octet_length("items") / 8).otherwise(0)))
+    cut = rest.groupBy("component").agg(blocks_of(*counted(F.col("loose"))).alias("loose_blocks"), blocks_of(*counted(~F.col("loose"))).alias("tied_blocks"))
+    rest = rest.join(scratch.stored(cut.where("loose_blocks > 0"), "loose-sizes"), "component")
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.when(F.col("loose"), F.col("loose_blocks")).otherwise(F.col("tied_blocks"))).cast("int"))
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    mine = F.col("mine")
+    loose_pairs = F.concat(F.transform(upto("loose_blocks"), lambda y: pair("loose", F.least(mine, y), F.greatest(mine, y))), F.transform(upto("tied_blocks"), lambda y: pair("tied", mine, y)))
+    pairs = F.when(F.col("loose"), loose_pairs).otherwise(F.transform(upto("loose_blocks"), lambda x: pair("tied", x, mine)))
+    sent = rest.select("component", "node", F.lit(False).alias("first"), F.explode(pairs).alias("p"), "items").select("*", "p.*")
+    return near.where("b IS NOT NULL").union(compare(sent, "kind", "i", "j"))
 
 
 def near_duplicates(
@@ -239,7 +305,8 @@ def near_duplicates(
     percent: int = 80,
     rows: int = 8,
     bands: int = 80,
-    block: int = 256,
+    block: int = 128,
+    block_bytes: int = 16 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -249,10 +316,10 @@ def near_duplicates(
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
     found = scratch.stored(shingle_docs(docs, width, percent, rows, bands, id_col, text_col), "shingles")
-    classes = found.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    classes = found.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("size"))
     classes = scratch.stored(classes, "classes")
     groups = candidate_groups(found)
-    links = verified_links(docs, groups, classes, width, percent, block, id_col, text_col, scratch)
+    links = verified_links(docs, groups, classes, width, percent, block, block_bytes, id_col, text_col, scratch)
     joined = components(links)
     final = classes.select("set_key", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     final = scratch.stored(final.select("set_key", F.coalesce("component", "rep").alias("component")), "near-classes")
