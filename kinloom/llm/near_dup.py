@@ -46,7 +46,7 @@ MIX = (U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 class WordHashes(dict):
     """64-bit hash of each word, remembered up to a number of words."""
 
-    limit = 500_000
+    limit = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -80,8 +80,8 @@ class _Table(dict):
     def gathered(self, rows: np.ndarray) -> np.ndarray:
         """The ids of the rows, one row after the other."""
         n = self.sizes(rows)
-        at = np.repeat(np.frombuffer(self.begin, np.int64)[rows] - (np.cumsum(n) - n), n)
-        at += np.arange(len(at))
+        at = np.repeat((np.frombuffer(self.begin, np.int64)[rows] - (np.cumsum(n) - n)).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
         return np.frombuffer(self.flat, np.uint32)[at]
 
 
@@ -91,7 +91,7 @@ class Encoder:
     kind: ``bytes`` (byte-level, white space kept) or ``words`` (white space dropped).
     """
 
-    def __init__(self, path: str, kind: str, end_id: int, memo: int = 400_000, units: int = 800_000) -> None:
+    def __init__(self, path: str, kind: str, end_id: int, memo: int = 250_000, units: int = 500_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -195,7 +195,7 @@ def encoder(path: str, kind: str, end_id: int) -> Encoder:
     return _encoders[key]
 
 
-def slices_of(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+def slices_of(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first, texts): slices of about that many bytes, so a batch of long texts is not encoded at once."""
     ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
     begin = 0
