@@ -12,14 +12,14 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.text import chunk_table, numbered, split_chapters
+from .functions.text import chunk_table, numbered
 from .operators.graph import Graph, load, save, stats
 from .operators.search import search_persons
 from .plans.qa import answer
 from .sources.files import read_books, write_json
 from .sources.models import Client, Http, Stub
 from .sources.tables import graph_of
-from .streaming.ingest import apply_results, current_version, empty_graph, ingest_stream, saved_results
+from .streaming.ingest import apply_results, current_version, empty_graph, ingest_stream, load_seed, saved_results
 
 
 def client_of(args: argparse.Namespace) -> Callable[[], Client]:
@@ -47,11 +47,11 @@ def show(rows: DataFrame, limit: int) -> None:
 
 
 def process(spark: SparkSession, args: argparse.Namespace) -> None:
-    write_json(numbered(chunk_table(split_chapters(read_books(spark, args.path)), args.size, args.overlap)), args.out)
+    write_json(numbered(chunk_table(read_books(spark, args.path), args.size, args.overlap)), args.out)
 
 
 def seed(spark: SparkSession, args: argparse.Namespace) -> None:
-    publish(spark, graph_of(spark, args.path), args.root, "seed")
+    publish(spark, graph_of(spark, args.path) if args.path else load_seed(spark, newest_graph(spark, args.root)), args.root, "seed")
 
 
 def ingest(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -90,7 +90,7 @@ def parser() -> argparse.ArgumentParser:
     cut = add("process", process, "books to chunk files", "path", "out", root=False)
     cut.add_argument("--size", type=int, default=1500)
     cut.add_argument("--overlap", type=int, default=200)
-    add("seed", seed, "a graph of the standard tables", "path")
+    add("seed", seed, "the seed rows, or a graph of the standard tables").add_argument("path", nargs="?")
     follow = add("ingest", ingest, "chunk files to the graph", "path")
     follow.add_argument("--files", type=int, default=1, help="files a batch")
     add("ingest-saved", ingest_saved, "saved results to the graph", "path")

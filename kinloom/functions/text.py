@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,20 +25,6 @@ def clean(text: Column) -> Column:
     return strip(F.array_join(F.transform(lines, strip), "\n"))
 
 
-def chunks(text: Column, size: int = 1500, overlap: int = 200) -> Column:
-    """Overlapping chunks at sentence ends, as an array. A null text has none."""
-    sentences = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), f"(?<=[{SENTENCE_ENDS}])"), strip), lambda s: s != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-    tail = lambda s: F.when(F.lit(overlap > 0), F.substring(s, F.greatest(F.length(s) - (overlap - 1), F.lit(1)), F.lit(max(overlap, 1)))).otherwise("")
-
-    def add(acc: Column, s: Column) -> Column:
-        fits = F.length(acc["open"]) + F.length(s) <= size
-        done = F.when(fits | (acc["open"] == ""), acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
-        return F.struct(done.alias("done"), F.when(fits, F.concat(acc["open"], s)).otherwise(F.concat(tail(acc["open"]), s)).alias("open"))
-
-    return F.aggregate(sentences, start, add, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.array_append(a["done"], a["open"])))
-
-
 def all_names(name: Column, aliases: Column) -> Column:
     empty = F.array().cast("array<string>")
     return F.filter(F.array_distinct(F.concat(F.array(name), F.coalesce(aliases, empty))), lambda x: x.isNotNull() & (x != ""))
@@ -98,35 +84,61 @@ def chapters(text: str) -> list[tuple[str, str]]:
     return [(t, c) for t, c in found if len(c) > MIN_CHAPTER]
 
 
-def split_chapters(books: DataFrame, name_col: str = "name", text_col: str = "text") -> DataFrame:
-    """(name, chapter_no, chapter, content) for each book."""
+_SENTENCE = re.compile(f"(?<=[{SENTENCE_ENDS}])")
+
+
+def chunks(text: str, size: int = 1500, overlap: int = 200) -> list[str]:
+    """Overlapping chunks at sentence ends; a sentence is never cut, so a chunk may be longer than size."""
+    done, now = [], ""
+    for sentence in filter(None, map(str.strip, _SENTENCE.split(text))):
+        if len(now) + len(sentence) <= size:
+            now += sentence
+        else:
+            if now:
+                done.append(now)
+            now = (now[-overlap:] if overlap else "") + sentence
+    return [*done, now] if now else done
+
+
+def _book_rows(books: DataFrame, name_col: str, text_col: str, schema: str, rows_of: Callable[[str], Iterator[tuple]]) -> DataFrame:
+    """One pass over books: the rows of each text behind its name."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            held, size = [], 0
             for name, text in zip(batch["name"], batch["text"], strict=True):
-                rows = [(name, k, t, c) for k, (t, c) in enumerate(chapters(text or ""))]
-                yield pd.DataFrame(rows, columns=["name", "chapter_no", "chapter", "content"])
+                held += [(name, *row) for row in rows_of(text or "")]
+                size += len(text or "")
+                if size > 8 << 20:
+                    yield pd.DataFrame(held, columns=names)
+                    held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=names)
+
+    return books.select(F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("text")).mapInPandas(split, schema)
+
 
-    return books.select(F.col(name_col).cast("string").alias("name"), F.col(text_col).alias("text")).mapInPandas(split, "name string, chapter_no int, chapter string, content string")
+def split_chapters(books: DataFrame, name_col: str = "name", text_col: str = "text") -> DataFrame:
+    """(name, chapter_no, chapter, content) for each book."""
+    rows = lambda text: ((k, t, c) for k, (t, c) in enumerate(chapters(text)))
+    return _book_rows(books, name_col, text_col, "name string, chapter_no int, chapter string, content string", rows)
 
 
-def chunk_table(parts: DataFrame, size: int = 1500, overlap: int = 200) -> DataFrame:
-    """(name, chapter_no, chunk_no, chapter, content, char_count) for chapters of split_chapters."""
-    out = parts.select("name", "chapter_no", "chapter", F.posexplode(chunks(F.col("content"), size, overlap)).alias("chunk_no", "content"))
-    return out.select("name", "chapter_no", "chunk_no", "chapter", "content", F.length("content").alias("char_count"))
+def chunk_table(books: DataFrame, size: int = 1500, overlap: int = 200, name_col: str = "name", text_col: str = "text") -> DataFrame:
+    """(name, chapter_no, chunk_no, chapter, content, char_count) of books, chapters and chunks cut in one pass."""
+    rows = lambda text: ((k, j, t, x, len(x)) for k, (t, c) in enumerate(chapters(text)) for j, x in enumerate(chunks(c, size, overlap)))
+    return _book_rows(books, name_col, text_col, "name string, chapter_no int, chunk_no int, chapter string, content string, char_count int", rows)
 
 
 def numbered(chunk_rows: DataFrame) -> DataFrame:
     """Adds chunk_id by (name, chapter_no, chunk_no): chapters' counts are summed within ranges of the order, and only one row a range meets in one task."""
     from pyspark.sql import Window
 
-    spark = chunk_rows.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
+    from ..sources.files import checkpoint_dir
 
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinloom-"))
+    spark = chunk_rows.sparkSession
+    checkpoint_dir(spark)
     sizes = chunk_rows.groupBy("name", "chapter_no").agg(F.count("*").alias("__n"))
     ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = sizes.repartitionByRange(ranges, "name", "chapter_no").withColumn("__range", F.spark_partition_id()).checkpoint()

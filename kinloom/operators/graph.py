@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import all_names
 from ..functions.values import FAMILY_TYPES, PARTICIPATED, SUCCESSION_TYPES
+from ..sources.files import checkpoint_dir
 
 #: Order in which labels are searched for a name.
 LABELS = ("Person", "Dynasty", "Event", "Place")
@@ -129,7 +130,7 @@ def family_tree(graph: Graph, start: DataFrame, depth: int = 3) -> DataFrame:
     """Family edges within ``depth`` steps of each start person (one column of uids), as (root, from_uid, to_uid, rel_type, ...).
 
     A frontier join a step: an edge belongs to the tree if its nearer end is less than ``depth`` steps away. Only edges between
-    persons count.
+    persons count. Beyond three steps each is cut by checkpoint(), so that the plan does not double with each.
     """
     if int(depth) < 1:
         raise ValueError("depth must be 1 or more")
@@ -138,9 +139,14 @@ def family_tree(graph: Graph, start: DataFrame, depth: int = 3) -> DataFrame:
     ends = ends.join(persons.select(F.col("uid").alias("src"), F.col("name").alias("from_name")), "src").join(persons.select(F.col("uid").alias("dst"), F.col("name").alias("to_name")), "dst")
     both = ends.select("src", F.col("dst").alias("next")).union(ends.select(F.col("dst"), F.col("src"))).where("src <> next").distinct()
     reached = frontier = start.toDF("root").distinct().select("root", F.col("root").alias("at"))
+    deep = int(depth) > 3
+    if deep:
+        checkpoint_dir(start.sparkSession)
+        both = both.checkpoint()
     for _ in range(int(depth) - 1):
         step = frontier.join(both, F.col("at") == F.col("src")).select("root", F.col("next").alias("at")).distinct()
         frontier = step.join(reached, ["root", "at"], "left_anti")
+        frontier = frontier.checkpoint() if deep else frontier
         reached = reached.union(frontier)
     hit = reached.join(ends, F.col("at") == F.col("src")).select("root", "src", "dst", "rel_type", "from_name", "to_name")
     back = reached.join(ends, F.col("at") == F.col("dst")).select("root", "src", "dst", "rel_type", "from_name", "to_name")
@@ -176,14 +182,3 @@ def labelled_relations(edges: DataFrame, labels: dict[str, str]) -> DataFrame:
     """Adds the label of each edge's type; a type without one is its own."""
     table = edges.sparkSession.createDataFrame(list(labels.items()), "rel_type string, __label string")
     return edges.join(F.broadcast(table), "rel_type", "left").withColumn("label", F.coalesce("__label", "rel_type")).drop("__label")
-
-
-def assert_unique(nodes: DataFrame) -> None:
-    twice = nodes.groupBy("uid").count().where("count > 1").select("uid").limit(5).collect()
-    if twice:
-        raise ValueError(f"uids occur more than once: {[r.uid for r in twice]}")
-
-
-def newest(df: DataFrame, key: list[str], order: Column) -> DataFrame:
-    """One row a key, the first by order."""
-    return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("__rn = 1").drop("__rn")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import all_names, specific_names
 from ..functions.values import AMBIGUOUS_TITLES, OTHER_ROLE
+from ..sources.files import checkpoint_dir
 
 MAX_ALIASES = 25
 PERSON_SCHEMA = "uid string, original_name string, aliases array<string>, role string, loyalty array<string>, birth_year int, death_year int, death_cause string, description string, seq long"
@@ -32,12 +33,7 @@ def connected(pairs: DataFrame) -> DataFrame:
     checkpoint folder. A hot key is a partial minimum and a join, never pairs.
     """
     spark = pairs.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kinloom-"))
+    checkpoint_dir(spark)
     pairs = pairs.distinct().checkpoint()
     labels = pairs.select("node").distinct().withColumn("group", F.col("node")).checkpoint()
     while True:
@@ -103,11 +99,11 @@ class _Fold:
         self._index(held["uid"], self.aliased, set(merged).difference(held["aliases"]))
         held["aliases"] = merged
         held["loyalty"] = list(dict.fromkeys([*held["loyalty"], *p["loyalty"]]))
-        if len(p["description"] or "") > len(held["description"] or ""):
-            held["description"] = p["description"]
+        held["description"] = max(held["description"] or "", p["description"] or "", key=len)  # the first of two as long
         for k in ("birth_year", "death_year", "death_cause"):
-            held[k] = held[k] or p[k]
-        if held["role"] in (None, "", OTHER_ROLE) and p["role"] != OTHER_ROLE:
+            if p[k] and not held[k]:
+                held[k] = p[k]
+        if p["role"] not in (None, "", OTHER_ROLE) and held["role"] in (None, "", OTHER_ROLE):
             held["role"] = p["role"]
 
 

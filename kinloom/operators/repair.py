@@ -39,25 +39,29 @@ def name_map(graph: Graph) -> DataFrame:
     return primary.join(alias, "name", "full").select("name", F.coalesce("p", "a").alias("uid"))
 
 
-def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, uid) where a text contains a name of two characters or more. texts: (id, text); names: (name, uid).
+def mentions(texts: DataFrame, names: DataFrame, shortest: int = 2) -> DataFrame:
+    """(id, uid) where a text contains a name of ``shortest`` characters or more. texts: (id, text); names: (name, uid).
 
-    An equi-join on the text's substrings of the names' lengths. Only the distinct lengths reach the driver; a text sends each
-    substring once, and a frequent name costs one row a text.
+    Names are indexed by the one of their q-grams that the fewest names have, q being the shortest name's length. An equi-join with a text's distinct q-grams gives the
+    names to look for in it. One number, q, reaches the driver; a text sends each of its q-grams once at most.
     """
-    named = names.where((F.length("name") >= 2) & F.col("uid").isNotNull())
-    lengths = sorted(r.n for r in named.select(F.length("name").alias("n")).distinct().collect())
+    named = names.where((F.length("name") >= shortest) & F.col("uid").isNotNull()).distinct()
+    q = named.agg(F.min(F.length("name")).alias("q")).first().q
+    if q is None:
+        return texts.select("id", F.lit(None).cast("string").alias("uid")).where("false")
+    grams = named.select("name", "uid", F.explode(grams_of(F.col("name"), q)).alias("gram"))
+    uses = grams.groupBy("gram").agg(F.count("*").alias("uses"))
+    index = grams.join(uses, "gram").groupBy("name", "uid").agg(F.min(F.struct("uses", "gram")).alias("g")).select("name", "uid", F.col("g.gram").alias("gram"))
+    found = texts.select("id", F.explode(grams_of(F.col("text"), q)).alias("gram")).join(index, "gram").select("id", "name", "uid")
+    return found.join(texts, "id").where(F.contains("text", "name")).select("id", "uid").distinct()
 
-    def grams_of(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length("text") - (n - 1), F.lit(1)))
-        return F.when(F.length("text") >= n, F.transform(starts, lambda i: F.substring("text", i, F.lit(n))))
 
-    grams = [grams_of(n) for n in lengths]
-    if not grams:
-        return texts.select("id", F.lit(None).cast("string").alias("uid")).where("false")
-    empty = F.array().cast("array<string>")
-    parts = F.array_distinct(F.concat(*[F.coalesce(g, empty) for g in grams]))
-    return texts.select("id", F.explode(parts).alias("name")).join(named, "name").select("id", "uid").distinct()
+def grams_of(text: Column, q: int) -> Column:
+    """Distinct runs of q characters. The text is cut into characters once, as places in UTF-8 are found from its start."""
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    runs = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - (q - 1)), lambda i: F.array_join(F.slice(x, i, F.lit(q)), ""))
+    some = F.element_at(F.transform(F.array(chars), lambda x: F.when(F.size(x) >= q, runs(x))), 1)
+    return F.array_distinct(some)
 
 
 def missing_links(graph: Graph) -> DataFrame:
@@ -86,7 +90,7 @@ def correct_known(graph: Graph, known: DataFrame) -> tuple[Graph, DataFrame]:
     """Corrects persons by a checked table (uid, original_name, correct_aliases, role, birth_year, death_year, death_cause,
     loyalty, description); also returns (uid, name, removed) of those that needed it."""
     fix = known.select("uid", *[F.col(c).alias(f"__{c}") for c in known.columns if c != "uid"])
-    joined = graph.person.join(F.broadcast(fix), "uid", "left")
+    joined = graph.person.join(fix, "uid", "left")
     wrong = F.array_except(F.coalesce("aliases", F.array().cast("array<string>")), F.coalesce("__correct_aliases", F.array().cast("array<string>")))
     needs = F.col("__original_name").isNotNull() & ((F.size(wrong) > 0) | (F.col("original_name") != F.col("__original_name")))
     fixed = {"original_name": F.col("__original_name"), "aliases": F.array_sort("__correct_aliases"), "role": F.col("__role"), "description": F.col("__description"), "loyalty": F.col("__loyalty")}

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .repair import mentions
+
 TOKEN = r"[a-z0-9]+|[\x{4e00}-\x{9fff}]"
 
 
@@ -55,38 +59,74 @@ def snippet_keywords(event_name: str | None, description: str | None) -> list[st
     return [*([bare] if event_name and len(bare) >= 2 else []), *([event_name] if event_name else []), *runs]
 
 
+def _places(text: str, keyword: str, around: int) -> Iterator[tuple[str, int]]:
+    """(surroundings, place) of a keyword; after a find the search goes on behind its surroundings."""
+    at = text.find(keyword) if keyword else -1
+    while at >= 0:
+        end = at + len(keyword) + around
+        yield text[max(at - around, 0) : end].strip(), at
+        at = text.find(keyword, end)
+
+
 def snippets(books: DataFrame, keywords: list[str], limit: int = 3, around: int = 200, name_col: str = "name", text_col: str = "text") -> DataFrame:
     """(book, keyword, text, keyword_no, at): keyword places with their surroundings, in order of book, keyword and place.
 
-    After a find the search goes on behind its surroundings. Snippets that begin alike (80 characters) count once. Built-in
-    functions only: places come from the lengths of what the keyword splits the text into.
+    Snippets that begin alike (80 characters) count once.
     """
-    empty = F.array().cast("array<int>")
-    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("no"), F.lit(k).alias("kw")) for i, k in enumerate(dict.fromkeys(keywords))])).alias("k")
-    rows = books.select(F.col(name_col).cast("string").alias("book"), F.col(text_col).alias("t"), wanted) if keywords else None
-    if rows is None:
-        return books.select(F.col(name_col).cast("string").alias("book"), F.lit("").alias("keyword"), F.lit("").alias("text"), F.lit(0).alias("keyword_no"), F.lit(0).alias("at")).where("false")
-    rows = rows.where(F.contains("t", F.col("k.kw"))).withColumn("kw", F.col("k.kw"))
-    gaps = F.transform(F.split("t", F.concat(F.lit(r"\Q"), "kw", F.lit(r"\E")), -1), lambda x: F.length(x))
-    start = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("free"), empty.alias("out"))
-
-    def step(acc: Column, gap: Column) -> Column:
-        """pos: where the next keyword may stand; free: from where one counts."""
-        at = acc["pos"] + gap
-        take = (at >= acc["free"]) & (at < F.length("t"))
-        return F.struct(
-            (at + F.length("kw")).alias("pos"),
-            F.when(take, at + F.length("kw") + around).otherwise(acc["free"]).alias("free"),
-            F.when(take, F.array_append(acc["out"], at)).otherwise(acc["out"]).alias("out"),
-        )
-
-    places = F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), start, step, lambda a: a["out"])
-    found = rows.select("book", "t", "kw", F.col("k.no").alias("keyword_no"), F.explode(places).alias("at"))
-    begin = F.greatest(F.col("at") - around, F.lit(0))
-    end = F.least(F.col("at") + F.length("kw") + around, F.length("t"))
-    cut = F.substring("t", begin + 1, end - begin)
-    from ..functions.text import strip
-
-    out = found.select("book", F.col("kw").alias("keyword"), strip(cut).alias("text"), "keyword_no", "at")
+    wanted = list(dict.fromkeys(keywords))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(book, keyword, cut, no, at) for book, text in zip(batch["book"], batch["text"], strict=True) for no, keyword in enumerate(wanted) for cut, at in _places(text, keyword, around)]
+            yield pd.DataFrame(rows, columns=["book", "keyword", "text", "keyword_no", "at"])
+
+    rows = books.select(F.col(name_col).cast("string").alias("book"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    out = rows.mapInPandas(find, "book string, keyword string, text string, keyword_no int, at int")
     first = out.groupBy(F.substring("text", 1, 80).alias("sig")).agg(F.min(F.struct("book", "keyword_no", "at", "keyword", "text")).alias("f"))
     return first.select("f.book", "f.keyword", "f.text", "f.keyword_no", "f.at").orderBy("book", "keyword_no", "at").limit(limit)
+
+
+def event_snippets(events: DataFrame, books: DataFrame, limit: int = 2, around: int = 200) -> DataFrame:
+    """(uid, book, keyword_no, at, text): the first passages of books (name, text) for each event (uid, name, description), by its keywords.
+
+    Books that contain a keyword are found by q-grams (repair.mentions), so only those are searched.
+    """
+    keyed = F.udf(lambda name, description: list(dict.fromkeys(snippet_keywords(name, description))), "array<string>")
+    wanted = events.select("uid", F.posexplode(keyed("name", "description")).alias("keyword_no", "keyword"))
+    texts = books.select(F.col("name").cast("string").alias("id"), "text").where("text IS NOT NULL")
+    hits = mentions(texts, wanted.select(F.col("keyword").alias("name"), F.col("keyword").alias("uid")).distinct(), 1).withColumnRenamed("uid", "keyword")
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(row.uid, row.id, row.keyword_no, at, cut) for row in batch.itertuples() for cut, at in _places(row.text, row.keyword, around)]
+            yield pd.DataFrame(rows, columns=["uid", "book", "keyword_no", "at", "text"])
+
+    out = hits.join(wanted, "keyword").join(texts, "id").select("uid", "id", "keyword_no", "keyword", "text").mapInPandas(find, "uid string, book string, keyword_no int, at int, text string")
+    first = out.groupBy("uid", F.substring("text", 1, 80).alias("sig")).agg(F.min(F.struct("book", "keyword_no", "at", "text")).alias("f")).select("uid", "f.*")
+    rank = F.row_number().over(Window.partitionBy("uid").orderBy("book", "keyword_no", "at"))
+    return first.withColumn("r", rank).where(F.col("r") <= limit).drop("r")
+
+
+#: A stored index: postings sorted by term, so that a scan for some terms prunes by the files' statistics, and one row of corpus figures.
+POSTINGS = "term string, key string, tf long, n long"
+CORPUS = "rows long, words long"
+
+
+def write_index(docs: DataFrame, text: Column, path: str, key: str = "uid") -> None:
+    """Writes postings (term, key, tf, n: words of the row) and corpus figures below path."""
+    counted = docs.select(F.col(key).cast("string").alias("key"), tokens(text).alias("t")).withColumn("n", F.size("t").cast("long"))
+    rows = counted.select("key", "n", F.explode("t").alias("term")).groupBy("term", "key").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    rows.select("term", "key", "tf", "n").repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{path}/postings")
+    counted.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).write.parquet(f"{path}/corpus")
+
+
+def search_index(spark: SparkSession, path: str, query: str, limit: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) of the best rows, as by search(), from the postings of the query's terms alone."""
+    corpus = spark.read.schema(CORPUS).parquet(f"{path}/corpus").first()
+    mean = corpus.words / max(corpus.rows, 1) or 1.0
+    hits = spark.read.schema(POSTINGS).parquet(f"{path}/postings").where(F.col("term").isin(query_tokens(query)))
+    used = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (corpus.rows - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / mean))
+    scored = hits.join(used, "term").groupBy("key").agg(F.round(F.sum(part), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "key").limit(limit)

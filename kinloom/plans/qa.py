@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,11 +22,9 @@ RELATED = r"(.{1,5})(?:的关系|有什么关系|相关)"
 CONTEXT_CHARS = 6000
 VIEWS = ("person", "dynasty", "event", "place", "edges", "nodes")
 #: Plan nodes of a read-only query; any other node is rejected.
-READ_NODES = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Join LateralJoin SubqueryAlias UnresolvedRelation UnresolvedWith Distinct Union Intersect Except UnresolvedHaving UnresolvedInlineTable OneRowRelation Window WithWindowDefinition UnresolvedSubqueryColumnAliases Generate CTE CTERelationDef".split())
+READ_NODES = frozenset("Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Join LateralJoin SubqueryAlias UnresolvedRelation UnresolvedWith Distinct Union Intersect Except UnresolvedHaving UnresolvedInlineTable OneRowRelation LocalRelation Window WithWindowDefinition UnresolvedSubqueryColumnAliases Generate CTE CTERelationDef".split())
 #: Functions that run code outside the query.
 FORBIDDEN = re.compile(r"\b(?:reflect|java_method|try_reflect|input_file_\w+|read_files|python_worker_logs)\b", re.I)
-_NODE = re.compile(r"^[\s:|+\-*]*'?([A-Z]\w+)", re.M)
-_RELATION = re.compile(r"'?UnresolvedRelation \[([^\]]*)\]")
 
 
 class NotAllowed(ValueError):
@@ -35,21 +34,40 @@ class NotAllowed(ValueError):
 def guard(spark: SparkSession, sql: str) -> None:
     """Raises NotAllowed unless the text is one query over the graph's views that only reads.
 
-    Spark's own parser makes the plan; every node in it, in CTEs and subqueries too, must be on the list.
+    Spark's own parser makes the plan; every node in it, in CTEs and subqueries too, must be on the list, and every relation a view or a CTE in whose scope it stands.
     """
     if FORBIDDEN.search(sql):
         raise NotAllowed("a function that is not allowed")
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).treeString()
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except Exception as e:
         raise NotAllowed(f"not a query: {str(e)[:200]}") from e
-    nodes = set(_NODE.findall(plan))
-    if not nodes or nodes - READ_NODES:
-        raise NotAllowed(f"not a read-only query: {sorted(nodes - READ_NODES)}")
-    own = {m.lower() for m in re.findall(r"(?:\bwith|,)\s+`?(\w+)`?(?:\s*\([^)]*\))?\s+as\s*\(", sql, re.I)}
-    for name in _RELATION.findall(plan):
-        if name.strip().lower() not in {*VIEWS, *own}:
-            raise NotAllowed(f"no such view: {name}")
+    _walk(plan, frozenset(VIEWS))
+
+
+def _each(seq) -> Iterator:
+    items = seq.iterator()
+    while items.hasNext():
+        yield items.next()
+
+
+def _walk(plan, known: frozenset[str]) -> None:
+    """Checks a parsed plan. known: views and CTEs that may be read here."""
+    kind = plan.getClass().getSimpleName()
+    if kind not in READ_NODES:
+        raise NotAllowed(f"not a read-only query: {kind}")
+    if kind == "UnresolvedRelation":
+        parts = list(_each(plan.multipartIdentifier()))
+        if len(parts) != 1 or parts[0].lower() not in known:
+            raise NotAllowed(f"no such view: {'.'.join(parts)}")
+    if kind == "UnresolvedWith":
+        for cte in _each(plan.cteRelations()):
+            name = cte._1().lower()
+            _walk(cte._2(), known | {name} if plan.allowRecursion() else known)
+            known = known | {name}
+    for below in (plan.children(), plan.subqueries()):
+        for child in _each(below):
+            _walk(child, known)
 
 
 def register(graph: Graph) -> None:
@@ -103,13 +121,19 @@ def canned(graph: Graph, question: str) -> DataFrame | None:
     return out
 
 
+def schema_text(graph: Graph) -> str:
+    """The views with their columns and types, one a line."""
+    views = [(name, graph.nodes() if name == "nodes" else getattr(graph, name)) for name in VIEWS]
+    return "\n".join(f"{name}({', '.join(f'{c} {t}' for c, t in df.dtypes)})" for name, df in views)
+
+
 def answer(graph: Graph, question: str, client: Client, limit: int = 500) -> dict:
     """question, sql, sql_error, rows, answer. Canned rows come before those of the model's query, which always runs."""
     spark = graph.person.sparkSession
     rows = [] if (found := canned(graph, question)) is None else [r.asDict() for r in found.limit(limit).collect()]
     sql = error = None
     try:
-        reply = client.chat([{"role": "system", "content": f"Write one SQL query over the views {', '.join(VIEWS)}."}, {"role": "user", "content": question}])
+        reply = client.chat([{"role": "system", "content": f"Write one SQL query over these views.\n{schema_text(graph)}"}, {"role": "user", "content": question}])
         sql = spark.createDataFrame([(reply,)], "o string").select(query_text(F.col("o")).alias("q")).first().q
         if sql:
             rows += [r.asDict() for r in _rows("query", run_query(graph, sql)).limit(limit).collect()]
@@ -135,15 +159,3 @@ def event_detail(graph: Graph, uid: str, books: DataFrame) -> dict[str, DataFram
     found = event.select("name", "description").first()
     words = snippet_keywords(found.name, found.description) if found else []
     return {"event": event, "participants": event_participants(graph, uid), "snippets": snippets(books, words)}
-
-
-def summary_prompt(graph: Graph, uid: str) -> DataFrame:
-    """One row a person: (uid, prompt) from up to 50 relations and 30 events."""
-    none = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("无"))
-    event = F.concat(F.lit("["), F.coalesce(F.col("year").cast("string"), F.lit("?")), F.lit("] "), "name", F.lit("（"), "event_type", F.lit("）："), F.substring("description", 1, 60))
-    events = person_events(graph, uid, 30).select(F.lit(uid).alias("uid"), F.struct(F.coalesce("year", F.lit(9999)), "name", event.alias("line")).alias("e")).groupBy("uid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["line"]), "\n").alias("events"))
-    near = neighbourhood(graph, uid, participation=False).orderBy("seq", "other_uid").limit(50)
-    relations = near.select(F.lit(uid).alias("uid"), F.concat_ws(" ", "direction", "rel_type", "other_name").alias("r")).groupBy("uid").agg(F.array_join(F.array_sort(F.collect_list("r")), "\n").alias("relations"))
-    p = graph.person.where(F.col("uid") == uid).join(events, "uid", "left").join(relations, "uid", "left")
-    parts = ["original_name", F.concat(F.lit("aliases: "), none(F.array_join("aliases", "、"))), F.concat(F.lit("loyalty: "), none(F.array_join("loyalty", "→"))), none(F.col("description")), none(F.col("relations")), none(F.col("events"))]
-    return p.select("uid", F.concat_ws("\n", *parts).alias("prompt"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +20,16 @@ CHUNK = "chunk_id string, chapter string, content string, char_count int"
 RESULT = re.sub(r"\b(persons|dynasties|events|places|relations|source_text|source_chapter):", r"\1 ", EXTRACTION.removeprefix("struct<").removesuffix(">"))
 
 
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Makes sure that there is a checkpoint folder; only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        configured = sc.getConf().get("spark.checkpoint.dir")
+        if not configured and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="kinloom-"))
+
+
 def decoded(raw: bytes) -> str:
     for encoding in ENCODINGS:
         try:

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.parse import extraction
-from ..operators.graph import Graph, load, save
+from ..operators.order import in_order
+from ..operators.graph import Graph, known_persons, load, resolve_participants, save
 from ..operators.merge import merge_persons
-from ..operators.write import participation_edges, relations_to_edges, upsert_edges, upsert_nodes
+from ..operators.write import founder_edges, participation_edges, relations_to_edges, upsert_edges, upsert_nodes
 from ..sources.files import CHUNK, RESULT, read_or
 from ..sources.models import Client, ask
+from ..sources.seed import seed_result
 
 NODE_COLUMNS = {
     "dynasty": ("dynasties", ["name", "description"], ["founder", "capital", "start_year", "end_year"]),
@@ -34,14 +36,47 @@ def empty_graph(spark: SparkSession) -> Graph:
     return Graph(*[spark.createDataFrame([], EMPTY[k]) for k in ("person", "dynasty", "event", "place", "edges")])
 
 
-def extract(chunks: DataFrame, client: Callable[[], Client], pause: float = 0.0) -> DataFrame:
+def known_text(graph: Graph, limit: int = 200) -> str:
+    """The first persons by name, with their aliases, one a line: what extraction aligns names with. Only these rows reach the driver."""
+    rows = known_persons(graph, limit).collect()
+    return "\n".join(f"- {r.name}" + (f" ({'、'.join(r.aliases)})" if r.aliases else "") for r in rows)
+
+
+def extraction_prompts(chunks: DataFrame, known: str = "") -> DataFrame:
+    """Adds prompt to chunks (chapter, content)."""
+    task = "List the persons, dynasties, events, places and relations of this text as JSON."
+    align = f"Known persons; use these names for them and for their aliases:\n{known}\n" if known else ""
+    return chunks.withColumn("prompt", F.concat(F.lit(f"{task}\n{align}Chapter: "), F.coalesce("chapter", F.lit("")), F.lit("\n"), "content"))
+
+
+def extract(chunks: DataFrame, client: Callable[[], Client], pause: float = 0.0, known: str = "") -> DataFrame:
     """chunk_id and the parsed result of each chunk; the result is null where the call or its JSON failed."""
-    prompt = F.concat(F.lit("List the persons, dynasties, events, places and relations of this text as JSON.\n"), F.col("content"))
-    out = ask(chunks.withColumn("prompt", prompt), client, system="You answer with JSON only.", pause=pause)
+    out = ask(extraction_prompts(chunks, known), client, system="You answer with JSON only.", pause=pause)
     found = extraction(F.col("output"))
     return out.select("chunk_id", F.when(found.isNotNull(), found.withField("source_text", F.substring("content", 1, 500)).withField("source_chapter", F.col("chapter"))).alias("result"))
 
 
+def result_counts(graph: Graph, results: DataFrame) -> DataFrame:
+    """(kind, n): what results (seq, result) hold, and how many relations and participants find both their ends in the graph written from them."""
+    rows = results.where("result IS NOT NULL")
+    listed = lambda field: rows.select(F.explode(f"result.{field}").alias("n")).select("n.*")
+    count = lambda kind, df: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    relations = listed("relations").withColumn("seq", F.lit(0).cast("long"))
+    edges, lost = relations_to_edges(graph, relations)
+    links = listed("events").where("uid IS NOT NULL").select(F.col("uid").alias("event_uid"), F.explode("participants").alias("name")).distinct()
+    parts = [count(k, listed(k)) for k in ("persons", "dynasties", "events", "places")] + [count("relations_ok", edges), count("relations_failed", lost), count("participants", links), count("participants_ok", resolve_participants(graph, links))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.unionByName(count("failed_chunks", results.where("result IS NULL")))
+
+
+def load_seed(spark: SparkSession, graph: Graph | None = None) -> Graph:
+    """The seed rows written to a graph (an empty one by default): nodes, participants and relations, then the founders of dynasties."""
+    out = apply_results(empty_graph(spark) if graph is None else graph, seed_result(spark))
+    return out.with_edges(upsert_edges(out.edges, founder_edges(out).select(*out.edges.columns)))
+
+
 def apply_results(graph: Graph, results: DataFrame) -> Graph:
     """A graph with results (seq, result) written to it. seq orders the chunks; names are resolved against all nodes after this batch,
     so batches of one chunk give the order-exact outcome."""
@@ -65,12 +100,13 @@ def apply_results(graph: Graph, results: DataFrame) -> Graph:
 def ingest_batch(spark: SparkSession, chunks: DataFrame, root: str, client: Callable[[], Client]) -> None:
     """Extracts chunks, and writes results, a new snapshot of the graph and the ledger below root. Failed chunks count as done."""
     version = uuid.uuid4().hex
-    found = extract(chunks, client)
-    found.write.parquet(f"{root}/results/{version}")
-    found = spark.read.parquet(f"{root}/results/{version}").withColumn("seq", F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("long"))
     last = current_version(spark, root)
     graph = load(spark, f"{root}/graph/{last}") if last else empty_graph(spark)
+    found = extract(chunks, client, known=known_text(graph))
+    found.write.parquet(f"{root}/results/{version}")
+    found = spark.read.parquet(f"{root}/results/{version}").withColumn("seq", F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("long"))
     save(apply_results(graph, found), f"{root}/graph/{version}")
+    result_counts(load(spark, f"{root}/graph/{version}"), found).withColumn("version", F.lit(version)).write.mode("append").parquet(f"{root}/counts")
     found.select("chunk_id", F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{root}/ledger")
 
 
@@ -102,4 +138,5 @@ def saved_results(spark: SparkSession, path: str) -> DataFrame:
     rows = read_results(spark, path)
     names = [f.split(":")[0] for f in ("persons:", "dynasties:", "events:", "places:", "relations:", "source_text:", "source_chapter:")]
     assert all(n in RESULT for n in names)
-    return rows.select(F.monotonically_increasing_id().alias("seq"), F.struct(*names).alias("result"))
+    held = rows.select("_metadata.file_path", F.monotonically_increasing_id().alias("__id"), F.struct(*names).alias("result"))
+    return in_order(held, ["file_path", "__id"], "seq").select("seq", "result")
