@@ -2,10 +2,12 @@
 
 A payload is stored losslessly as an 8-bit RGB PNG, 64 pixels (192 bytes) a row. Each task writes shards of its own, so a
 retried or speculative task never touches another's file; a payload that repeats within a shard is stored once, and its
-rows share one offset. Metadata columns come from range reads of the header alone; the payload from a range read of the member.
+rows share one offset. Members are named by digest in each shard by itself: copies in different shards are stored once a shard, and have one digest. Metadata columns
+come from range reads of the header alone; the payload from a range read of the member. Reading is dealt out by shard and range of offsets, so the number of tasks
+follows the payloads' size and not the index's.
 
-Defined cases: a null or empty text is a payload of 192 spaces. Repeated rows share a member. An empty table gives an
-empty index. Shards that a failed task left behind are named by no index row.
+Defined cases: a null or empty text is a payload of 192 spaces. Null ids are kept. Repeated rows share a member. A very long text is one member, held whole by its task. An
+empty table gives an empty index. Other columns are not carried, so none can clash. Shards that a failed task left behind are named by no index row.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import new_path, partitions, stored
 
 ROW_BYTES = 192
 #: Fixed values of the PNG format: signature, and the bytes up to the end of the first chunk.
@@ -148,21 +150,31 @@ def _ranges(shards: pd.Series, offsets: pd.Series, lengths: pd.Series) -> Iterat
         file.close()
 
 
-def read_headers(index: DataFrame) -> DataFrame:
+def _dealt(index: DataFrame, range_bytes: int) -> DataFrame:
+    """Index rows by shard and range of offsets, in order of place."""
+    at = F.floor(F.col("offset") / range_bytes)
+    return index.repartition(4 * partitions(index.sparkSession), "shard", at).sortWithinPartitions("shard", "offset")
+
+
+def _heads(batch: pd.DataFrame) -> pd.DataFrame:
+    """width, height and bit_depth of members, from range reads of their headers."""
+    ranges = _ranges(batch["shard"], batch["offset"], batch["length"].clip(upper=PNG_HEADER_BYTES))
+    return pd.DataFrame([png_header(h) for h in ranges], columns=["width", "height", "bit_depth"], index=batch.index)
+
+
+def read_headers(index: DataFrame, range_bytes: int = 32 << 20) -> DataFrame:
     """Adds width, height and bit_depth, from the header's range of each member only."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            heads = _ranges(batch["shard"], batch["offset"], batch["length"].clip(upper=PNG_HEADER_BYTES))
-            found = [png_header(h) for h in heads]
-            yield batch.assign(id=batch["id"].astype("Int64"), width=[x[0] for x in found], height=[x[1] for x in found], bit_depth=[x[2] for x in found])
+            yield batch.assign(id=batch["id"].astype("Int64"), **_heads(batch))
 
     columns = ", ".join(f"{n} {t}" for n, t in index.dtypes)
-    return index.mapInPandas(read, f"{columns}, width int, height int, bit_depth int")
+    return _dealt(index, range_bytes).mapInPandas(read, f"{columns}, width int, height int, bit_depth int")
 
 
-def read_media(index: DataFrame) -> DataFrame:
-    """Reads each row's member and computes payload and media digests and the feature.
+def read_media(index: DataFrame, range_bytes: int = 32 << 20) -> DataFrame:
+    """Reads each row's member, its header first, and computes payload and media digests and the feature.
 
     Fails if a member does not match its digest.
     """
@@ -171,15 +183,16 @@ def read_media(index: DataFrame) -> DataFrame:
         for batch in batches:
             seen: dict[tuple, tuple] = {}
             rows, wanted = [], batch.drop_duplicates(["shard", "offset"])
-            for row, data in zip(wanted.itertuples(), _ranges(wanted["shard"], wanted["offset"], wanted["length"]), strict=True):
+            heads = _heads(wanted)
+            for row, head, data in zip(wanted.itertuples(), heads.itertuples(index=False), _ranges(wanted["shard"], wanted["offset"], wanted["length"]), strict=True):
                 media = hashlib.sha256(data).hexdigest()
                 if media != row.digest:
                     raise ValueError(f"{row.shard} at {row.offset}: digest does not match")
                 payload = from_png(data)
-                seen[row.shard, row.offset] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), media, feature_of(payload))
+                seen[row.shard, row.offset] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), media, feature_of(payload), head.width, head.height)
             for row in batch.itertuples():
-                rows.append((row.id, row.n_bytes, *seen[row.shard, row.offset], row.width, row.height, row.shard, row.offset))
+                rows.append((row.id, row.n_bytes, *seen[row.shard, row.offset], row.shard, row.offset))
             out = pd.DataFrame(rows, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset"])
             yield out.assign(id=out["id"].astype("Int64"))
 
-    return index.mapInPandas(read, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, shard string, offset long")
+    return _dealt(index, range_bytes).mapInPandas(read, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, shard string, offset long")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import clear_scratch, stored, table
 from .html import extract_text
-from .media import read_headers, read_media, write_media
+from .media import read_media, write_media
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .oracles import ORACLE_SQL as ORACLE_SQL
@@ -33,7 +33,7 @@ def vocabulary(name: str) -> str:
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_media(table(spark, sf_dir, "documents"))
-    return read_media(read_headers(index)).withColumnRenamed("id", "doc_id").drop("shard", "offset")
+    return read_media(index).withColumnRenamed("id", "doc_id").drop("shard", "offset")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(read_warc(write_warc(table(spark, sf_dir, "pages"))))
+    return records(read_warc(write_warc(table(spark, sf_dir, "pages")), content=False))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
