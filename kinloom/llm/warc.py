@@ -10,7 +10,8 @@ Reading: each range is decompressed as a stream; a record is emitted as rows (re
 
 Defined cases: a null payload is empty. Null ids sort after all others, so such a record is a response only if no record
 with an id shares its payload. Rows with the same id and payload are alike: all response, or all revisit. An empty table gives no
-archive and an empty result. A null URL leaves the target header out.
+archive and an empty result. A null URL leaves the target header out. A very long payload is compressed in slices and read back in chunks. Other columns are not carried,
+so none can clash.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .common import new_path, partitions, stored
 #: Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1\r\n"
 RECORD_END = b"\r\n\r\n"
+SLICE = 1 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNKS = "record_id string, page_id long, record_type string, refers_to long, declared_bytes long, declared_digest string, chunk_no int, content binary, total_bytes long, running_digest string, is_last boolean"
 
@@ -51,7 +53,8 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Writes the archives and returns their ranges: archive, begin, end, records."""
     root = new_path(pages.sparkSession, "warc")
 
-    def one(row) -> bytes:
+    def one(row) -> Iterator[bytes]:
+        """A record's gzip member, in slices."""
         body = b"" if row.refers_to == row.refers_to and row.refers_to is not None else row.payload.encode()
         revisit = row.refers_to == row.refers_to and row.refers_to is not None
         key = None if pd.isna(row.id) else int(row.id)
@@ -64,7 +67,10 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
             lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{record_uri(int(row.refers_to), row.digest)}>", f"X-Refers-To-Page-Id: {int(row.refers_to)}"]
         head = VERSION + "\r\n".join([*lines, "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]).encode() + RECORD_END
         packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-        return packer.compress(head) + packer.compress(body) + packer.compress(RECORD_END) + packer.flush()
+        yield packer.compress(head)
+        for at in range(0, len(body), SLICE):
+            yield packer.compress(memoryview(body)[at : at + SLICE])
+        yield packer.compress(RECORD_END) + packer.flush()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -79,9 +85,10 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     system.create_dir(base, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, uri, at, begin, records = system.open_output_stream(f"{base}/{name}", compression=None), f"{root}/{name}", 0, 0, 0
-                data = one(row)
-                out.write(data)
-                at, records = at + len(data), records + 1
+                for data in one(row):
+                    out.write(data)
+                    at += len(data)
+                records += 1
                 if at - begin >= range_bytes or at >= archive_bytes:
                     ranges.append((uri, begin, at, records))
                     begin, records = at, 0
@@ -138,8 +145,8 @@ def stream_records(read, begin: int, end: int, chunk_bytes: int, block: int = 1
         yield headers, number, part, total + len(part), digest.hexdigest(), True
 
 
-def read_warc(ranges: DataFrame, chunk_bytes: int = 32 << 10) -> DataFrame:
-    """The chunk table of the archives."""
+def read_warc(ranges: DataFrame, chunk_bytes: int = 32 << 10, content: bool = True) -> DataFrame:
+    """The chunk table of the archives. Without content, only each record's last chunk has a row, with the counters of the whole payload and null content."""
     names = [x.split()[0] for x in CHUNKS.split(", ")]
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,9 +158,11 @@ def read_warc(ranges: DataFrame, chunk_bytes: int = 32 << 10) -> DataFrame:
                 rows, held = [], 0
                 with system.open_input_file(path) as file:
                     for head, number, part, total, digest, last in stream_records(file.read_at, row.begin, row.end, chunk_bytes):
+                        if not (content or last):
+                            continue
                         page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
-                        rows.append((head["warc-record-id"].strip("<>"), page and int(page), head["warc-type"], refers and int(refers), int(head["x-payload-length"]), head["warc-payload-digest"].partition(":")[2], number, part, total, digest, last))
-                        held += len(part)
+                        rows.append((head["warc-record-id"].strip("<>"), page and int(page), head["warc-type"], refers and int(refers), int(head["x-payload-length"]), head["warc-payload-digest"].partition(":")[2], number, part if content else None, total, digest, last))
+                        held += len(part) if content else 1 << 10
                         if held > 4 << 20:
                             yield frame(rows)
                             rows, held = [], 0
