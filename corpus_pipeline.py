@@ -9,7 +9,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but th
 - pack: pieces of at most 1,024 tokens, each with its sequence and its place there. Tables keep no order of rows, so the mixed order is worked
   out again: pieces of a length are laid by it, and sequences are numbered by it.
 
-Nulls, empty texts, repeated rows and empty tables are handled as the operators' own docstrings say.
+Nulls, empty texts, very long texts, repeated rows and empty tables are handled as the operators' own docstrings say. Rows with one doc_id are one document: if any
+of their texts is kept among near duplicates, all of the rows are. Further columns of docs, whatever their names, come out as they went in.
 """
 
 from __future__ import annotations
@@ -38,8 +39,13 @@ def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
 
 
+def _rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns that an operator needs, and the whole row as a struct, so that no other column can clash."""
+    return docs.select(*columns, F.struct(*docs.columns).alias("__row"))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return judge_quality(docs).where("kept").select(*docs.columns)
+    return judge_quality(_rows(docs, "source", "text"), keep=["__row"]).where("kept").select("__row.*")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,13 +53,15 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = dedup_substrings(docs, window=PASSAGE_WORDS)
-    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = dedup_substrings(docs.select("doc_id", "text", F.struct(*rest).alias("__rest")), window=PASSAGE_WORDS)
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("__rest.n_chars"))
+    pick = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": n_chars}
+    return found.select(*[pick.get(c, F.col(f"__rest.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("__row"))
-    return mix_sources(rows, WEIGHTS, BLOCK_DOCS).orderBy("slot", "position").select("__row.*")
+    return mix_sources(_rows(docs, "doc_id", "source"), WEIGHTS, BLOCK_DOCS).orderBy("slot", "position").select("__row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

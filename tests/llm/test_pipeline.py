@@ -99,3 +99,50 @@ def test_equal_lengths_are_laid_in_order(spark):
     at = {r.doc_id: r.sequence_id for r in found}
     long = [at[i] for i, *_ in sorted((r for r in rows if r[3] == 700), key=lambda r: r[4])]
     assert long == sorted(long)
+
+
+def test_nulls_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{k % 60_013}x{k}" for k in range(120_000))
+    rows = [(None, text_of(3, 60), "en", None, 5, "a", 1, None), (None, None, None, None, None, None, None, None), (1, long, "en", "s", len(long), "b", 2, [1]), (1, text_of(1, 60), "en", "s", 7, "c", 3, []), (2, text_of(9, 80) + "\n", None, "t", None, "d", 4, None)]
+    docs = spark.createDataFrame(rows, SCHEMA + ", kept string, slot int, `n_words` array<int>")
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.dtypes == docs.dtypes, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    found = {(r.doc_id, r.kept): r for r in docs.collect()}
+    assert {(r.text, r.n_chars, r.slot) for r in found.values()} == {(r[1], r[4], r[6]) for r in (rows[0], rows[2], rows[3], rows[4])}
+    assert found[1, "b"].n_words == [1] and found[1, "c"].n_words == []
+    packed = C.STAGES[-1][1](spark, docs, "").collect()
+    assert sum(r.doc_id is None for r in packed) == 1 and max(r.piece for r in packed if r.doc_id == 1) > 100
+
+
+def test_mix_writes_rows_in_the_order_of_the_schedule(spark):
+    from kinloom.llm.mixing import mix_sources
+
+    docs = spark.createDataFrame([(i, text_of(i, 30), "en", "aab"[i % 3], 1) for i in range(400)], SCHEMA).repartition(3)
+    want = sorted((r.slot, r.position, r.doc_id) for r in mix_sources(docs.select("doc_id", "source"), C.WEIGHTS, C.BLOCK_DOCS).collect())
+    assert [r.doc_id for r in C.mix(spark, docs, "").collect()] == [d for *_, d in want]
+
+
+def test_bands_miss_no_pair_of_a_standard_table(spark):
+    """All pairs of sf0.01's documents with the pipeline's parameters: links by brute force are within the components found."""
+    import os
+
+    import numpy as np
+
+    from kinloom.llm.near_dup import near_duplicates
+
+    path = os.environ.get("TEST_RECALL_DIR", "/root/testdata/sf0.01")
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: shingle_set(r.text, 5) for r in docs.collect()}
+    found = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    ids, holders = sorted(sets), {}
+    for i in ids:
+        for x in sets[i].tolist():
+            holders.setdefault(x, []).append(i)
+    common = {}
+    for held in holders.values():
+        for pair in itertools.combinations(held, 2):
+            common[pair] = common.get(pair, 0) + 1
+    links = [(a, b) for (a, b), n in common.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
+    assert len(links) > 50 and np.mean([found[a] == found[b] for a, b in links]) == 1
