@@ -16,7 +16,7 @@ from .functions.text import chunk_table, numbered
 from .operators.graph import Graph, load, save, stats
 from .operators.search import search_persons
 from .plans.qa import answer
-from .sources.files import read_books, write_json
+from .sources.files import read_books, stored_chunks, write_json
 from .sources.models import Client, Http, Stub
 from .sources.tables import graph_of
 from .streaming.ingest import apply_results, current_version, empty_graph, ingest_stream, load_seed, saved_results
@@ -47,7 +47,10 @@ def show(rows: DataFrame, limit: int) -> None:
 
 
 def process(spark: SparkSession, args: argparse.Namespace) -> None:
-    write_json(numbered(chunk_table(read_books(spark, args.path), args.size, args.overlap)), args.out)
+    make = lambda: numbered(chunk_table(read_books(spark, args.path), args.size, args.overlap)).select("chunk_id", "chapter", "content", "char_count")
+    if args.again:
+        write_json(make(), args.out)
+    print(stored_chunks(spark, args.out, make).count())
 
 
 def seed(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -90,6 +93,7 @@ def parser() -> argparse.ArgumentParser:
     cut = add("process", process, "books to chunk files", "path", "out", root=False)
     cut.add_argument("--size", type=int, default=1500)
     cut.add_argument("--overlap", type=int, default=200)
+    cut.add_argument("--again", action="store_true", help="cut anew what is there already")
     add("seed", seed, "the seed rows, or a graph of the standard tables").add_argument("path", nargs="?")
     follow = add("ingest", ingest, "chunk files to the graph", "path")
     follow.add_argument("--files", type=int, default=1, help="files a batch")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,9 +40,9 @@ def decoded(raw: bytes) -> str:
 
 
 def read_books(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text) of the .txt, .md and .text files of a folder. UTF-8 is decoded by Spark; only the rest goes to Python."""
+    """(name, text) of the .txt, .md and .text files of a folder; the name is the file's without folder and ending. UTF-8 is decoded by Spark; only the rest goes to Python."""
     files = spark.read.format("binaryFile").load(path).where(F.col("path").rlike(r"(?i)\.(txt|md|text)$"))
-    files = files.select(F.col("path").alias("name"), "content")
+    files = files.select(F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1).alias("name"), "content")
     valid = F.is_valid_utf8(F.col("content").cast("string"))
     good = files.where(valid).select("name", F.col("content").cast("string").alias("text"))
 
@@ -57,8 +57,16 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CHUNK).option("multiLine", True).json(path)
+def stored_chunks(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The chunks at path; if there are none, they are made and written there first."""
+    read = lambda: spark.read.schema(CHUNK).json(path)
+    try:
+        return read()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    write_json(make(), path)
+    return read()
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -20,6 +20,8 @@ def test_process_and_ingest(spark, root):
     main(["process", str(root / "books"), str(root / "chunks"), "--size", "500", "--overlap", "50"])
     n = spark.read.json(str(root / "chunks")).count()
     assert n > 3
+    main(["process", str(root / "books"), str(root / "chunks"), "--size", "10000"])  # chunks that are there stay
+    assert spark.read.json(str(root / "chunks")).count() == n
     for _ in range(2):  # a second run finds nothing new
         main(["ingest", str(root / "chunks"), "--root", str(root / "state")])
         assert spark.read.parquet(str(root / "state/ledger")).count() == n
@@ -40,3 +42,11 @@ def test_saved_results_are_found(spark, root, capsys):
 def test_empty_root(spark, root, capsys):
     main(["search", "north", "--root", str(root / "none")])
     assert capsys.readouterr().out == ""
+
+
+def test_seed_rows_and_counts(spark, root, capsys):
+    main(["seed", "--root", str(root / "seeded")])
+    g = newest_graph(spark, str(root / "seeded"))
+    assert (g.person.count(), g.dynasty.count(), g.event.count(), g.place.count(), g.edges.count()) == (5, 3, 3, 3, 12)
+    counts = {r.kind: r.n for r in spark.read.parquet(str(root / "state/counts")).groupBy("kind").sum("n").toDF("kind", "n").collect()}
+    assert counts["failed_chunks"] == 0 and counts["persons"] == 0
