@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,3 +97,33 @@ def clear_scratch() -> None:
 def words(text: Column) -> Column:
     """Words of a text in order; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAPS), lambda w: w != "")
+
+
+def split_words(texts: pa.Array) -> pa.ListArray:
+    """The words of each text inside a task; a null text has none."""
+    found = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    flat = found.flatten()
+    some = pc.not_equal(pc.binary_length(flat), 0)
+    ends = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    sizes = np.concatenate([[0], np.cumsum(pc.list_value_length(found).to_numpy())])
+    return pa.ListArray.from_arrays(pa.array(ends[sizes].astype(np.int32)), flat.filter(some))
+
+
+def hashes_of(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word; each distinct word is hashed once."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    return np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))[coded.indices.to_numpy()]
+
+
+def slices_of(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first, texts): slices of about that many bytes, so a batch of long texts is not worked on at once."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
+    begin = 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield begin, texts.slice(begin, end - begin)
+        begin = end

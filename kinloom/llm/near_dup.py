@@ -29,11 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, stored
+from .common import Scratch, hashes_of, partitions, slices_of, split_words, stored
 from .components import components
 
 U64 = np.uint64
@@ -43,38 +44,33 @@ TOGETHER = 1 << 20
 MIX = (U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered up to a number of words."""
-
-    limit = 250_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-_hashes = WordHashes()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> U64(30))) * MIX[1]
     x = (x ^ (x >> U64(27))) * MIX[2]
     return x ^ (x >> U64(31))
 
 
+def rolled(h: np.ndarray, width: int, multiplier: np.uint64 = MIX[0]) -> np.ndarray:
+    """A hash of each run of ``width`` word hashes."""
+    n = max(0, len(h) - width + 1)
+    total = h[:n].copy()
+    for i in range(1, width):
+        total *= multiplier
+        total += h[i : i + n]
+    return mix(total + U64(width))
+
+
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; A-Z are lowered, white space is space and tab to carriage return."""
+    words = split_words(pc.ascii_lower(texts.cast(pa.string())))
+    h, ends = hashes_of(words.values), words.offsets.to_numpy()
+    whole = rolled(h, width)
+    # a text of fewer words has its whole sequence as its one shingle
+    return [np.unique(whole[a : b - width + 1] if b - a >= width else rolled(h[a:b], max(b - a, 1))) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text; A-Z are lowered, white space is space and tab to carriage return."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, U64)
-    h = np.array([_hashes[w] for w in words], U64)
-    k = min(width, len(h))
-    total = h[: len(h) - k + 1].copy()
-    for i in range(1, k):
-        total = total * MIX[0] + h[i : len(h) - k + 1 + i]
-    return np.unique(mix(total + U64(k)))
+    return shingle_sets(pa.array([text], pa.string()), width)[0]
 
 
 def key_of(items: np.ndarray) -> bytes | None:
@@ -152,12 +148,15 @@ def shingle_docs(docs: DataFrame, width: int, percent: int, rows: int, bands: in
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, sets = batch["id"].astype("Int64").array, []
-            for at, text in enumerate(batch["text"], 1):
-                sets.append(shingle_set(text, width))
-                if at == len(batch) or len(sets) == 512 or sum(map(len, sets)) > TOGETHER:
-                    yield sketched(ids[at - len(sets) : at], sets)
-                    sets = []
+            ids, texts = batch["id"].astype("Int64").array, pa.array(batch["text"], pa.string())
+            for first, some in slices_of(texts):
+                sets, at = shingle_sets(some, width), 0
+                while at < len(sets):
+                    end, size = at, 0
+                    while end < len(sets) and end - at < 512 and (end == at or size + len(sets[end]) <= TOGETHER):
+                        size, end = size + len(sets[end]), end + 1
+                    yield sketched(ids[first + at : first + end], sets[at:end])
+                    at = end
 
     def sketched(ids, sets: list[np.ndarray]) -> pd.DataFrame:
         # a set of n differs from another by one element at least: n / (n + 1) must reach the threshold
@@ -265,7 +264,7 @@ def verified_links(docs: DataFrame, groups: DataFrame, classes: DataFrame, width
 
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch["text"]]
+            sets = [s for _, some in slices_of(pa.array(batch["text"], pa.string())) for s in shingle_sets(some, width)]
             same = [key_of(s) == bytes(want) for s, want in zip(sets, batch["set_key"], strict=True)]
             yield pd.DataFrame({"component": batch["component"], "node": batch["node"], "blocks": batch["blocks"], "items": [s.tobytes() for s in sets]})[same]
 

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stored
-from .tokens import encoder, slices_of
+from .common import partitions, slices_of, stored
+from .tokens import encoder
 
 
 class Run(NamedTuple):

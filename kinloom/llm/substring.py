@@ -31,15 +31,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, partitions
-from .near_dup import MIX, U64, _hashes, mix
+from .common import Scratch, hashes_of, partitions, split_words
+from .near_dup import MIX, U64, rolled
 
 NO_ID = np.iinfo(np.int64).max
+CELLS_A_TASK = 16
 SENT = "cell long, block long, hashes binary, more binary, low binary, high_at binary, high binary, ids binary"
+SENT_SCHEMA = pa.schema([(name, pa.int64() if kind == "long" else pa.binary()) for name, kind in (x.split() for x in SENT.split(", "))])
 ANSWER = "block long, cell long, smaller binary, larger binary, n long"
 
 
@@ -53,38 +56,31 @@ def difference_cover(v: int) -> list[int]:
     return sorted(cover)
 
 
-def rolled(h: np.ndarray, width: int, multiplier: np.uint64 = MIX[0]) -> np.ndarray:
-    """A hash of each run of ``width`` word hashes."""
-    n = max(0, len(h) - width + 1)
-    total = h[:n].copy()
-    for i in range(1, width):
-        total *= multiplier
-        total += h[i : i + n]
-    return mix(total + U64(width))
-
-
 def grouped(hashes: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Places in the order of (hash, more), and which of them begin a new value."""
     order = np.argsort(hashes)
-    new = np.append(True, hashes[order][1:] != hashes[order][:-1])[: len(order)]
+    near = hashes[order]
+    new = np.ones(len(near), bool)
+    np.not_equal(near[1:], near[:-1], out=new[1:])
     if more is not None:
-        differ = np.append(False, more[order][1:] != more[order][:-1])[: len(order)]
-        if (differ & ~new).any():
+        like = np.flatnonzero(~new)
+        if (more[order[like]] != more[order[like - 1]]).any():
             order = np.lexsort((more, hashes))
-            new = np.append(True, (hashes[order][1:] != hashes[order][:-1]) | (more[order][1:] != more[order][:-1]))
+            near, also = hashes[order], more[order]
+            new[1:] = (near[1:] != near[:-1]) | (also[1:] != also[:-1])
     return order, new
 
 
 class Block:
     """The words of a block's documents in one line, and what anchors and windows say about them."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None], window: int) -> None:
-        self.words = [(t or "").encode().split() for t in texts]
+    def __init__(self, ids: pa.Array, texts: pa.Array, window: int) -> None:
+        words = split_words(texts)
+        self.words, self.begin = words.values, words.offsets.to_numpy().astype(np.int64)
         self.window, self.period = window, (window + 1) // 2
-        self.n_words = np.array([len(w) for w in self.words], np.int64)
-        self.begin = np.concatenate([[0], np.cumsum(self.n_words)])
-        self.hashes = np.array([_hashes[x] for w in self.words for x in w], U64)
-        self.ids, self.order = np.unique(np.array([NO_ID if i is None else i for i in ids], np.int64), return_inverse=True)
+        self.n_words = np.diff(self.begin)
+        self.hashes = hashes_of(self.words)
+        self.ids, self.order = np.unique(pc.fill_null(ids, NO_ID).to_numpy(), return_inverse=True)
         self.doc = np.repeat(np.arange(len(texts)), self.n_words)
         self.local = np.arange(len(self.doc)) - self.begin[self.doc]
         self.left = self.n_words[self.doc] - self.local  # words from here to the document's end
@@ -144,7 +140,7 @@ def _send(block: int, ids: np.ndarray, hashes: np.ndarray, more: np.ndarray | No
         first, last = places[: b - a].astype(small), places[b - a :].astype(small)
         differ = np.flatnonzero(first != last).astype(np.uint32)
         rows.append((int(cell[a]), block, hashes[a:b].tobytes(), b"" if more is None else more[a:b].tobytes(), first.tobytes(), differ.tobytes(), last[differ].tobytes(), ids[used].tobytes()))
-    return pd.DataFrame(rows, columns=[x.split()[0] for x in SENT.split(", ")])
+    return pd.DataFrame(rows, columns=SENT_SCHEMA.names)
 
 
 def answer(rows: list) -> pd.DataFrame:
@@ -201,7 +197,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, b
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.cumsum(np.nan_to_num(pa.compute.binary_length(batch["text"]).to_numpy(zero_copy_only=False)))
+            size = np.cumsum(np.nan_to_num(pc.binary_length(batch["text"]).to_numpy(zero_copy_only=False)))
             edges = [0]
             while edges[-1] < batch.num_rows:
                 a = edges[-1]
@@ -216,8 +212,9 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, b
 
 
 def _answers(sent: DataFrame, what: str, cells: int, scratch: Scratch) -> DataFrame:
-    """Stored answers, one row a block. A cell is a task's, or part of one: there are at least as many tasks as the session's width."""
-    dealt = sent.repartition(max(cells, partitions(sent.sparkSession)), "cell").sortWithinPartitions("cell")
+    """Stored answers, one row a block. A task takes some cells, CELLS_A_TASK or fewer; it holds one at a time."""
+    width = max(partitions(sent.sparkSession), -(-cells // CELLS_A_TASK))
+    dealt = sent.repartition(width, "cell").sortWithinPartitions("cell")
     found = scratch.stored(dealt.mapInPandas(answers_of_cells, ANSWER), what)
     return found.groupBy("block").agg(F.collect_list(F.struct("cell", "smaller", "larger", "n")).alias(what))
 
@@ -246,52 +243,47 @@ def dedup_substrings(
     size = blocks.agg(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda a, t: a + F.coalesce(F.octet_length(t), F.lit(0))))).first()[0] or 0
     cells = max(partitions(spark), -(-size // cell_bytes))
 
-    def send_anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """Each row with its block, its anchors found."""
         for batch in batches:
-            for row in batch.itertuples():
-                b = Block(_list(row.ids), row.texts, window)
+            for i in range(batch.num_rows):
+                b = Block(batch["ids"][i].values, batch["texts"][i].values, window)
                 b.anchors()
-                yield _send(row.block, b.ids, b.anchor, None, b.anchor_low, b.anchor_high, cells)
+                yield {name: batch[name][i] for name in batch.schema.names}, b
 
-    def send_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                b = Block(_list(row.ids), row.texts, window)
-                b.anchors()
-                b.windows(_bits(row.anchors, "smaller"), _bits(row.anchors, "larger"))
-                yield _send(row.block, b.ids, b.windows_, b.windows_more, b.window_low, b.window_low, cells)
+    def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, b in blocks_of(batches):
+            sent = _send(row["block"].as_py(), b.ids, b.anchor, None, b.anchor_low, b.anchor_high, cells)
+            yield pa.RecordBatch.from_pandas(sent, SENT_SCHEMA, preserve_index=False)
+
+    def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, b in blocks_of(batches):
+            found = row["anchors"].as_py()
+            b.windows(_bits(found, "smaller"), _bits(found, "larger"))
+            sent = _send(row["block"].as_py(), b.ids, b.windows_, b.windows_more, b.window_low, b.window_low, cells)
+            yield pa.RecordBatch.from_pandas(sent, SENT_SCHEMA, preserve_index=False)
 
-    anchors = _answers(blocks.select("block", "ids", "texts").mapInPandas(send_anchors, SENT), "anchors", cells, scratch)
+    anchors = _answers(blocks.select("block", "ids", "texts").mapInArrow(send_anchors, SENT), "anchors", cells, scratch)
     joined = blocks.join(anchors, "block", "left")
-    windows = _answers(joined.select("block", "ids", "texts", "anchors").mapInPandas(send_windows, SENT), "windows", cells, scratch)
+    windows = _answers(joined.select("block", "ids", "texts", "anchors").mapInArrow(send_windows, SENT), "windows", cells, scratch)
     rest_type = blocks.schema["rest"].dataType.elementType
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("rest", rest_type)])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, texts = batch["ids"][i].as_py(), batch["texts"][i].as_py()
-                found, replies = batch["anchors"][i].as_py(), batch["windows"][i].as_py()
-                b = Block(ids, texts, window)
-                b.anchors()
-                b.windows(_bits(found, "smaller"), _bits(found, "larger"))
-                gone = b.removed(_bits(replies, "smaller"))
-                lost = np.add.reduceat(np.append(gone, False), b.begin[:-1], dtype=np.int64) * (b.n_words > 0) if len(texts) else np.zeros(0, np.int64)
-                keep = ~gone
-                for k in np.flatnonzero((lost > 0) | rejoin).tolist():
-                    words = b.words[k]
-                    if lost[k]:
-                        words = [w for w, stay in zip(words, keep[b.begin[k] : b.begin[k + 1]].tolist(), strict=True) if stay]
-                    texts[k] = b" ".join(words).decode()
-                columns = [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(b.n_words), pa.array(lost), batch["rest"][i].values]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n_words", "n_removed", "rest"])
+        for row, b in blocks_of(batches):
+            found = row["anchors"].as_py()
+            b.windows(_bits(found, "smaller"), _bits(found, "larger"))
+            keep = ~b.removed(_bits(row["windows"].as_py(), "smaller"))
+            kept = np.concatenate([[0], np.cumsum(keep)])[b.begin]
+            lost = b.n_words - np.diff(kept)
+            texts = row["texts"].values
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), b.words.filter(pa.array(keep))), " ")
+            texts = pc.if_else(pa.array((lost > 0) | rejoin), joined, texts)
+            columns = [row["ids"].values, texts, pa.array(b.n_words), pa.array(lost), row["rest"].values]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n_words", "n_removed", "rest"])
 
     full = joined.join(windows, "block", "left").select("ids", "texts", "anchors", "windows", "rest")
     out = full.mapInArrow(remove, schema)
     names = [c for c in docs.columns if c not in {"n_words", "n_removed"}]
     pick = {id_col: F.col("id"), text_col: F.col("text")}
     return out.select(*[pick[c].alias(c) if c in pick else F.col("rest")[c].alias(c) for c in names], "n_words", "n_removed")
-
-
-def _list(ids: np.ndarray) -> list[int | None]:
-    return [None if pd.isna(i) else int(i) for i in ids]

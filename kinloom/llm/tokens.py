@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -193,14 +192,3 @@ def encoder(path: str, kind: str, end_id: int) -> Encoder:
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
     return _encoders[key]
-
-
-def slices_of(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, pa.Array]]:
-    """(first, texts): slices of about that many bytes, so a batch of long texts is not encoded at once."""
-    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
-    begin = 0
-    while begin < len(texts):
-        before = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, before + size, "right")))
-        yield begin, texts.slice(begin, end - begin)
-        begin = end

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions, stored
-from .tokens import encoder, slices_of
+from .common import new_path, partitions, slices_of, stored
+from .tokens import encoder
 
 MAGIC = b"KLWM0001"
 BLOCK_BITS = 1 << 16

@@ -67,6 +67,7 @@ def test_matches_brute_force(spark, window):
 def test_rejoins_and_handles_nothing(spark):
     docs = spark.createDataFrame([(1, " a \n b ")], "doc_id long, text string")
     assert [r.text for r in dedup_substrings(docs, rejoin=True).collect()] == ["a b"]
+    assert [r.text for r in dedup_substrings(spark.createDataFrame([(1, None)], "doc_id long, text string"), rejoin=True).collect()] == [""]
     assert dedup_substrings(docs.limit(0)).count() == 0
 
 
