@@ -134,5 +134,10 @@ def merge_persons(records: DataFrame) -> DataFrame:
         if state.nodes:
             yield nodes_of(state)
 
-    joined = records.join(groups.withColumnRenamed("node", "seq"), "seq").select(*records.columns, "group")
-    return joined.repartition("group").sortWithinPartitions("group", "seq").mapInPandas(fold, PERSON_SCHEMA)
+    shared = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    many = groups.join(shared, "group").select(F.col("node").alias("seq"), "group")
+    # a person that shares nothing stays as it is, and never goes to Python
+    empty = F.array().cast("array<string>")
+    alone = records.join(many.select("seq"), "seq", "left_anti").withColumns({c: F.coalesce(c, empty) for c in ("aliases", "loyalty")}).select(*records.columns)
+    joined = records.join(many, "seq").select(*records.columns, "group")
+    return alone.union(joined.repartition("group").sortWithinPartitions("group", "seq").mapInPandas(fold, PERSON_SCHEMA))
