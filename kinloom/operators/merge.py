@@ -27,14 +27,16 @@ _AMBIGUOUS = frozenset(AMBIGUOUS_TITLES)
 
 
 def connected(pairs: DataFrame) -> DataFrame:
-    """(node, group) for the rows (node, key): nodes that share a key, or are joined through others, get one group.
+    """(node, group) for the rows (node, key): nodes that share a key, or are joined through others, get one group. Nodes that share no key have no row.
 
-    Smallest labels go from nodes to keys and back until nothing changes; each round is cut by checkpoint() in the session's
+    Keys of one node are left out first. Smallest labels go from nodes to keys and back until nothing changes; each round is cut by checkpoint() in the session's
     checkpoint folder. A hot key is a partial minimum and a join, never pairs.
     """
     spark = pairs.sparkSession
     checkpoint_dir(spark)
-    pairs = pairs.distinct().checkpoint()
+    pairs = pairs.distinct()
+    shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    pairs = pairs.join(shared, "key", "left_semi").select("node", "key").checkpoint()
     labels = pairs.select("node").distinct().withColumn("group", F.col("node")).checkpoint()
     while True:
         least = pairs.join(labels, "node").groupBy("key").agg(F.min("group").alias("g"))
@@ -134,8 +136,7 @@ def merge_persons(records: DataFrame) -> DataFrame:
         if state.nodes:
             yield nodes_of(state)
 
-    shared = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
-    many = groups.join(shared, "group").select(F.col("node").alias("seq"), "group")
+    many = groups.select(F.col("node").alias("seq"), "group")
     # a person that shares nothing stays as it is, and never goes to Python
     empty = F.array().cast("array<string>")
     alone = records.join(many.select("seq"), "seq", "left_anti").withColumns({c: F.coalesce(c, empty) for c in ("aliases", "loyalty")}).select(*records.columns)
