@@ -304,7 +304,7 @@ def near_duplicates(
     percent: int = 80,
     rows: int = 8,
     bands: int = 80,
-    block: int = 64,
+    block: int = 32,
     block_bytes: int = 16 << 20,
     id_col: str = "doc_id",
     text_col: str = "text",
