@@ -90,7 +90,7 @@ class Encoder:
     kind: ``bytes`` (byte-level, white space kept) or ``words`` (white space dropped).
     """
 
-    def __init__(self, path: str, kind: str, end_id: int, memo: int = 250_000, units: int = 500_000) -> None:
+    def __init__(self, path: str, kind: str, end_id: int, memo: int = 300_000, units: int = 700_000) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
