@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from .common import clear_scratch, stored, table
 from .html import extract_text
+from .importance import resample
 from .media import read_media, write_media
 from .mixing import mix_sources
 from .near_dup import near_duplicates
 from .oracles import ORACLE_SQL as ORACLE_SQL
 from .packing import pack
 from .quality import judge_quality
+from .rope import fill_in_middle, restore
 from .substring import dedup_substrings
+from .suffixes import dedup_suffixes
 from .urls import judge_urls
 from .warc import read_warc, records, write_warc
 from .wavelet import read_tokens, write_tokens
@@ -78,6 +81,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), "bytes", END_ID, SEQUENCE_TOKENS)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_suffixes(table(spark, sf_dir, "documents").select("doc_id", "text"), window=200)
+    found = stored(found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "suffixes")
+    clear_scratch()
+    return found
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = restore(fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=7).drop("text"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_mix_sources": op2_mix_sources,
@@ -89,4 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
+    "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_importance": op13_importance,
 }
