@@ -1,11 +1,15 @@
 """Entity resolution: persons that share a specific name become one node, in order of arrival.
 
-The outcome depends on order, but only among persons that share names or uids, directly or through others. So those
+The outcome depends on order, but only among records that share names or uids, directly, through other records or through a stored node. So those
 connected groups are found by joins on names, and each is folded in order by itself. A group's records stream through one task, sorted by
 Spark; the task holds the group's nodes and a name index, not its records, so groups of any number of records are folded.
 
+Stored nodes are never records: they enter a group as they are, are matched by records, and are never merged with each other. Only those that bear a name or uid of the batch
+enter one, so a batch costs what it touches, besides one scan of the names.
+
 Defined cases: a person without specific names matches nobody. Of several matches the node created first is taken; an exact name comes
-before an alias. A merge that would leave more than 25 aliases is not made.
+before an alias. A merge that would leave more than 25 aliases is not made. Records are told apart by a number of their own, so equal seq (and even equal rows) are
+records like others; they arrive in no set order among themselves.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ from ..sources.files import checkpoint_dir
 
 MAX_ALIASES = 25
 PERSON_SCHEMA = "uid string, original_name string, aliases array<string>, role string, loyalty array<string>, birth_year int, death_year int, death_cause string, description string, seq long"
+PERSON_COLUMNS = [x.split()[0] for x in PERSON_SCHEMA.split(", ")]
+#: Names that a node had, with the arrival that gave it (null: it was stored with it) and the one that took it away (null: none).
+NAMES = "array<struct<name:string,since:bigint,until:bigint>>"
 _AMBIGUOUS = frozenset(AMBIGUOUS_TITLES)
 
 
@@ -59,6 +66,27 @@ class _Fold:
         #: By name, a heap of (order, uid); entries that no longer hold are dropped when they come up.
         self.named: dict[str, list] = {}
         self.aliased: dict[str, list] = {}
+        #: By uid, the arrival that gave each present name, and past names with both arrivals.
+        self.since: dict[str, dict[str, int | None]] = {}
+        self.past: dict[str, list[tuple]] = {}
+
+    def _note(self, uid: str, at: int | None) -> None:
+        """Names after a change at an arrival."""
+        node, known = self.nodes[uid], self.since.setdefault(uid, {})
+        names = {n for n in (node["original_name"], *node["aliases"]) if n}
+        for name in known.keys() - names:
+            self.past.setdefault(uid, []).append((name, known.pop(name), at))
+        for name in names - known.keys():
+            known[name] = at
+
+    def load(self, p: dict) -> None:
+        """A stored node, as it is; they come in order of creation, before all records."""
+        self._upsert(p)
+        self._note(p["uid"], None)
+
+    def names_of(self, uid: str) -> list[dict]:
+        rows = [(n, a, None) for n, a in self.since[uid].items()] + self.past.get(uid, [])
+        return [dict(zip(("name", "since", "until"), r, strict=True)) for r in rows]
 
     def _index(self, uid: str, index: dict[str, list], names: set[str]) -> None:
         for name in names:
@@ -97,6 +125,7 @@ class _Fold:
         merged = held and sorted(({*held["aliases"], *names}) - {held["original_name"], ""})
         if held is None or len(merged) > MAX_ALIASES:
             self._upsert(p)
+            self._note(p["uid"], p["seq"])
             return
         self._index(held["uid"], self.aliased, set(merged).difference(held["aliases"]))
         held["aliases"] = merged
@@ -107,17 +136,29 @@ class _Fold:
                 held[k] = p[k]
         if p["role"] not in (None, "", OTHER_ROLE) and held["role"] in (None, "", OTHER_ROLE):
             held["role"] = p["role"]
-
-
-def merge_persons(records: DataFrame) -> DataFrame:
-    """Nodes from person records (PERSON_SCHEMA; seq is the order of arrival, existing nodes with the seq of their creation)."""
-    records = records.select(*[x.split()[0] for x in PERSON_SCHEMA.split(", ")])
-    names = specific_names(all_names(F.col("original_name"), F.col("aliases")))
-    keys = records.select(F.col("seq").alias("node"), F.explode(F.array_append(F.transform(names, lambda n: F.concat(F.lit("n:"), n)), F.concat(F.lit("u:"), "uid"))).alias("key"))
-    groups = connected(keys)
+        self._note(held["uid"], p["seq"])
+
+
+def fold_persons(records: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """What the records (PERSON_SCHEMA; seq is the order of arrival) make of the stored nodes: new nodes and the stored ones that share a name or uid with a record, as they
+    are afterwards, with names (NAMES), their history in this batch. Other stored nodes have no row."""
+    checkpoint_dir(records.sparkSession)
+    # numbered once: a record keeps its number in all joins below
+    records = records.select(*PERSON_COLUMNS).withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    specific = specific_names(all_names(F.col("original_name"), F.col("aliases")))
+    keyed = lambda df, *more: df.select(*more, F.explode(F.array_append(F.transform(specific, lambda n: F.concat(F.lit("n:"), n)), F.concat(F.lit("u:"), "uid"))).alias("key"))
+    record_keys = keyed(records, F.concat(F.lit("r"), F.col("id").cast("string")).alias("node"))
+    pairs = record_keys
+    if stored is not None:
+        stored = stored.select(*PERSON_COLUMNS)
+        near = keyed(stored, "uid").join(record_keys.select("key").distinct(), "key", "left_semi")
+        pairs = record_keys.union(near.select(F.concat(F.lit("s"), "uid").alias("node"), "key"))
+    groups = connected(pairs)
+    empty = F.array().cast("array<string>")
+    listed = lambda df: df.withColumns({c: F.coalesce(c, empty) for c in ("aliases", "loyalty")})
 
     def nodes_of(state: _Fold) -> pd.DataFrame:
-        out = pd.DataFrame(list(state.nodes.values()))
+        out = pd.DataFrame([n | {"names": state.names_of(u)} for u, n in state.nodes.items()])
         return out.assign(birth_year=out["birth_year"].astype("Int32"), death_year=out["death_year"].astype("Int32"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,20 +166,34 @@ def merge_persons(records: DataFrame) -> DataFrame:
         for batch in batches:
             rows = batch.astype(object)
             for row in rows.where(rows.notna(), None).to_dict("records"):
-                group = row.pop("group")
+                group, new = row.pop("group"), row.pop("id") is not None
                 if group != current and state.nodes:
                     yield nodes_of(state)
                     state = _Fold()
                 current = group
                 years = {k: None if row[k] is None else int(row[k]) for k in ("birth_year", "death_year")}
                 lists = {k: [] if row[k] is None else list(row[k]) for k in ("aliases", "loyalty")}
-                state.add(row | years | lists)
+                (state.add if new else state.load)(row | years | lists)
         if state.nodes:
             yield nodes_of(state)
 
-    many = groups.select(F.col("node").alias("seq"), "group")
-    # a person that shares nothing stays as it is, and never goes to Python
-    empty = F.array().cast("array<string>")
-    alone = records.join(many.select("seq"), "seq", "left_anti").withColumns({c: F.coalesce(c, empty) for c in ("aliases", "loyalty")}).select(*records.columns)
-    joined = records.join(many, "seq").select(*records.columns, "group")
-    return alone.union(joined.repartition("group").sortWithinPartitions("group", "seq").mapInPandas(fold, PERSON_SCHEMA))
+    many = groups.where("node LIKE 'r%'").select(F.substring("node", 2, 30).cast("long").alias("id"), "group")
+    # a record that shares nothing becomes a node as it is, and never goes to Python
+    names = F.transform(all_names(F.col("original_name"), F.col("aliases")), lambda n: F.struct(n.alias("name"), F.col("seq").alias("since"), F.lit(None).cast("long").alias("until")))
+    alone = listed(records.join(many.select("id"), "id", "left_anti")).withColumn("names", names).select(*PERSON_COLUMNS, "names")
+    rows = records.join(many, "id").select(*PERSON_COLUMNS, "id", "group")
+    if stored is not None:
+        held = groups.where("node LIKE 's%'").select(F.expr("substring(node, 2)").alias("uid"), "group")
+        rows = stored.join(held, "uid").select(*PERSON_COLUMNS, F.lit(None).cast("long").alias("id"), "group").union(rows)
+    # nulls come first: stored nodes by creation, then records by arrival
+    order = ["group", F.col("id").isNotNull(), "seq", "id", "uid"]
+    return alone.union(rows.repartition("group").sortWithinPartitions(*order).mapInPandas(fold, f"{PERSON_SCHEMA}, names {NAMES}"))
+
+
+def merge_persons(records: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """All nodes after the records (PERSON_SCHEMA; seq is the order of arrival) have been merged into the stored ones."""
+    folded = fold_persons(records, stored)
+    if stored is None:
+        return folded.select(*PERSON_COLUMNS)
+    folded = folded.checkpoint()
+    return stored.select(*PERSON_COLUMNS).join(folded.select("uid"), "uid", "left_anti").select(*PERSON_COLUMNS).union(folded.select(*PERSON_COLUMNS))

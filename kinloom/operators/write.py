@@ -22,11 +22,14 @@ def upsert_nodes(old: DataFrame, new: DataFrame, required: list[str], optional:
 
 
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row a (src, rel_type, dst): the latest description and role, the latest year that is not null."""
-    year_at = F.when(F.col("year").isNotNull(), F.col("seq"))
-    return old.unionByName(new).groupBy("src", "rel_type", "dst").agg(
-        F.max_by("year", year_at).alias("year"), F.max_by("description", "seq").alias("description"), F.max_by("role", "seq").alias("role"), F.min("seq").alias("seq")
-    ).select(*old.columns)
+    """One row a (src, rel_type, dst): of year, description and role each the latest that is not null, as an upsert sets only what it has."""
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c)
+    return old.unionByName(new).groupBy("src", "rel_type", "dst").agg(latest("year"), latest("description"), latest("role"), F.min("seq").alias("seq")).select(*old.columns)
+
+
+def relation_rows(relations: DataFrame) -> DataFrame:
+    """Edges of (src, dst, relation_type, year, description, seq)."""
+    return relations.select("src", relation_type(F.col("relation_type")).alias("rel_type"), "dst", "year", "description", F.lit(None).cast("string").alias("role"), "seq")
 
 
 def relations_to_edges(graph: Graph, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -36,15 +39,19 @@ def relations_to_edges(graph: Graph, relations: DataFrame) -> tuple[DataFrame, D
     a, b = found.toDF("source", "src"), found.toDF("target", "dst")
     out = relations.join(a, "source", "left").join(b, "target", "left")
     both = F.col("src").isNotNull() & F.col("dst").isNotNull()
-    edges = out.where(both).select("src", relation_type(F.col("relation_type")).alias("rel_type"), "dst", "year", "description", F.lit(None).cast("string").alias("role"), "seq")
-    return edges, out.where(~both).select(*relations.columns)
+    return relation_rows(out.where(both)), out.where(~both).select(*relations.columns)
+
+
+def participation_rows(links: DataFrame) -> DataFrame:
+    """Edges of (uid, event_uid, seq); they set the role alone."""
+    null = F.lit(None)
+    return links.select(F.col("uid").alias("src"), F.lit(PARTICIPATED).alias("rel_type"), F.col("event_uid").alias("dst"), null.cast("int").alias("year"), null.cast("string").alias("description"), F.lit(DEFAULT_EDGE_ROLE).alias("role"), "seq")
 
 
 def participation_edges(graph: Graph, events: DataFrame) -> DataFrame:
     """Edges for the participants that events (uid, participants, seq) list."""
     links = events.select(F.col("uid").alias("event_uid"), F.explode("participants").alias("name"))
-    found = resolve_participants(graph, links).join(events.select(F.col("uid").alias("event_uid"), "seq"), "event_uid")
-    return found.select(F.col("uid").alias("src"), F.lit(PARTICIPATED).alias("rel_type"), F.col("event_uid").alias("dst"), F.lit(None).cast("int").alias("year"), F.lit("").alias("description"), F.lit(DEFAULT_EDGE_ROLE).alias("role"), "seq")
+    return participation_rows(resolve_participants(graph, links).join(events.select(F.col("uid").alias("event_uid"), "seq"), "event_uid"))
 
 
 def typed_edges(pairs: DataFrame, kind: str, seq: int = 0) -> DataFrame:
@@ -55,11 +62,11 @@ def typed_edges(pairs: DataFrame, kind: str, seq: int = 0) -> DataFrame:
     return pairs.distinct().select("src", F.lit(kind).alias("rel_type"), "dst", null.cast("int").alias("year"), null.cast("string").alias("description"), null.cast("string").alias("role"), F.lit(seq).cast("long").alias("seq"))
 
 
-def founder_edges(graph: Graph) -> DataFrame:
+def founder_edges(graph: Graph, seq: int = 0) -> DataFrame:
     """Founders by name: person to dynasty."""
     named = graph.dynasty.where("founder IS NOT NULL").select("uid", "founder")
     found = resolve_names(graph, named.select("founder"), "Person").select(F.col("name").alias("founder"), F.col("uid").alias("src"))
-    return typed_edges(named.join(found, "founder").where("src IS NOT NULL").select("src", F.col("uid").alias("dst")), FOUNDED)
+    return typed_edges(named.join(found, "founder").where("src IS NOT NULL").select("src", F.col("uid").alias("dst")), FOUNDED, seq)
 
 
 def without_self_loops(edges: DataFrame) -> DataFrame:

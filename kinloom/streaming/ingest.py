@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.parse import extraction
-from ..operators.order import in_order
+from ..operators.asof import at_the_end, person_history, resolve_at, stored_history, upsert_history
 from ..operators.graph import Graph, known_persons, load, resolve_participants, save
-from ..operators.merge import merge_persons
-from ..operators.write import founder_edges, participation_edges, relations_to_edges, upsert_edges, upsert_nodes
-from ..sources.files import CHUNK, RESULT, read_or
+from ..operators.merge import fold_persons
+from ..operators.order import in_order
+from ..operators.write import founder_edges, participation_rows, relation_rows, relations_to_edges, upsert_edges, upsert_nodes
+from ..sources.files import CHUNK, RESULT, checkpoint_dir, read_or
 from ..sources.models import Client, ask
 from ..sources.seed import seed_result
 
@@ -23,6 +25,9 @@ NODE_COLUMNS = {
     "event": ("events", ["name", "event_type", "participants", "description"], ["year", "location", "outcome"]),
     "place": ("places", ["name", "description"], ["modern_name"]),
 }
+#: Kinds of items in the order in which a chunk's are written, and arrival numbers that a chunk has for each.
+KINDS = ("dynasties", "places", "persons", "events", "relations")
+ITEMS = 1_000_000
 EMPTY = {
     "person": "uid string, original_name string, aliases array<string>, role string, loyalty array<string>, birth_year int, death_year int, death_cause string, description string, seq long",
     "dynasty": "uid string, name string, founder string, capital string, start_year int, end_year int, description string, seq long",
@@ -60,41 +65,101 @@ def result_counts(graph: Graph, results: DataFrame) -> DataFrame:
     """(kind, n): what results (seq, result) hold, and how many relations and participants find both their ends in the graph written from them."""
     rows = results.where("result IS NOT NULL")
     listed = lambda field: rows.select(F.explode(f"result.{field}").alias("n")).select("n.*")
-    count = lambda kind, df: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
     relations = listed("relations").withColumn("seq", F.lit(0).cast("long"))
     edges, lost = relations_to_edges(graph, relations)
     links = listed("events").where("uid IS NOT NULL").select(F.col("uid").alias("event_uid"), F.explode("participants").alias("name")).distinct()
-    parts = [count(k, listed(k)) for k in ("persons", "dynasties", "events", "places")] + [count("relations_ok", edges), count("relations_failed", lost), count("participants", links), count("participants_ok", resolve_participants(graph, links))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.unionByName(count("failed_chunks", results.where("result IS NULL")))
+    ends = edges.select(F.lit(1).alias("ok")).union(lost.select(F.lit(0)))
+    return _counts(results, ends, links.select(F.lit(0).alias("ok")).union(resolve_participants(graph, links).select(F.lit(1))), True)
+
+
+def _counts(results: DataFrame, relations: DataFrame, participants: DataFrame, apart: bool = False) -> DataFrame:
+    """One pass over each: what the results hold; relations and participants have ok (1 or 0). With ``apart`` a participant that was found has a row of each kind."""
+    fields = ["persons", "dynasties", "events", "places"]
+    size = lambda f: F.coalesce(F.sum(F.size(F.coalesce(f"result.{f}", F.expr(f"array()").cast(results.schema["result"].dataType[f].dataType)))), F.lit(0)).cast("long")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    pairs = lambda df, **kinds: df.agg(*[c.alias(k) for k, c in kinds.items()]).select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in kinds])).alias("e")).select("e.*")
+    held = pairs(results, **{f: size(f) for f in fields}, failed_chunks=F.count_if(F.col("result").isNull()))
+    ends = pairs(relations, relations_ok=total("ok"), relations_failed=total(1 - F.col("ok")))
+    return held.union(ends).union(pairs(participants, participants=total(1 - F.col("ok")) if apart else F.count("*"), participants_ok=total("ok")))
+
+
+@dataclass(frozen=True)
+class Written:
+    """A graph with results in it; relations and participants of the results, with the uids that their names stood for (null: nobody)."""
+
+    graph: Graph
+    relations: DataFrame
+    participants: DataFrame
+
+    def counts(self, results: DataFrame) -> DataFrame:
+        """(kind, n), as result_counts()."""
+        ok = (F.col("src").isNotNull() & F.col("dst").isNotNull()).cast("int")
+        links = self.participants.groupBy("event_uid", "name").agg(F.max(F.col("uid").isNotNull().cast("int")).alias("ok"))
+        return _counts(results, self.relations.select(ok.alias("ok")), links)
 
 
 def load_seed(spark: SparkSession, graph: Graph | None = None) -> Graph:
     """The seed rows written to a graph (an empty one by default): nodes, participants and relations, then the founders of dynasties."""
     out = apply_results(empty_graph(spark) if graph is None else graph, seed_result(spark))
-    return out.with_edges(upsert_edges(out.edges, founder_edges(out).select(*out.edges.columns)))
+    return out.with_edges(upsert_edges(out.edges, founder_edges(out, last_seq(out) + 1).select(*out.edges.columns)))
 
 
-def apply_results(graph: Graph, results: DataFrame) -> Graph:
-    """A graph with results (seq, result) written to it. seq orders the chunks; names are resolved against all nodes after this batch,
-    so batches of one chunk give the order-exact outcome."""
-    rows = results.where("result IS NOT NULL")
-    scale = 1_000_000  # items of one chunk keep their order behind the chunk's
-    item = lambda field: rows.select(F.col("seq").alias("__c"), F.posexplode(f"result.{field}").alias("__p", "n")).select("n.*", (F.col("__c") * scale + F.col("__p")).alias("seq"))
+def last_seq(graph: Graph) -> int:
+    """The highest number that a node or an edge of the graph has; 0 for an empty graph."""
+    parts = [df.agg(F.max("seq").alias("seq")) for _, df in graph.labelled()] + [graph.edges.agg(F.max("seq").alias("seq"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out.agg(F.max("seq")).first()[0] or 0
+
+
+def write_results(graph: Graph, results: DataFrame, names: str = "as_of") -> Written:
+    """Results (seq, result) written to a graph.
+
+    Chunks arrive in the order of seq, after all that the graph holds: whatever numbers chunks have, arrivals go on above the graph's highest number, so books and runs
+    may number theirs alike. Within a chunk come dynasties, places, persons, events and relations. Names of relations and participants stand for who bore them
+    when their chunk had come in ("as_of"), as if chunks were written one by one, or for who bears them in the end ("final"). Unresolved ones are dropped.
+    """
+    if names not in ("as_of", "final"):
+        raise ValueError("names is as_of or final")
+    checkpoint_dir(results.sparkSession)
+    rows = in_order(results.where("result IS NOT NULL").select("seq", "result"), ["seq"], "chunk")
+    first = F.lit(last_seq(graph) + 1).cast("long") + F.col("chunk") * (ITEMS * len(KINDS))
+    item = lambda field: rows.select(first.alias("__f"), F.posexplode(f"result.{field}").alias("__p", "n")).select("n.*", (F.col("__f") + F.lit(KINDS.index(field) * ITEMS) + F.col("__p")).alias("seq"), (F.col("__f") + F.lit(len(KINDS) * ITEMS - 1)).alias("at"))
     listed = {"aliases": F.array().cast("array<string>"), "loyalty": F.array().cast("array<string>"), "participants": F.array().cast("array<string>")}
     fill = lambda df: df.withColumns({c: F.coalesce(c, v) for c, v in listed.items() if c in df.columns}).where("uid IS NOT NULL")
-    nodes = {}
+    nodes, history = {}, {}
     for name, (field, required, optional) in NODE_COLUMNS.items():
-        old = getattr(graph, name)
-        nodes[name] = upsert_nodes(old, fill(item(field)).select(*old.columns), required, optional)
+        old, new = getattr(graph, name), fill(item(field))
+        nodes[name] = upsert_nodes(old, new.select(*old.columns), required, optional)
+        history[name] = upsert_history(old, new, name.title())
     persons = fill(item("persons")).withColumns({"role": F.coalesce("role", F.lit("其他")), "description": F.coalesce("description", F.lit(""))})
-    person = merge_persons(graph.person.unionByName(persons.select(*graph.person.columns)))
-    out = Graph(person, nodes["dynasty"], nodes["event"], nodes["place"], graph.edges)
-    links = participation_edges(out, fill(item("events")))
-    edges, _ = relations_to_edges(out, item("relations"))
-    return out.with_edges(upsert_edges(upsert_edges(graph.edges, links.select(*graph.edges.columns)), edges.select(*graph.edges.columns)))
+    folded = fold_persons(persons.select(*graph.person.columns), graph.person).checkpoint()
+    rest = graph.person.join(folded.select("uid"), "uid", "left_anti").select(*graph.person.columns)
+    out = Graph(rest.unionByName(folded.select(*graph.person.columns)), nodes["dynasty"], nodes["event"], nodes["place"], graph.edges)
+    bearers = person_history(folded).union(stored_history(replace(graph, person=rest).name_index().where("label = 'Person'")))
+    anyone = bearers.union(history["dynasty"]).union(history["event"]).union(history["place"])
+    if names == "final":
+        bearers, anyone = at_the_end(bearers), at_the_end(anyone)
+    links = fill(item("events")).select(F.col("uid").alias("event_uid"), F.explode("participants").alias("name"), "at", "seq")
+    found = links.join(resolve_at(bearers, links).select("name", "at", F.col("uid").alias("__by_name")), ["name", "at"], "left")
+    uids = out.person.select(F.col("uid").alias("__uid"), F.col("seq").alias("__created"))
+    found = found.join(uids, (F.col("name") == F.col("__uid")) & ((F.col("__created") <= F.col("at")) | F.lit(names == "final")), "left")
+    participants = found.select("event_uid", "name", F.coalesce("__by_name", "__uid").alias("uid"), "seq").checkpoint()
+    said = item("relations")
+    ends = resolve_at(anyone, said.select(F.col("source").alias("name"), "at").union(said.select("target", "at"))).select("name", "at", "uid")
+    a, b = ends.toDF("source", "at", "src"), ends.toDF("target", "at", "dst")
+    relations = said.join(a, ["source", "at"], "left").join(b, ["target", "at"], "left").drop("at").checkpoint()
+    links = participation_rows(participants.where("uid IS NOT NULL"))
+    edges = relation_rows(relations.where("src IS NOT NULL AND dst IS NOT NULL"))
+    # one arrival an edge row: participants of one chunk come before its relations
+    new = links.select(*graph.edges.columns).union(edges.select(*graph.edges.columns))
+    return Written(out.with_edges(upsert_edges(graph.edges, new)), relations, participants)
+
+
+def apply_results(graph: Graph, results: DataFrame, names: str = "as_of") -> Graph:
+    """The graph of write_results()."""
+    return write_results(graph, results, names).graph
 
 
 def ingest_batch(spark: SparkSession, chunks: DataFrame, root: str, client: Callable[[], Client]) -> None:
@@ -105,8 +170,9 @@ def ingest_batch(spark: SparkSession, chunks: DataFrame, root: str, client: Call
     found = extract(chunks, client, known=known_text(graph))
     found.write.parquet(f"{root}/results/{version}")
     found = spark.read.parquet(f"{root}/results/{version}").withColumn("seq", F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("long"))
-    save(apply_results(graph, found), f"{root}/graph/{version}")
-    result_counts(load(spark, f"{root}/graph/{version}"), found).withColumn("version", F.lit(version)).write.mode("append").parquet(f"{root}/counts")
+    written = write_results(graph, found)
+    save(written.graph, f"{root}/graph/{version}")
+    written.counts(found).withColumn("version", F.lit(version)).write.mode("append").parquet(f"{root}/counts")
     found.select("chunk_id", F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{root}/ledger")
 
 
