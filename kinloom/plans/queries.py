@@ -253,6 +253,39 @@ def _(g):
     return merge_persons(plain.unionByName(twins)).withColumns({c: F.array_join(c, ",") for c in ("aliases", "loyalty")})
 
 
+@_query("k2_batches", """WITH n AS (SELECT max(seq) AS m FROM person), nick AS (SELECT *, CAST(seq AS VARCHAR) AS k, seq % 10 = 0 AS t FROM person, n)
+    SELECT uid, original_name, CASE WHEN t THEN array_to_string(list_sort(list_distinct(list_concat(aliases, ['Nick' || CAST(seq + 1 AS VARCHAR), 'Extra' || k, 'Late' || k], CASE WHEN seq + 5 > m THEN ['New' || CAST(seq + 5 AS VARCHAR)] ELSE [] END))), ',') ELSE array_to_string(aliases, ',') END AS aliases,
+      CASE WHEN t THEN coalesce(death_cause, 'known') ELSE death_cause END AS death_cause FROM nick
+    UNION ALL SELECT 'n' || k, 'New' || k, CASE WHEN seq >= 5 THEN 'Late' || CAST(seq - 5 AS VARCHAR) ELSE '' END, NULL FROM nick WHERE seq % 10 = 5""")
+def _(g):
+    """Three batches on the stored persons: records that bear names of two stored nodes, records that the batch before made match, and new nodes that the same batch matches."""
+    k = lambda prefix, add=0: F.concat(F.lit(prefix), (F.col("seq") + add).cast("string"))
+
+    def batch(where, uid, name, aliases, arrival, cause=None):
+        blank = {c: F.lit(None).cast(t) for c, t in (("birth_year", "int"), ("death_year", "int"))}
+        rows = g.person.where(where).select(uid.alias("uid"), name.alias("original_name"), F.array(*aliases).cast("array<string>").alias("aliases"), F.lit("其他").alias("role"), "loyalty", F.lit("").alias("description"), (F.col("seq") + arrival).alias("seq"), F.lit(cause).cast("string").alias("death_cause"))
+        return rows.withColumns(blank)
+
+    tens, fives = "seq % 10 = 0", "seq % 10 = 5"
+    nodes = merge_persons(batch(tens, k("b"), k("Nick"), [k("Nick", 1), k("Extra")], 10**9), g.person)
+    nodes = merge_persons(batch(tens, k("c"), k("Nick", 1), [k("Late")], 2 * 10**9, "known"), nodes)
+    last = batch(fives, k("n"), k("New"), [], 3 * 10**9).unionByName(batch(tens, k("f"), k("Late"), [k("New", 5)], 4 * 10**9))
+    return merge_persons(last, nodes).select("uid", "original_name", F.array_join("aliases", ",").alias("aliases"), "death_cause")
+
+
+@_query("as_of_edges", """WITH c AS (SELECT seq AS k, 'q' || CAST(seq AS VARCHAR) AS q FROM person)
+    SELECT q AS src, 'BEFORE' AS rel_type, 'q' || CAST(k - 1 AS VARCHAR) AS dst FROM c WHERE k > 0 AND k % 7 > 0 UNION ALL SELECT q, 'KNOWS', 'p' || CAST(k AS VARCHAR) FROM c
+    UNION ALL SELECT q, 'PARTICIPATED_IN', 'y' || CAST(k AS VARCHAR) FROM c UNION ALL SELECT q, 'AGAIN', 'q' || CAST(k - 1 AS VARCHAR) FROM c WHERE k % 7 = 0""")
+def _(g):
+    """One batch of a chunk for each person: names of later chunks are not known yet, and a name that a chunk took from a node is gone."""
+    # every seventh chunk renames the node of the chunk before
+    said = """'{"dynasties":[],"places":[],"persons":[{"uid":"q', k, '","original_name":"Chunk', k, '"}', if(seq % 7 = 0, concat(',{"uid":"q', p, '","original_name":"Again', p, '"}'), ''), '],"events":[{"uid":"y', k, '","name":"y","participants":["Chunk', k, '","Chunk', n, '"]}],"relations":[',
+        '{"source":"Chunk', k, '","target":"Chunk', p, '","relation_type":"before"},{"source":"Chunk', k, '","target":"Chunk', n, '","relation_type":"after"},{"source":"Chunk', k, '","target":"Again', p, '","relation_type":"again"},{"source":"Chunk', k, '","target":"', original_name, '","relation_type":"knows"}]}'"""
+    rows = g.person.selectExpr("seq", "original_name", "CAST(seq AS STRING) AS k", "CAST(seq - 1 AS STRING) AS p", "CAST(seq + 1 AS STRING) AS n")
+    rows = rows.select("seq", F.from_json(F.expr(f"concat({said})"), EXTRACTION).alias("result"))
+    return ingest.apply_results(g, rows).edges.where("src LIKE 'q%'").select("src", "rel_type", "dst")
+
+
 @_query("k7_correct_known", """SELECT uid, CASE WHEN seq % 10 = 0 THEN 'Fixed' || CAST(seq AS VARCHAR) ELSE original_name END AS original_name, CASE WHEN seq % 10 = 0 THEN 'A,B' ELSE array_to_string(aliases, ',') END AS aliases,
     CASE WHEN seq % 10 = 0 THEN 'king' ELSE role END AS role, CASE WHEN seq % 10 = 0 THEN 'l1,l2' ELSE array_to_string(loyalty, ',') END AS loyalty, CASE WHEN seq % 20 = 0 THEN 850 ELSE birth_year END AS birth_year, death_year,
     CASE WHEN seq % 10 = 0 THEN 'sword' ELSE death_cause END AS death_cause, CASE WHEN seq % 10 = 0 THEN 'checked' ELSE description END AS description FROM person""")
