@@ -8,7 +8,8 @@ all nodes at once under the rule that along any path from the root come containe
 out; so nothing inside a dropped node is kept, and main text has no container inside.
 
 Defined cases: null and empty pages, and pages without main text, give an empty text. Unclosed and crossing tags are
-repaired as browsers do for paragraphs, list items and table cells; a stray end tag is ignored. Very long pages are read whole. Null ids and URLs are kept, and
+repaired as browsers do for paragraphs, list items and table cells; a stray end tag is ignored. Text in elements of HIDDEN (buttons, drawings, ``noscript`` and ``textarea`` too),
+however deep, goes whatever the trees say. Very long pages are read whole. Null ids and URLs are kept, and
 repeated rows are treated alike. An empty table gives an empty result. Other columns are kept, but html is not; clashing result columns are replaced.
 """
 
@@ -60,7 +61,7 @@ class Page:
         self.texts: list[tuple[int, str]] = []
         self._run: list[str] = []
         self._stack: list[tuple[str, int]] = [("#root", 0)]  # open elements with their nearest block node
-        self._link = 0
+        self._link = self._hide = 0  # open links, and open elements whose text is never shown
         at, end = 0, len(html)
         while at < end:
             found = _TAG.search(html, at)
@@ -99,7 +100,7 @@ class Page:
 
     def _text(self, raw: str) -> None:
         node = self._stack[-1][1]
-        if not self.hidden[node] and self._stack[-1][0] not in HIDDEN:
+        if not self.hidden[node] and not self._hide:
             text = entities.unescape(raw) if "&" in raw else raw
             self._run.append(text)
             if self._link:
@@ -138,6 +139,7 @@ class Page:
             node = len(self.tag) - 1
         elif name == "a":
             self._link += 1
+        self._hide += name in HIDDEN
         self._stack.append((name, node))
 
     def _pop_to(self, k: int) -> None:
@@ -145,6 +147,7 @@ class Page:
         if any(x in BLOCK for x, _ in self._stack[k:]):
             self._flush()
         self._link -= sum(x == "a" for x, _ in self._stack[k:])
+        self._hide -= sum(x in HIDDEN for x, _ in self._stack[k:])
         del self._stack[k:]
 
     def _close_one_of(self, names: set[str], scope: frozenset | set) -> None:

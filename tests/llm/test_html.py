@@ -95,3 +95,15 @@ def test_loose_text_and_the_word_hidden():
     for attributes, hidden in [('data-hidden="false"', False), ('title="The hidden river"', False), ("title='a hidden id=x'", False), ('class="x" HIDDEN', True), ('hidden="" id=a', True), ('aria-hidden="true"', True), ('style="display: none"', True)]:
         page = Page(f"<div {attributes}>text</div>")
         assert page.hidden[1] is hidden, attributes
+
+
+@pytest.mark.parametrize(
+    ("inner", "left"),
+    [
+        ("<button><span>Share</span></button>", ["one", "two"]), ("<svg><g><text>Icon</text></g></svg>", ["one", "two"]), ("<select><option>a<option>b</select>", ["one", "two"]),
+        ("<button><svg><path/></svg><b>x</b></button><i>three</i>", ["one", "three", "two"]), ("<noscript><p>on</p></noscript>", ["one", "two"]), ("<math><mi>x</mi></math>", ["one", "two"]), ("</button>", ["one", "two"]),
+    ],
+)
+def test_elements_inside_hidden_ones_are_hidden(inner, left):
+    page = Page(f"<div><p>one {inner} two</p></div>")
+    assert " ".join(t for _, t in page.texts).split() == left
