@@ -148,7 +148,8 @@ class Bytes:
         sizes = self.last[split] - self.first[split] + 1
         windows = np.repeat(self.first[split] - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
         self.chosen = np.concatenate([at, windows])
-        self.keys = np.concatenate([hashes, np.zeros(len(windows), U64)])
+        # sampled anchors have small hashes, so they are mixed anew to fill the cells evenly
+        self.keys = np.concatenate([mix(hashes), np.zeros(len(windows), U64)])
         self.least = np.concatenate([at - last, np.zeros(len(windows), np.int64)]).astype(np.uint8)
         self.most = np.concatenate([at - first, np.zeros(len(windows), np.int64)]).astype(np.uint8)
         self.n_cold = len(at)
