@@ -1,5 +1,6 @@
 import os
 import re
+import time
 from itertools import combinations
 
 import pytest
@@ -89,3 +90,27 @@ def test_repeated_rows_and_long_urls(spark):
     found = judge_urls(pages, [], labelled, min_support=0.1)
     assert found.columns == ["page_id", "url", "verdict", "host", "path", "rule"]
     assert sorted((r.page_id or 0, r.verdict) for r in found.collect()) == [(0, "block"), (1, "block"), (1, "block"), (2, "allow")]
+
+
+def test_shared_words_are_not_enumerated(spark):
+    """Thirty words that labelled URLs share, alone or beside a word that makes the difference."""
+    shared = "&".join(f"{chr(97 + k % 26)}{'xy'[k // 26]}=v" for k in range(30))
+    bad = [(f"http://h.io/bad?{shared}", True) for _ in range(20)] + [(f"http://g.io/{w}?{shared.replace('=v', 'z=v')}", w == "evil") for w in ("evil", "good") for _ in range(20)]
+    labelled = spark.createDataFrame(bad, "url string, blocked boolean")
+    began = time.time()
+    rules = {tuple(r) for r, _ in mine_rules(labelled.select(tokens_of(F.col("url")).alias("tokens"), "blocked"), 0.1, 0.95)}
+    assert time.time() - began < 20
+    assert {("p:bad",), ("p:evil",), ("q:ax",), ("q:zx",)} <= rules and all(len(r) == 1 for r in rules)
+
+
+def test_tokens_of_the_same_rows_are_one_part(spark):
+    """Tokens that only together with another imply block; each of the alike ones does, and matching by joins agrees."""
+    rows = [(["a1", "a2", "b"], True)] * 9 + [(["a1", "a2"], False)] * 9 + [(["b"], False)] * 9 + [(["c", "every"], False)] * 3
+    labelled = spark.createDataFrame(rows, "tokens array<string>, blocked boolean")
+    assert [r for r, _ in mine_rules(labelled, 0.1, 0.9)] == apriori([(set(t), b) for t, b in rows], 0.1, 0.9) == [["a1", "b"], ["a2", "b"]]
+    urls = [("http://x.io/aa/bb/cc", True)] * 9 + [("http://x.io/aa/bb", False)] * 9 + [("http://x.io/cc", False)] * 9
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://y.org/bb/cc", "http://y.org/aa/cc", "http://y.org/aa/bb", "http://y.org/cc", None, "http://y.org/bb/cc"])], "page_id long, url string")
+    for in_tasks in (0, 100):
+        found = judge_urls(pages, [], spark.createDataFrame(urls, "url string, blocked boolean"), min_support=0.1, in_tasks=in_tasks).orderBy("page_id").collect()
+        assert [r.verdict for r in found] == ["block", "block", "allow", "allow", "allow", "block"]
+        assert found[0].__fields__ == ["page_id", "url", "host", "path", "rule", "verdict"]
