@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +58,8 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 class Scratch:
     """Tables that an operator needs only until its result is stored; clear() deletes them.
 
-    An operator that stores its own result clears its scratch itself. One whose result still reads it says so by later(), and the caller clears it by
-    clear_scratch() once that result is stored.
+    An operator that stores its own result clears its scratch itself. One whose result still reads it says so by later(), and the caller
+    stores that result within until_stored(), or runs clear_scratch() once it is stored.
     """
 
     def __init__(self, spark: SparkSession, what: str) -> None:
@@ -76,7 +78,8 @@ class Scratch:
         return self.spark.table(name)
 
     def later(self) -> None:
-        _waiting.append(self)
+        scopes = getattr(_scopes, "lists", [])
+        (scopes[-1] if scopes else _waiting).append(self)
 
     def clear(self) -> None:
         for name in self.tables:
@@ -86,12 +89,30 @@ class Scratch:
 
 
 _waiting: list[Scratch] = []
+#: The lists of this thread's until_stored(), innermost last.
+_scopes = threading.local()
+
+
+def _clear(scratch: list[Scratch]) -> None:
+    while scratch:
+        scratch.pop().clear()
+
+
+@contextmanager
+def until_stored() -> Iterator[None]:
+    """Store the result of an operator inside: what the operator left for it is deleted at the end, and nothing of other callers or threads."""
+    outer, mine = getattr(_scopes, "lists", []), []
+    _scopes.lists = [*outer, mine]
+    try:
+        yield
+    finally:
+        _scopes.lists = outer
+        _clear(mine)
 
 
 def clear_scratch() -> None:
-    """Deletes what operators left for results that are stored by now; results that are not can no longer be read."""
-    while _waiting:
-        _waiting.pop().clear()
+    """Deletes what operators left outside until_stored(), for results that are stored by now; results that are not can no longer be read."""
+    _clear(_waiting)
 
 
 def words(text: Column) -> Column:

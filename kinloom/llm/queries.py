@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clear_scratch, stored, table
+from .common import stored, table, until_stored
 from .html import extract_text
 from .importance import resample
 from .media import read_media, write_media
@@ -49,10 +49,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13, rejoin=True)
-    found = stored(found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")), "substrings")
-    clear_scratch()
-    return found
+    with until_stored():
+        found = dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13, rejoin=True)
+        return stored(found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256")), "substrings")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +81,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_suffixes(table(spark, sf_dir, "documents").select("doc_id", "text"), window=200)
-    found = stored(found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "suffixes")
-    clear_scratch()
-    return found
+    with until_stored():
+        found = dedup_suffixes(table(spark, sf_dir, "documents").select("doc_id", "text"), window=200)
+        return stored(found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "suffixes")
 
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ around them, which are compared next by two independent hashes, 128 bits togethe
    larger has.
 4. Windows around shared anchors are sent and answered alike; each block then removes the covered words.
 
-The result reads the blocks' table; once it is stored, clear_scratch() drops it.
+The result reads the blocks' table; store it within until_stored(), which drops that table at its end.
 
 Defined cases: null and empty texts have no words. Null doc_ids count as larger than all others. Rows with equal
 doc_ids do not remove each other's words. A very long text makes a block of its own. An empty table gives an empty result. Other columns pass through unchanged, save

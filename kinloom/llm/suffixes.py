@@ -20,7 +20,7 @@ Defined cases: a null text is empty; texts shorter than a window keep all. Null
 text makes a block of its own. An empty table gives an empty result. Other columns pass through, save those named like a result column, which are replaced. The kept
 bytes are binary, as a removed run may begin or end inside a character.
 
-The result reads the blocks' table; once it is stored, clear_scratch() drops it.
+The result reads the blocks' table; store it within until_stored(), which drops that table at its end.
 """
 
 from __future__ import annotations

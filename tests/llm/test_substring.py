@@ -97,3 +97,13 @@ def test_cells_number_with_the_data_and_scratch_goes(spark):
     assert {t.name for t in spark.catalog.listTables()} > before and os.path.exists(root.removeprefix("file:"))
     common.clear_scratch()
     assert {t.name for t in spark.catalog.listTables()} <= before and not os.path.exists(root.removeprefix("file:"))
+
+
+def test_scratch_of_others_stays(spark):
+    """What until_stored() deletes is its own: a lazy result made before it can still be read."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "x a b c d e")], "doc_id long, text string")
+    other = dedup_substrings(docs, 3)
+    with common.until_stored():
+        mine = common.stored(dedup_substrings(docs, 4), "mine")
+    assert sorted(r.n_removed for r in other.collect()) == [0, 5] and sorted(r.n_removed for r in mine.collect()) == [0, 5]
+    common.clear_scratch()
