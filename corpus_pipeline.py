@@ -6,8 +6,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows of docs; all but th
 - near_duplicates: one document of each group stays, the one with the smallest id.
 - substrings: words in a run of 50 or more that also starts in a document with a smaller id go; n_chars is the new length.
 - mix: rows are written in the order in which the sources' blocks are due.
-- pack: pieces of at most 1,024 tokens, each with its sequence and its place there. Tables keep no order of rows, so the mixed order is worked
-  out again: pieces of a length are laid by it, and sequences are numbered by it.
+- pack: pieces of at most 1,024 tokens, each with its sequence and its place there. Pieces of a length are laid in the order in which mix stored the rows, by file and place in
+  the file, and sequences are numbered by it. Rows that come from no Parquet files have no such order; for them the mixed order is worked out.
 
 Nulls, empty texts, very long texts, repeated rows and empty tables are handled as the operators' own docstrings say. Rows with one doc_id are one document: if any
 of their texts is kept among near duplicates, all of the rows are. Further columns of docs, whatever their names, come out as they went in.
@@ -15,10 +15,11 @@ of their texts is kept among near duplicates, all of the rows are. Further colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from kinloom.llm.common import clear_scratch, stored, table
+from kinloom.llm.common import stored, table, until_stored
 from kinloom.llm.mixing import mix_sources
 from kinloom.llm.near_dup import near_duplicates
 from kinloom.llm.packing import place, tokenize_pieces
@@ -35,8 +36,9 @@ WEIGHTS: dict[str | None, float] | None = None
 
 def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows of docs whose id has a kept verdict; a null id is matched by null."""
-    good = verdicts.where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(good, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    key = "__" + max(docs.columns, key=len)  # longer than any name of docs
+    good = verdicts.where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(good, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
 def _rows(docs: DataFrame, *columns: str) -> DataFrame:
@@ -64,10 +66,23 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_sources(_rows(docs, "doc_id", "source"), WEIGHTS, BLOCK_DOCS).orderBy("slot", "position").select("__row.*")
 
 
+def stored_order(docs: DataFrame) -> Column | None:
+    """A number that grows in the order in which Spark wrote the rows of docs; None if they are not read from Parquet files."""
+    name, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    try:
+        docs.select(name, row).schema  # noqa: B018
+    except AnalysisException:
+        return None
+    number = lambda mark: F.coalesce(F.expr("try_cast(nullif(regexp_extract(_metadata.file_name, '%s', 1), '') AS BIGINT)" % mark), F.lit(0))  # noqa: E731, UP031
+    return F.shiftleft(number(r"part-(\\d+)"), 44) + F.shiftleft(number(r"-c(\\d+)"), 36) + row
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = {"row": F.monotonically_increasing_id(), "source": F.col("source")}
-    pieces = stored(tokenize_pieces(docs, vocabulary("byte_bpe_50k.json"), "bytes", END_ID, SEQUENCE_TOKENS, keep=keep), "pieces")
-    # the order is worked out on one short row a document, not on texts
+    tokens = lambda keep: tokenize_pieces(docs, vocabulary("byte_bpe_50k.json"), "bytes", END_ID, SEQUENCE_TOKENS, keep=keep)
+    order = stored_order(docs)
+    if order is not None:
+        return place(stored(tokens({"order": order}), "pieces"), SEQUENCE_TOKENS)
+    pieces = stored(tokens({"row": F.monotonically_increasing_id(), "source": F.col("source")}), "pieces")
     mixed = mix_sources(pieces.where("piece = 0").select("doc_id", "source", "row"), WEIGHTS, BLOCK_DOCS)
     order = mixed.select("row", (F.col("slot") * BLOCK_DOCS + F.col("position")).alias("order"))
     return place(stored(pieces.drop("source").join(order, "row").drop("row"), "ordered"), SEQUENCE_TOKENS)
@@ -82,6 +97,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        clear_scratch()
+        with until_stored():
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
