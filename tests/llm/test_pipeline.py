@@ -146,3 +146,24 @@ def test_bands_miss_no_pair_of_a_standard_table(spark):
             common[pair] = common.get(pair, 0) + 1
     links = [(a, b) for (a, b), n in common.items() if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n)]
     assert len(links) > 50 and np.mean([found[a] == found[b] for a, b in links]) == 1
+
+
+def test_pack_takes_the_stored_order(spark):
+    """What mix wrote is what pack lays out: rows written in another order are packed in that order."""
+    from kinloom.llm.common import stored
+
+    docs = spark.createDataFrame([(i, text_of(i, 150), "en", "ab"[i % 2], 1) for i in range(300)], SCHEMA).repartition(3)
+    assert C.stored_order(docs) is None
+    for stage in (lambda d: C.mix(spark, d, ""), lambda d: d.orderBy(C.F.desc("doc_id"))):
+        held = stored(stage(docs), "held")
+        want = [r.doc_id for r in held.select("doc_id", C.stored_order(held).alias("o")).orderBy("o").collect()]
+        assert want == [r.doc_id for r in stage(docs).collect()]
+        rank, first = {d: k for k, d in enumerate(want)}, {}
+        for r in C.packing(spark, held, "").collect():
+            first[r.sequence_id] = min(first.get(r.sequence_id, 10**9), rank[r.doc_id])
+        assert [first[k] for k in sorted(first)] == sorted(first.values())
+
+
+def test_near_duplicates_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, text_of(1, 60), "en", "s", 1, "x"), (2, text_of(1, 60), "en", "s", 1, "y")], SCHEMA + ", __id string").withColumn("__kept", C.F.lit(1))
+    assert [tuple(r)[:1] + tuple(r)[-2:] for r in C.near_duplicate(spark, docs, "").collect()] == [(1, "x", 1)]
