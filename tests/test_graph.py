@@ -221,6 +221,31 @@ def test_guard_rejects_the_rest(spark, sql):
         qa.guard(spark, sql)
 
 
+@pytest.mark.parametrize(
+    "sql",
+    ["SELECT IDENTIFIER('ref' || 'lect')('java.lang.Math', 'abs', -3)", "SELECT IDENTIFIER('java_' || 'method')('java.lang.System', 'getProperty', 'user.home')", "SELECT * FROM IDENTIFIER('sec' || 'rets')", "SELECT IDENTIFIER('uid') FROM person",
+     "SELECT `reflect`('java.lang.Math', 'abs', -3)", "SELECT system.builtin.reflect('java.lang.Math', 'abs', -3)", "SELECT /*x*/ ReFlEcT ('java.lang.Math', 'abs', -3)", "SELECT 1 WHERE try_reflect('a', 'b') IS NULL", "VALUES (reflect('java.lang.Math', 'abs', -3))",
+     "SELECT uid, count(*) FROM person GROUP BY uid HAVING reflect('a', 'b') = '1'", "SELECT * FROM person ORDER BY reflect('a', 'b')", "SELECT * FROM person p JOIN edges e ON reflect('a', 'b') = e.src", "SELECT sum(year) OVER (PARTITION BY reflect('a', 'b')) FROM edges",
+     "SELECT sum(year) OVER w FROM edges WINDOW w AS (PARTITION BY reflect('a', 'b'))", "SELECT sum(year) OVER w FROM edges WINDOW w AS (ORDER BY (SELECT max(a) FROM secrets))", "SELECT transform(aliases, x -> reflect('a', x)) FROM person", "SELECT CASE WHEN true THEN reflect('a', 'b') END",
+     "WITH x AS (SELECT reflect('a', 'b')) SELECT * FROM x", "SELECT (SELECT reflect('a', 'b'))", "SELECT * FROM person LIMIT length(reflect('a', 'b'))", "SELECT input_file_name() FROM person", "SELECT * FROM range(3)", "SELECT * FROM read_files('/etc')", "SELECT my_udf(uid) FROM person",
+     "SELECT * FROM person LATERAL VIEW reflect('a', 'b') t", "SELECT TRANSFORM(uid) USING 'cat' FROM person", "SELECT session_user(), current_database()", "SELECT raise_error('x')", "SELECT uid FROM person WHERE EXISTS (SELECT 1 FROM edges WHERE reflect('a', 'b') = src)", "SELECT uid FROM person WHERE uid IN (SELECT reflect('a', 'b'))"],
+)
+def test_guard_rejects_functions_off_the_list(spark, sql):
+    with pytest.raises(qa.NotAllowed):
+        qa.guard(spark, sql)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    ["SELECT role, count(DISTINCT uid) AS n, array_join(sort_array(collect_set(original_name)), '、') FROM person GROUP BY role HAVING count(*) > 1 ORDER BY n DESC LIMIT 5", "SELECT original_name FROM person LATERAL VIEW explode(aliases) t AS a WHERE a LIKE '%x%' AND a RLIKE 'y'",
+     "SELECT uid, rank() OVER w FROM person WINDOW w AS (PARTITION BY role ORDER BY birth_year)", "SELECT CAST(year AS STRING) || '年' FROM event WHERE year BETWEEN 1 AND 2 OR NOT (coalesce(year, 0) IN (1, 2))", "SELECT transform(aliases, x -> upper(x)), filter(aliases, x -> length(x) > 1) FROM person",
+     "SELECT p.uid FROM person p LEFT JOIN edges e ON p.uid = e.src AND e.rel_type = 'X' WHERE e.src IS NULL", "SELECT if(death_year > birth_year, death_year - birth_year, NULL) FROM person", "SELECT uid FROM person WHERE array_contains(aliases, 'a') UNION ALL SELECT uid FROM event",
+     "SELECT count(*) FILTER (WHERE year > 0), 'reflect(' FROM event", "SELECT explode(aliases) FROM person"],
+)
+def test_guard_lets_common_functions_pass(spark, sql):
+    qa.guard(spark, sql)
+
+
 def test_routes():
     assert qa.routes("李克用的义子") == [("adopted_sons", "李克用")]
     assert qa.routes("谁接替了他") == [("succession", None)]
