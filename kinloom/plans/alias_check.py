@@ -11,9 +11,11 @@ from ..functions.parse import json_text
 from ..operators.graph import Graph
 from ..operators.repair import alias_suspects, apply_alias_verdicts
 from ..sources.files import read_or
-from ..sources.models import Client, ask
+from ..sources.models import Client, ask_once
 
 LEDGER = "uid string, outcome string, name string, original_aliases array<string>, correct_aliases array<string>, removed_aliases array<string>"
+#: How long and how free answers may be.
+OPTIONS = {"temperature": 0.05, "max_tokens": 2048}
 VERDICT = "struct<correct_aliases:array<string>,wrong_aliases:array<string>>"
 SYSTEM = 'Say which of the aliases are this person\'s, as JSON: {"correct_aliases": [], "wrong_aliases": []}'
 
@@ -27,15 +29,16 @@ def alias_prompts(persons: DataFrame) -> DataFrame:
     return persons.select("uid", F.col("original_name").alias("name"), "aliases", F.concat_ws("\n", *parts).alias("prompt"))
 
 
-def judge_aliases(persons: DataFrame, client: Callable[[], Client]) -> DataFrame:
+def judge_aliases(persons: DataFrame, client: Callable[[], Client], ledger: str, per_second: float | None = None) -> DataFrame:
     """Rows of LEDGER. outcome: fixed (wrong aliases were named), skipped (none were) or error (no answer, or none that can be read)."""
-    asked = ask(alias_prompts(persons), client, system=SYSTEM)
+    # failed calls of an earlier run are made again when their persons are
+    asked = ask_once(alias_prompts(persons), client, ledger, SYSTEM, OPTIONS, per_second, again=True)
     said = asked.withColumn("v", F.from_json(json_text(F.col("output")), VERDICT))
     outcome = F.when(F.col("v.correct_aliases").isNull(), "error").when(F.size(F.coalesce("v.wrong_aliases", F.array().cast("array<string>"))) > 0, "fixed").otherwise("skipped")
     return said.select("uid", outcome.alias("outcome"), "name", F.col("aliases").alias("original_aliases"), F.col("v.correct_aliases").alias("correct_aliases"), F.col("v.wrong_aliases").alias("removed_aliases"))
 
 
-def clean_aliases(graph: Graph, root: str, client: Callable[[], Client], at_least: int = 3, fixed: DataFrame | None = None, resume: bool = True) -> tuple[DataFrame, DataFrame]:
+def clean_aliases(graph: Graph, root: str, client: Callable[[], Client], at_least: int = 3, fixed: DataFrame | None = None, resume: bool = True, per_second: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(persons with their aliases set, (outcome, n) of this run). Persons in fixed (uid) are left out and, unless resume is off, those in the ledger below root too.
 
     Failed ones are entered in the ledger as well, so that they are not asked again.
@@ -46,7 +49,7 @@ def clean_aliases(graph: Graph, root: str, client: Callable[[], Client], at_leas
     skip = skip if fixed is None or not resume else skip.union(fixed.select("uid"))
     wanted = graph.person.join(alias_suspects(graph, at_least, skip).select("uid"), "uid")
     path = f"{root}/alias_runs/{spark.sparkContext.applicationId}-{spark.sql('SELECT uuid()').first()[0]}"
-    judge_aliases(wanted, client).write.parquet(path)
+    judge_aliases(wanted, client, f"{root}/alias_calls", per_second).write.parquet(path)
     judged = spark.read.schema(LEDGER).parquet(path)
     judged.write.mode("append").parquet(f"{root}/alias_ledger")
     person = apply_alias_verdicts(graph.person, judged.where("outcome = 'fixed'").select("uid", "correct_aliases", F.col("removed_aliases").alias("wrong_aliases")))
