@@ -18,7 +18,7 @@ gives an empty result. Other columns are not carried, so none can clash.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -107,13 +107,23 @@ def plan(counts: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and the columns of keep: the cut documents."""
+def tokenize_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None, lasting: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and the columns of keep: the cut documents.
+
+    Without ``lasting`` the memos of the encoder are emptied at the end of each task, so that a worker that waits for other stages' tasks holds none of their memory.
+    """
     keep = keep or {}
     carried = list(keep)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, kind, end_id).encode
+        held = encoder(tokenizer, kind, end_id)
+        try:
+            yield from pieces_of(batches, held.encode)
+        finally:
+            if not lasting:
+                held.rest()
+
+    def pieces_of(batches: Iterator[pa.RecordBatch], encode: Callable) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in slices_of(batch["text"]):
                 ids, sizes = encode(texts)

@@ -167,6 +167,11 @@ class Encoder:
             of = np.concatenate([*parts, of[at:]])
         return [*keys, *numbers], of, sizes
 
+    def rest(self) -> None:
+        """Empties the memos."""
+        self.pieces.empty()
+        self.units.empty()
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, each with the end id; and how many ids each text has. A null text is empty."""
         if not len(texts):
