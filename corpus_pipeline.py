@@ -78,7 +78,7 @@ def stored_order(docs: DataFrame) -> Column | None:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tokens = lambda keep: tokenize_pieces(docs, vocabulary("byte_bpe_50k.json"), "bytes", END_ID, SEQUENCE_TOKENS, keep=keep)
+    tokens = lambda keep: tokenize_pieces(docs, vocabulary("byte_bpe_50k.json"), "bytes", END_ID, SEQUENCE_TOKENS, keep=keep, lasting=False)
     order = stored_order(docs)
     if order is not None:
         return place(stored(tokens({"order": order}), "pieces"), SEQUENCE_TOKENS)
