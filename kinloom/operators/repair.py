@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import contains_any
 from ..functions.values import DEFAULT_EDGE_ROLE, MEMORIAL_KEYWORDS, PARTICIPATED
+from .automaton import SMALL, automaton, places, small
 from .graph import Graph
 from .write import upsert_edges, without, without_parallels, without_self_loops
 
@@ -39,13 +43,36 @@ def name_map(graph: Graph) -> DataFrame:
     return primary.join(alias, "name", "full").select("name", F.coalesce("p", "a").alias("uid"))
 
 
-def mentions(texts: DataFrame, names: DataFrame, shortest: int = 2) -> DataFrame:
-    """(id, uid) where a text contains a name of ``shortest`` characters or more. texts: (id, text); names: (name, uid).
+def mentions(texts: DataFrame, names: DataFrame, shortest: int = 2, bound: int = SMALL) -> DataFrame:
+    """(id, uid) where a text contains a name of ``shortest`` characters or more. texts: (id, text); names: (name, uid). Null texts and names find nothing.
+
+    Names whose characters and uids number up to ``bound`` go to all tasks, and each text is read once by their automaton; more are found by by_grams().
+    """
+    named = names.where((F.length("name") >= shortest) & F.col("uid").isNotNull()).select("name", "uid").distinct()
+    held = small(named, bound)
+    if held is None:
+        return by_grams(texts, named).distinct()
+    pairs = texts.sparkSession.sparkContext.broadcast(held)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        uids: dict[str, list[str]] = {}
+        for name, uid in pairs.value:
+            uids.setdefault(name, []).append(uid)
+        look = automaton(uids)
+        for batch in batches:
+            found = [sorted({uid for name, _ in places(look, text) for uid in uids[name]}) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.string()))], names=["id", "uids"])
+
+    schema = T.StructType([texts.schema["id"], T.StructField("uids", T.ArrayType(T.StringType()))])
+    return texts.select("id", "text").mapInArrow(find, schema).select("id", F.explode("uids").alias("uid")).distinct()
+
+
+def by_grams(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """(id, uid) where a text contains a name, for any number of distinct (name, uid).
 
     Names are indexed by the one of their q-grams that the fewest names have, q being the shortest name's length. An equi-join with a text's distinct q-grams gives the
     names to look for in it. One number, q, reaches the driver; a text sends each of its q-grams once at most.
     """
-    named = names.where((F.length("name") >= shortest) & F.col("uid").isNotNull()).distinct()
     q = named.agg(F.min(F.length("name")).alias("q")).first().q
     if q is None:
         return texts.select("id", F.lit(None).cast("string").alias("uid")).where("false")
@@ -53,7 +80,7 @@ def mentions(texts: DataFrame, names: DataFrame, shortest: int = 2) -> DataFrame
     uses = grams.groupBy("gram").agg(F.count("*").alias("uses"))
     index = grams.join(uses, "gram").groupBy("name", "uid").agg(F.min(F.struct("uses", "gram")).alias("g")).select("name", "uid", F.col("g.gram").alias("gram"))
     found = texts.select("id", F.explode(grams_of(F.col("text"), q)).alias("gram")).join(index, "gram").select("id", "name", "uid")
-    return found.join(texts, "id").where(F.contains("text", "name")).select("id", "uid").distinct()
+    return found.join(texts, "id").where(F.contains("text", "name")).select("id", "uid")
 
 
 def grams_of(text: Column, q: int) -> Column:

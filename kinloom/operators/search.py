@@ -6,10 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .repair import mentions
+from .automaton import SMALL, Passages, automaton, small
+from .repair import by_grams
 
 TOKEN = r"[a-z0-9]+|[\x{4e00}-\x{9fff}]"
 
@@ -86,25 +88,44 @@ def snippets(books: DataFrame, keywords: list[str], limit: int = 3, around: int
     return first.select("f.book", "f.keyword", "f.text", "f.keyword_no", "f.at").orderBy("book", "keyword_no", "at").limit(limit)
 
 
-def event_snippets(events: DataFrame, books: DataFrame, limit: int = 2, around: int = 200) -> DataFrame:
+def event_snippets(events: DataFrame, books: DataFrame, limit: int = 2, around: int = 200, bound: int = SMALL) -> DataFrame:
     """(uid, book, keyword_no, at, text): the first passages of books (name, text) for each event (uid, name, description), by its keywords.
 
-    Books that contain a keyword are found by q-grams (repair.mentions), so only those are searched.
-    """
-    keyed = F.udf(lambda name, description: list(dict.fromkeys(snippet_keywords(name, description))), "array<string>")
-    wanted = events.select("uid", F.posexplode(keyed("name", "description")).alias("keyword_no", "keyword"))
-    texts = books.select(F.col("name").cast("string").alias("id"), "text").where("text IS NOT NULL")
-    hits = mentions(texts, wanted.select(F.col("keyword").alias("name"), F.col("keyword").alias("uid")).distinct(), 1).withColumnRenamed("uid", "keyword")
+    Passages of one event that begin alike (80 characters) count once, as the first of them in order of book, keyword and place.
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Books are read once by an automaton of all keywords; texts are never joined. An event's first ``limit`` passages are among the first ``limit`` of each of its keywords
+    that begin differently, in a task's books as in all books, as those come before any later passage of that keyword. So a task that reads books in order sends ``limit`` rows
+    for each keyword, and a keyword meets its events with ``limit`` rows, however many books have it. Keywords of more characters than ``bound`` do not go to all tasks: the books that have one are found by
+    q-grams, and a book is read for its own keywords.
+    """
+    bare = F.regexp_replace(F.coalesce("name", F.lit("")), "之战|之变|事件", "")
+    runs = F.slice(F.regexp_extract_all(F.substring(F.coalesce("description", F.lit("")), 1, 100), F.lit(r"[\x{4e00}-\x{9fff}]{2,4}"), 0), 1, 3)
+    listed = F.concat(F.array(F.when(F.length(bare) >= 2, bare), F.col("name")), runs)
+    keyed = F.array_distinct(F.filter(listed, lambda x: x.isNotNull() & (x != "")))
+    wanted = events.select("uid", F.posexplode(keyed).alias("keyword_no", "keyword"))
+    words = wanted.select("keyword").distinct()
+    texts = books.select(F.col("name").cast("string").alias("book"), "text").where("text IS NOT NULL")
+    held = small(words, bound)
+    if held is None:
+        hits = by_grams(texts.withColumnRenamed("book", "id"), words.select(F.col("keyword").alias("name"), F.col("keyword").alias("uid")))
+        texts = texts.join(hits.groupBy(F.col("id").alias("book")).agg(F.collect_set("uid").alias("words")), "book")
+    shared = None if held is None else texts.sparkSession.sparkContext.broadcast([word for (word,) in held])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = None if shared is None else Passages(automaton(shared.value), around, limit)
         for batch in batches:
-            rows = [(row.uid, row.id, row.keyword_no, at, cut) for row in batch.itertuples() for cut, at in _places(row.text, row.keyword, around)]
-            yield pd.DataFrame(rows, columns=["uid", "book", "keyword_no", "at", "text"])
-
-    out = hits.join(wanted, "keyword").join(texts, "id").select("uid", "id", "keyword_no", "keyword", "text").mapInPandas(find, "uid string, book string, keyword_no int, at int, text string")
-    first = out.groupBy("uid", F.substring("text", 1, 80).alias("sig")).agg(F.min(F.struct("book", "keyword_no", "at", "text")).alias("f")).select("uid", "f.*")
-    rank = F.row_number().over(Window.partitionBy("uid").orderBy("book", "keyword_no", "at"))
-    return first.withColumn("r", rank).where(F.col("r") <= limit).drop("r")
+            rows = []
+            for row in batch.to_pylist():
+                rows += [{"book": row["book"], "keyword": word, "at": at, "text": cut} for word, at, cut in (Passages(automaton(row["words"]), around, limit) if every is None else every).of(row["book"], row["text"])]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("book", pa.string()), ("keyword", pa.string()), ("at", pa.int32()), ("text", pa.string())]))
+
+    found = texts.mapInArrow(find, "book string, keyword string, at int, text string")
+    alike = F.substring("text", 1, 80).alias("sig")
+    place = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    first = found.groupBy("keyword", alike).agg(F.min(F.struct("book", "at", "text")).alias("f")).select("keyword", "f.*")
+    first = first.withColumn("r", place("keyword", "book", "at")).where(F.col("r") <= limit).drop("r")
+    own = wanted.join(first, "keyword").groupBy("uid", alike).agg(F.min(F.struct("book", "keyword_no", "at", "text")).alias("f")).select("uid", "f.*")
+    return own.withColumn("r", place("uid", "book", "keyword_no", "at")).where(F.col("r") <= limit).drop("r")
 
 
 #: A stored index: postings sorted by term, so that a scan for some terms prunes by the files' statistics, and one row of corpus figures.

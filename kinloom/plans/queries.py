@@ -516,6 +516,28 @@ def _(g):
     return event_prompts(g, g.event, _stories(g)).withColumn("prompt", F.md5("prompt"))
 
 
+_WORD = "regexp_extract(coalesce(text, ''), '[a-z]{6,}', 0)"
+
+
+@_query(
+    "g9_passages",
+    f"""WITH RECURSIVE texts AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS book, text FROM documents WHERE text IS NOT NULL),
+    named AS (SELECT 'w' || CAST(doc_id AS VARCHAR) AS uid, {_WORD} AS word FROM documents),
+    wanted AS (SELECT uid, 0 AS keyword_no, word || '之战' AS name, word AS keyword FROM named WHERE length(word) > 0 UNION ALL SELECT uid, 1, word, word || '之战' FROM named WHERE length(word) > 0 UNION ALL SELECT uid, 0, '', '之战' FROM named WHERE length(word) = 0),
+    hit(book, text, kw, pos) AS (SELECT book, text, keyword, instr(text, keyword) - 1 FROM texts, (SELECT DISTINCT keyword FROM wanted) WHERE contains(text, keyword)
+        UNION ALL SELECT book, text, kw, pos + length(kw) + 200 + instr(substr(text, pos + length(kw) + 201), kw) - 1 FROM hit WHERE contains(substr(text, pos + length(kw) + 201), kw)),
+    cut AS (SELECT book, kw, pos, trim(substr(text, greatest(pos - 200, 0) + 1, pos + length(kw) + 200 - greatest(pos - 200, 0)), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM hit),
+    own AS (SELECT uid, book, keyword_no, pos, t, row_number() OVER (PARTITION BY uid, substr(t, 1, 80) ORDER BY book, keyword_no, pos) AS same FROM cut JOIN wanted ON keyword = kw)
+    SELECT uid, book, keyword_no, pos AS place, md5(t) AS text FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY book, keyword_no, pos) AS r FROM own WHERE same = 1) WHERE r <= 2""",
+    graph=False,
+)
+def _(spark, sf_dir):
+    """Passages of the documents for an event each, named by a word of it."""
+    events = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.concat(F.lit("w"), F.col("doc_id").cast("string")).alias("uid"), F.concat(F.expr(_WORD), F.lit("之战")).alias("name"), F.lit("").alias("description"))
+    found = S.event_snippets(events, books_of(spark, sf_dir))
+    return found.select("uid", "book", F.col("keyword_no").cast("int").alias("keyword_no"), F.col("at").cast("long").alias("place"), F.md5("text").alias("text"))
+
+
 @_query("s10_cached_summaries", "SELECT 'p/' || CAST(seq AS VARCHAR) AS uid, CASE WHEN seq % 3 = 0 AND seq % 9 > 0 THEN 'old ' || uid ELSE 'fresh' END AS summary, seq % 3 = 0 AND seq % 9 > 0 AS from_cache FROM person")
 def _(g):
     uid = F.concat(F.lit("p/"), F.col("seq").cast("string"))
