@@ -36,18 +36,28 @@ def places(look: ahocorasick.Automaton, text: str | None) -> Iterator[tuple[str,
             yield word, end - len(word) + 1
 
 
+def cut(text: str, word: str, at: int, around: int) -> str:
+    """A word with its surroundings."""
+    return text[max(at - around, 0) : at + len(word) + around].strip()
+
+
+def digest(passage: str, alike: int = 80) -> bytes:
+    """Of a passage's first characters."""
+    return hashlib.md5(passage[:alike].encode()).digest()
+
+
 class Passages:
-    """The passages (word, place, surroundings) of words in one task's books that may be among the first ``most`` of their word by book and place.
+    """The passages (word, place, digest of their beginning) of words in one task's books that may be among the first ``most`` of their word by book and place.
 
     After a find, the search for the same word goes on behind its surroundings. Passages that begin alike (``alike`` characters) count once. One is left out only
-    if the task has given ``most`` earlier ones of its word that begin differently; of these the places and hashed beginnings are held.
+    if the task has given ``most`` earlier ones of its word that begin differently; of these the places and digests are held.
     """
 
     def __init__(self, look: ahocorasick.Automaton, around: int, most: int, alike: int = 80):
         self.look, self.around, self.most, self.alike = look, around, most, alike
         self.first: dict[str, list[tuple[str, int, bytes]]] = {}
 
-    def of(self, book: str, text: str | None) -> Iterator[tuple[str, int, str]]:
+    def of(self, book: str, text: str | None) -> Iterator[tuple[str, int, bytes]]:
         behind: dict[str, int] = {}
         for word, at in places(self.look, text):
             if at < behind.get(word, 0):
@@ -57,8 +67,7 @@ class Passages:
             if len(held) == self.most and (book, at) > held[-1][:2]:
                 behind[word] = len(text)  # nothing later in this book can count
                 continue
-            cut = text[max(at - self.around, 0) : end].strip()
-            begun = hashlib.md5(cut[: self.alike].encode()).digest()
+            begun = digest(cut(text, word, at, self.around), self.alike)
             same = next((x for x in held if x[2] == begun), None)
             if same is not None and same[:2] <= (book, at):
                 continue
@@ -67,4 +76,4 @@ class Passages:
             held.append((book, at, begun))
             held.sort()
             del held[self.most :]
-            yield word, at, cut
+            yield word, at, begun

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .automaton import SMALL, Passages, automaton, small
+from .automaton import SMALL, Passages, automaton, cut, digest, small
 from .repair import by_grams
 
 TOKEN = r"[a-z0-9]+|[\x{4e00}-\x{9fff}]"
@@ -91,9 +91,9 @@ def snippets(books: DataFrame, keywords: list[str], limit: int = 3, around: int
 def event_snippets(events: DataFrame, books: DataFrame, limit: int = 2, around: int = 200, bound: int = SMALL) -> DataFrame:
     """(uid, book, keyword_no, at, text): the first passages of books (name, text) for each event (uid, name, description), by its keywords.
 
-    Passages of one event that begin alike (80 characters) count once, as the first of them in order of book, keyword and place.
+    Passages of one event that begin alike (80 characters) count once, as the first of them in order of book, keyword and place. Books without a name or text are left out.
 
-    Books are read once by an automaton of all keywords; texts are never joined. An event's first ``limit`` passages are among the first ``limit`` of each of its keywords
+    An automaton of all keywords finds places without their texts; the books that hold chosen passages are read once more, each with the list of its own. An event's first ``limit`` passages are among the first ``limit`` of each of its keywords
     that begin differently, in a task's books as in all books, as those come before any later passage of that keyword. So a task that reads books in order sends ``limit`` rows
     for each keyword, and a keyword meets its events with ``limit`` rows, however many books have it. Keywords of more characters than ``bound`` do not go to all tasks: the books that have one are found by
     q-grams, and a book is read for its own keywords.
@@ -104,7 +104,7 @@ def event_snippets(events: DataFrame, books: DataFrame, limit: int = 2, around:
     keyed = F.array_distinct(F.filter(listed, lambda x: x.isNotNull() & (x != "")))
     wanted = events.select("uid", F.posexplode(keyed).alias("keyword_no", "keyword"))
     words = wanted.select("keyword").distinct()
-    texts = books.select(F.col("name").cast("string").alias("book"), "text").where("text IS NOT NULL")
+    texts = books.select(F.col("name").cast("string").alias("book"), "text").where("book IS NOT NULL AND text IS NOT NULL")
     held = small(words, bound)
     if held is None:
         hits = by_grams(texts.withColumnRenamed("book", "id"), words.select(F.col("keyword").alias("name"), F.col("keyword").alias("uid")))
@@ -116,14 +116,25 @@ def event_snippets(events: DataFrame, books: DataFrame, limit: int = 2, around:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                rows += [{"book": row["book"], "keyword": word, "at": at, "text": cut} for word, at, cut in (Passages(automaton(row["words"]), around, limit) if every is None else every).of(row["book"], row["text"])]
+                rows += [{"book": row["book"], "keyword": word, "at": at, "sig": sig} for word, at, sig in (Passages(automaton(row["words"]), around, limit) if every is None else every).of(row["book"], row["text"])]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("book", pa.string()), ("keyword", pa.string()), ("at", pa.int32()), ("sig", pa.binary())]))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                cuts = [(x, cut(row["text"], x["keyword"], x["at"], around)) for x in row["chosen"]]
+                # of books of one name only those that hold the passage count
+                rows += [{"book": row["book"], "keyword": x["keyword"], "at": x["at"], "text": text} for x, text in cuts if digest(text) == x["sig"]]
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("book", pa.string()), ("keyword", pa.string()), ("at", pa.int32()), ("text", pa.string())]))
 
-    found = texts.mapInArrow(find, "book string, keyword string, at int, text string")
     alike = F.substring("text", 1, 80).alias("sig")
     place = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    first = found.groupBy("keyword", alike).agg(F.min(F.struct("book", "at", "text")).alias("f")).select("keyword", "f.*")
-    first = first.withColumn("r", place("keyword", "book", "at")).where(F.col("r") <= limit).drop("r")
+    found = texts.mapInArrow(find, "book string, keyword string, at int, sig binary")
+    first = found.groupBy("keyword", "sig").agg(F.min(F.struct("book", "at")).alias("f")).select("keyword", "sig", "f.*")
+    first = first.withColumn("r", place("keyword", "book", "at")).where(F.col("r") <= limit)
+    chosen = first.groupBy("book").agg(F.collect_list(F.struct("keyword", "at", "sig")).alias("chosen"))
+    first = texts.select("book", "text").join(chosen, "book").mapInArrow(read, "book string, keyword string, at int, text string")
     own = wanted.join(first, "keyword").groupBy("uid", alike).agg(F.min(F.struct("book", "keyword_no", "at", "text")).alias("f")).select("uid", "f.*")
     return own.withColumn("r", place("uid", "book", "keyword_no", "at")).where(F.col("r") <= limit).drop("r")
 

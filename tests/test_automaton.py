@@ -59,7 +59,7 @@ def test_event_snippets_like_a_scan(spark, bound):
         assert sorted((r.uid, r.book, r.keyword_no, r["at"], r.text) for r in found.collect()) == _plain(events, books, limit, 15)
 
 
-def test_passages_ship_no_text(spark):
+def test_a_word_of_all_books(spark):
     """A word in every book sends a bounded number of rows to its events."""
     books = spark.range(300).selectExpr("lpad(id, 4, '0') AS name", "concat(repeat(concat('x', id, ' word '), 50)) AS text")
     events = spark.range(200).selectExpr("concat('e', id) AS uid", "'word' AS name", "'' AS description")
