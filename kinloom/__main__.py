@@ -1,4 +1,4 @@
-"""Command line: python -m kinloom COMMAND. The graph is the newest snapshot that the ledger below --root names."""
+"""Command line: python -m kinloom COMMAND. The graph is the newest version that the ledger below --root names."""
 
 from __future__ import annotations
 
@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import chunk_table, numbered
-from .operators.graph import Graph, load, save, stats
+from .operators.graph import Graph, load, save, save_changes, stats
 from .operators.search import search_persons
 from .plans.qa import answer
 from .sources.files import read_books, stored_chunks, write_json
 from .sources.models import Client, Http, Stub
 from .sources.tables import graph_of
-from .streaming.ingest import apply_results, current_version, empty_graph, ingest_stream, load_seed, saved_results
+from .streaming.ingest import current_version, empty_graph, ingest_stream, load_seed, saved_results, write_results
 
 
 def client_of(args: argparse.Namespace) -> Callable[[], Client]:
@@ -34,10 +34,13 @@ def newest_graph(spark: SparkSession, root: str) -> Graph:
     return load(spark, f"{root}/graph/{version}") if version else empty_graph(spark)
 
 
-def publish(spark: SparkSession, graph: Graph, root: str, what: str) -> None:
-    """Writes a snapshot and then names it in the ledger, so a run that is cut off changes nothing."""
+def publish(spark: SparkSession, graph: Graph, root: str, what: str, last: str | None = None, whole: bool = True) -> None:
+    """Writes a snapshot, or what changes the version ``last``, and then names it in the ledger, so a run that is cut off changes nothing."""
     version = uuid.uuid4().hex
-    save(graph, f"{root}/graph/{version}")
+    if whole:
+        save(graph, f"{root}/graph/{version}")
+    else:
+        save_changes(graph, f"{root}/graph", version, last)
     spark.range(1).select(F.lit(f"{what}-{version}").alias("chunk_id"), F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{root}/ledger")
 
 
@@ -62,7 +65,8 @@ def ingest(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def ingest_saved(spark: SparkSession, args: argparse.Namespace) -> None:
-    publish(spark, apply_results(newest_graph(spark, args.root), saved_results(spark, args.path)), args.root, "saved")
+    written = write_results(newest_graph(spark, args.root), saved_results(spark, args.path))
+    publish(spark, written.changed, args.root, "saved", current_version(spark, args.root), whole=False)
 
 
 def ask(spark: SparkSession, args: argparse.Namespace) -> None:

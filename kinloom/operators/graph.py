@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.text import all_names
 from ..functions.values import FAMILY_TYPES, PARTICIPATED, SUCCESSION_TYPES
 from ..sources.files import checkpoint_dir
+from .store import WIDTH, read_version, write_version
 
 #: Order in which labels are searched for a name.
 LABELS = ("Person", "Dynasty", "Event", "Place")
+#: What tells rows of the stored tables apart.
+KEYS = {"person": ["uid"], "dynasty": ["uid"], "event": ["uid"], "place": ["uid"], "edges": ["src", "rel_type", "dst"]}
 
 
 @dataclass(frozen=True)
@@ -56,8 +59,9 @@ class Graph:
 
 
 def load(spark: SparkSession, path: str) -> Graph:
-    read = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Graph(read("person"), read("dynasty"), read("event"), read("place"), read("edges"))
+    """A version that save() or save_changes() wrote."""
+    root, version = path.rstrip("/").rsplit("/", 1)
+    return Graph(**read_version(spark, root, version, KEYS))
 
 
 def save(graph: Graph, path: str) -> None:
@@ -67,6 +71,11 @@ def save(graph: Graph, path: str) -> None:
     graph.edges.sortWithinPartitions("rel_type", "src").write.parquet(f"{path}/edges")
 
 
+def save_changes(changed: Graph, root: str, version: str, last: str | None, gone: dict[str, DataFrame] | None = None, width: int = WIDTH) -> None:
+    """Writes the nodes and edges that change a version (None: the empty graph), each as a whole row, and the keys (KEYS) that are gone, as a new version below root."""
+    write_version({name: getattr(changed, name) for name in KEYS}, root, version, last, KEYS, gone, width)
+
+
 def persons_named(graph: Graph, name: str) -> DataFrame:
     """Persons with that name or alias."""
     return graph.person.where((F.col("original_name") == name) | F.array_contains("aliases", name))
@@ -153,6 +162,56 @@ def family_tree(graph: Graph, start: DataFrame, depth: int = 3) -> DataFrame:
     return hit.union(back).distinct().select("root", F.col("src").alias("from_uid"), "from_name", F.col("dst").alias("to_uid"), "to_name", "rel_type")
 
 
+def family_trails(graph: Graph, start: DataFrame, depth: int = 3) -> DataFrame:
+    """Family edges on trails (no edge twice) of at most ``depth`` edges from each start person (one column of uids) to any person, in family_tree()'s columns.
+
+    Nodes of other labels may lie on the way; they have no name here. An edge between persons is on such a trail if its nearer end is less than ``depth`` steps away, so those
+    are found by distance. Only edges with an end that is no person need the trails themselves: trails grow by joins, an edge's number only once, and are dropped as soon as no such
+    node is near enough. Without such nodes there are no trails; around them their number grows with the degree at each step.
+    """
+    if int(depth) < 1:
+        raise ValueError("depth must be 1 or more")
+    depth = int(depth)
+    checkpoint_dir(start.sparkSession)
+    person = F.col("label") == "Person"
+    nodes = graph.nodes().select("uid", person.alias("person"), F.when(person, F.col("name")).alias("name"))
+    edges = graph.edges.where(F.col("rel_type").isin(*FAMILY_TYPES)).select("src", "dst", "rel_type")
+    edges = edges.join(nodes.toDF("src", "from_person", "from_name"), "src").join(nodes.toDF("dst", "to_person", "to_name"), "dst")
+    edges = edges.withColumn("edge", F.monotonically_increasing_id()).checkpoint()
+    arcs = edges.select(F.col("src").alias("at"), "edge", F.col("dst").alias("next"), F.col("to_person").alias("next_person"))
+    arcs = arcs.union(edges.where("src <> dst").select("dst", "edge", "src", "from_person"))
+    steps = arcs.select("at", "next").where("at <> next").distinct().checkpoint()
+
+    def within(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+        """Adds to rows (keys, at) all that is at most n steps away, with the distance."""
+        reached = frontier = rows.withColumn("steps", F.lit(0))
+        for k in range(1, n + 1):
+            moved = frontier.join(steps, "at").select(*keys, F.col("next").alias("at")).distinct()
+            frontier = moved.join(reached, [*keys, "at"], "left_anti").withColumn("steps", F.lit(k)).checkpoint()
+            reached = reached.union(frontier)
+        return reached
+
+    roots = start.toDF("root").distinct().join(graph.person.select(F.col("uid").alias("root")), "root", "left_semi")
+    reached = within(roots.withColumn("at", F.col("root")), ["root"], depth - 1)
+    by_distance = reached.join(arcs.select("at", "edge"), "at").select("root", "edge").distinct().join(edges.where("from_person AND to_person"), "edge")
+    others = arcs.where("NOT next_person").select(F.col("next").alias("at")).distinct()
+    near = within(others, [], depth - 1).select(F.col("at").alias("next"), F.col("steps").alias("to_other"))
+    arcs = arcs.join(near, "next", "left").checkpoint()
+    trails = roots.join(near.select(F.col("next").alias("root")), "root", "left_semi").select("root", F.col("root").alias("at"), F.array().cast("array<bigint>").alias("path"), F.lit(False).alias("met"))
+    found = None
+    for k in range(1, depth + 1):
+        moved = trails.join(arcs, "at").where(~F.array_contains("path", F.col("edge")))
+        met = F.col("met") | ~F.col("next_person")
+        moved = moved.select("root", F.col("next").alias("at"), F.array_append("path", F.col("edge")).alias("path"), met.alias("met"), "next_person", "to_other")
+        trails = moved.where(F.col("met") | (F.col("to_other") < depth - k)).checkpoint()
+        ended = trails.where("met AND next_person").select("root", F.explode("path").alias("edge"))
+        found = ended if found is None else found.union(ended)
+        trails = trails.drop("next_person", "to_other")
+    by_trails = found.distinct().join(edges.where("NOT (from_person AND to_person)"), "edge")
+    out = by_distance.unionByName(by_trails)
+    return out.select("root", F.col("src").alias("from_uid"), "from_name", F.col("dst").alias("to_uid"), "to_name", "rel_type").distinct()
+
+
 def edge_list(graph: Graph) -> DataFrame:
     """All edges whose ends exist, with their ends' names."""
     a = graph.nodes().select(F.col("uid").alias("src"), F.col("name").alias("source_name"))

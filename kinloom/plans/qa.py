@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import query_text
-from ..operators.graph import Graph, adopted_sons, event_participants, family_tree, neighbourhood, person_events, persons_named, succession
+from ..operators.graph import Graph, adopted_sons, event_participants, family_trails, neighbourhood, person_events, persons_named, succession
 from ..operators.search import snippet_keywords, snippets
 from ..sources.models import Client
 
@@ -153,7 +153,7 @@ def canned(graph: Graph, question: str) -> DataFrame | None:
                 continue
             by = {"adopted_sons": adopted_sons, "relations": neighbourhood}
             if route == "family":
-                found = family_tree(graph, graph.person.where(F.col("uid") == person.uid).select("uid"))
+                found = family_trails(graph, graph.person.where(F.col("uid") == person.uid).select("uid"))
             else:
                 found = by[route](graph, person.uid)
         rows = _rows(route, found)

@@ -108,6 +108,54 @@ def _(g):
     return G.family_tree(g, g.person.where(F.col("uid").isin("p7", "p8", "p300")).select("uid"), 3)
 
 
+@_query(
+    "j7_family_trails",
+    """WITH kin AS (SELECT src, dst, rel_type FROM edges WHERE rel_type IN ('FATHER_OF', 'ADOPTED_SON', 'SPOUSE', 'SIBLING')
+        UNION ALL SELECT uid, 'd' || CAST(seq % 25 AS VARCHAR), 'FATHER_OF' FROM person WHERE seq % 60 = 7
+        UNION ALL SELECT 'd' || CAST(seq % 25 AS VARCHAR), uid, 'SIBLING' FROM person WHERE seq % 60 = 8),
+    ext AS (SELECT *, row_number() OVER (ORDER BY src, dst, rel_type) AS e FROM kin WHERE src IN (SELECT uid FROM nodes) AND dst IN (SELECT uid FROM nodes)),
+    arc AS (SELECT e, src AS x, dst AS y FROM ext UNION ALL SELECT e, dst, src FROM ext WHERE src <> dst),
+    trail(root, x, path) AS (SELECT uid, uid, CAST([] AS BIGINT[]) FROM person WHERE uid IN ('p7', 'p8', 'p300')
+        UNION ALL SELECT t.root, a.y, list_append(t.path, a.e) FROM trail t JOIN arc a ON a.x = t.x WHERE len(t.path) < 3 AND NOT list_contains(t.path, a.e))
+    SELECT DISTINCT t.root, f.src AS from_uid, a.original_name AS from_name, f.dst AS to_uid, b.original_name AS to_name, f.rel_type
+    FROM (SELECT root, unnest(path) AS e FROM trail WHERE x IN (SELECT uid FROM person)) t JOIN ext f ON f.e = t.e LEFT JOIN person a ON a.uid = f.src LEFT JOIN person b ON b.uid = f.dst""",
+)
+def _(g):
+    """With dynasties on the trails."""
+    dynasty, null = F.concat(F.lit("d"), (F.col("seq") % 25).cast("string")), F.lit(None)
+
+    def more(src, kind, dst, rest):
+        return g.person.where(F.col("seq") % 60 == rest).select(src.alias("src"), F.lit(kind).alias("rel_type"), dst.alias("dst"), null.cast("int").alias("year"), null.cast("string").alias("description"), null.cast("string").alias("role"), "seq")
+
+    kin = g.edges.unionByName(more(F.col("uid"), "FATHER_OF", dynasty, 7)).unionByName(more(dynasty, "SIBLING", F.col("uid"), 8))
+    return G.family_trails(g.with_edges(kin), g.person.where(F.col("uid").isin("p7", "p8", "p300")).select("uid"), 3)
+
+
+@_query("s12_versions", """SELECT 'person' AS kind, uid AS key, CASE WHEN seq % 7 = 0 AND seq % 10 < 5 THEN 'role ' || CAST(least(seq % 10, 3) AS VARCHAR) ELSE role END AS value FROM person
+    UNION ALL SELECT 'person', 'x' || CAST(seq AS VARCHAR), 'new' FROM person WHERE seq % 9 = 2
+    UNION ALL SELECT 'edge', src || ' ' || rel_type || ' ' || dst, CASE WHEN rel_type = 'REPLACED' THEN 'changed' ELSE description END FROM edges WHERE rel_type <> 'KILLED'""")
+def _(g):
+    """A snapshot and six versions of changes on it, read back: later ones change rows of earlier ones, and parts are merged on the way."""
+    spark, root = g.person.sparkSession, _scratch(g.person.sparkSession, "versions")
+    none = {name: df.limit(0) for name, df in (("person", g.person), ("dynasty", g.dynasty), ("event", g.event), ("place", g.place), ("edges", g.edges))}
+    G.save(g, f"{root}/v0")
+    last = "v0"
+
+    def version(name, gone=None, **changed):
+        nonlocal last
+        G.save_changes(G.Graph(**none | changed), root, name, last, gone, width=2)
+        last = name
+
+    for k in range(4):
+        # version k changes what the ones before it changed, and more
+        version(f"v{k + 1}", person=g.person.where((F.col("seq") % 7 == 0) & (F.col("seq") % 10 >= k) & (F.col("seq") % 10 < 5)).withColumn("role", F.lit(f"role {k}")))
+    version("v5", {"edges": g.edges.where("rel_type = 'KILLED'")}, edges=g.edges.where("rel_type = 'REPLACED'").withColumn("description", F.lit("changed")))
+    version("v6", person=g.person.where("seq % 9 = 2").withColumns({"uid": F.concat(F.lit("x"), F.col("seq").cast("string")), "role": F.lit("new")}))
+    found = G.load(spark, f"{root}/{last}")
+    persons = found.person.select(F.lit("person").alias("kind"), F.col("uid").alias("key"), F.col("role").alias("value"))
+    return persons.union(found.edges.select(F.lit("edge"), F.concat_ws(" ", "src", "rel_type", "dst"), "description"))
+
+
 @_query("j8_edge_list", "SELECT e.src, a.name AS source_name, e.rel_type, e.dst, b.name AS target_name, e.year, e.description, e.role FROM edges e JOIN nodes a ON a.uid = e.src JOIN nodes b ON b.uid = e.dst")
 def _(g):
     return G.edge_list(g)

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.parse import extraction
 from ..operators.asof import at_the_end, person_history, resolve_at, stored_history, upsert_history
-from ..operators.graph import Graph, known_persons, load, resolve_participants, save
+from ..operators.graph import KEYS, Graph, known_persons, load, resolve_participants, save_changes
 from ..operators.merge import fold_persons
 from ..operators.order import in_order
 from ..operators.write import founder_edges, participation_rows, relation_rows, relations_to_edges, upsert_edges, upsert_nodes
@@ -85,9 +85,10 @@ def _counts(results: DataFrame, relations: DataFrame, participants: DataFrame, a
 
 @dataclass(frozen=True)
 class Written:
-    """A graph with results in it; relations and participants of the results, with the uids that their names stood for (null: nobody)."""
+    """A graph with results in it, and those of its nodes and edges alone that the results touch; relations and participants of the results, with the uids that their names stood for (null: nobody)."""
 
     graph: Graph
+    changed: Graph
     relations: DataFrame
     participants: DataFrame
 
@@ -128,10 +129,12 @@ def write_results(graph: Graph, results: DataFrame, names: str = "as_of") -> Wri
     item = lambda field: rows.select(first.alias("__f"), F.posexplode(f"result.{field}").alias("__p", "n")).select("n.*", (F.col("__f") + F.lit(KINDS.index(field) * ITEMS) + F.col("__p")).alias("seq"), (F.col("__f") + F.lit(len(KINDS) * ITEMS - 1)).alias("at"))
     listed = {"aliases": F.array().cast("array<string>"), "loyalty": F.array().cast("array<string>"), "participants": F.array().cast("array<string>")}
     fill = lambda df: df.withColumns({c: F.coalesce(c, v) for c, v in listed.items() if c in df.columns}).where("uid IS NOT NULL")
-    nodes, history = {}, {}
+    touched = lambda old, new, name: old.join(new.select(*KEYS[name]).distinct(), KEYS[name], "left_semi").select(*old.columns)
+    nodes, changed, history = {}, {}, {}
     for name, (field, required, optional) in NODE_COLUMNS.items():
         old, new = getattr(graph, name), fill(item(field))
         nodes[name] = upsert_nodes(old, new.select(*old.columns), required, optional)
+        changed[name] = upsert_nodes(touched(old, new, name), new.select(*old.columns), required, optional)
         history[name] = upsert_history(old, new, name.title())
     persons = fill(item("persons")).withColumns({"role": F.coalesce("role", F.lit("其他")), "description": F.coalesce("description", F.lit(""))})
     folded = fold_persons(persons.select(*graph.person.columns), graph.person).checkpoint()
@@ -154,7 +157,8 @@ def write_results(graph: Graph, results: DataFrame, names: str = "as_of") -> Wri
     edges = relation_rows(relations.where("src IS NOT NULL AND dst IS NOT NULL"))
     # one arrival an edge row: participants of one chunk come before its relations
     new = links.select(*graph.edges.columns).union(edges.select(*graph.edges.columns))
-    return Written(out.with_edges(upsert_edges(graph.edges, new)), relations, participants)
+    changed = Graph(folded.select(*graph.person.columns), **changed, edges=upsert_edges(touched(graph.edges, new, "edges"), new))
+    return Written(out.with_edges(upsert_edges(graph.edges, new)), changed, relations, participants)
 
 
 def apply_results(graph: Graph, results: DataFrame, names: str = "as_of") -> Graph:
@@ -163,7 +167,7 @@ def apply_results(graph: Graph, results: DataFrame, names: str = "as_of") -> Gra
 
 
 def ingest_batch(spark: SparkSession, chunks: DataFrame, root: str, client: Callable[[], Client]) -> None:
-    """Extracts chunks, and writes results, a new snapshot of the graph and the ledger below root. Failed chunks count as done."""
+    """Extracts chunks, and writes results, the nodes and edges that they change as a new version of the graph, and the ledger below root. Failed chunks count as done."""
     version = uuid.uuid4().hex
     last = current_version(spark, root)
     graph = load(spark, f"{root}/graph/{last}") if last else empty_graph(spark)
@@ -171,7 +175,7 @@ def ingest_batch(spark: SparkSession, chunks: DataFrame, root: str, client: Call
     found.write.parquet(f"{root}/results/{version}")
     found = spark.read.parquet(f"{root}/results/{version}").withColumn("seq", F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("long"))
     written = write_results(graph, found)
-    save(written.graph, f"{root}/graph/{version}")
+    save_changes(written.changed, f"{root}/graph", version, last)
     written.counts(found).withColumn("version", F.lit(version)).write.mode("append").parquet(f"{root}/counts")
     found.select("chunk_id", F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{root}/ledger")
 
