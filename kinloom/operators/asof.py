@@ -53,7 +53,8 @@ def resolve_at(history: DataFrame, wanted: DataFrame) -> DataFrame:
     nodes with one name. They are thinned out within salted parts of a name first, so no task meets all nodes of a hot name.
     """
     wanted = wanted.select("name", "at").where("name <> ''").distinct()
-    rows = history.join(wanted.select("name").distinct(), "name", "left_semi")
+    # a plain join, as in graph.resolve_names()
+    rows = history.join(wanted.select("name").distinct(), "name")
     rows = rows.select("name", F.struct("priority", "seq", "uid", "label").alias("node"), F.coalesce("since", F.lit(-(1 << 62))).alias("since"), "until")
     opened = rows.where("until IS NULL").withColumn("salt", F.pmod(F.xxhash64("node.uid"), F.lit(SALTS)))
     for part in (["name", "salt"], ["name"]):

@@ -88,7 +88,8 @@ def resolve_names(graph: Graph, names: DataFrame, label: str | None = None) -> D
     """
     wanted = names.toDF("name").distinct()
     index = graph.name_index() if label is None else graph.name_index().where(F.col("label") == label)
-    best = index.join(wanted, "name", "left_semi").groupBy("name").agg(F.min(F.struct("priority", "seq", "uid", "label")).alias("b"))
+    # the names are distinct, so a plain join keeps each row once; a semi-join would go below the index's union, whose rows then count as dealt by name when they are not
+    best = index.join(wanted, "name").groupBy("name").agg(F.min(F.struct("priority", "seq", "uid", "label")).alias("b"))
     return wanted.join(best, "name", "left").select("name", F.col("b.uid").alias("uid"), F.col("b.label").alias("label"))
 
 
