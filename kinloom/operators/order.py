@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from ..sources.files import checkpoint_dir
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt over tasks for all cores, by keys or evenly: a small file has few splits, however much work or memory its rows take afterwards."""
+    spark = df.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(parts, *keys)
+
+
 def in_order(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Adds the place of each row, from 0, in the order of the keys: within ranges of it, behind the sum of the ranges before. Only one row a range meets in one task."""
     spark = df.sparkSession

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -12,11 +13,17 @@ from pyspark.sql import types as T
 
 from ..functions.text import contains_any
 from ..functions.values import DEFAULT_EDGE_ROLE, MEMORIAL_KEYWORDS, PARTICIPATED
+from ..sources.files import checkpoint_dir
 from .automaton import SMALL, automaton, places, small
 from .graph import Graph
+from .order import spread
 from .write import upsert_edges, without, without_parallels, without_self_loops
 
 
+#: Bits of the table of q-grams that an index has.
+MARKS = 1 << 26
+
+
 def _memorial(description: Column, name: Column) -> Column:
     return contains_any(F.concat_ws(" ", F.coalesce(description, F.lit("")), F.coalesce(name, F.lit(""))), MEMORIAL_KEYWORDS)
 
@@ -26,7 +33,8 @@ def post_death_links(graph: Graph) -> DataFrame:
     dead = graph.person.where(F.nullif("death_year", F.lit(0)).isNotNull()).select(F.col("uid").alias("src"), F.col("original_name").alias("person_name"), "death_year")
     events = graph.event.where("year IS NOT NULL").select(F.col("uid").alias("dst"), F.col("name").alias("event_name"), F.col("year").alias("event_year"), F.col("description").alias("event_description"))
     links = graph.edges.where(F.col("rel_type") == PARTICIPATED).select("src", "rel_type", "dst")
-    out = links.join(dead, "src").join(events, "dst").where("event_year > death_year")
+    # by merging: tables that grow with the graph are not broadcast, however small Spark takes them for
+    out = links.join(dead.hint("merge"), "src").join(events.hint("merge"), "dst").where("event_year > death_year")
     return out.withColumn("memorial", _memorial(F.col("event_description"), F.col("event_name"))).drop("event_description")
 
 
@@ -71,38 +79,78 @@ def by_grams(texts: DataFrame, named: DataFrame) -> DataFrame:
     """(id, uid) where a text contains a name, for any number of distinct (name, uid).
 
     Names are indexed by the one of their q-grams that the fewest names have, q being the shortest name's length. An equi-join with a text's distinct q-grams gives the
-    names to look for in it. One number, q, reaches the driver; a text sends each of its q-grams once at most.
+    names to look for in it. A text sends each of its q-grams once at most, and of those that are not in the index only some that share a mark with one that is.
+    One number, q, and the marks, a table of fixed size, reach the driver. Joins are by merging: Spark takes a row's q-grams for
+    one row and would broadcast them.
     """
+    checkpoint_dir(texts.sparkSession)
     q = named.agg(F.min(F.length("name")).alias("q")).first().q
     if q is None:
         return texts.select("id", F.lit(None).cast("string").alias("uid")).where("false")
-    grams = named.select("name", "uid", F.explode(grams_of(F.col("name"), q)).alias("gram"))
+    grams = _grams_in(spread(named.select("name", "uid")), "name", ["name", "uid"], q)
     uses = grams.groupBy("gram").agg(F.count("*").alias("uses"))
-    index = grams.join(uses, "gram").groupBy("name", "uid").agg(F.min(F.struct("uses", "gram")).alias("g")).select("name", "uid", F.col("g.gram").alias("gram"))
-    found = texts.select("id", F.explode(grams_of(F.col("text"), q)).alias("gram")).join(index, "gram").select("id", "name", "uid")
-    return found.join(texts, "id").where(F.contains("text", "name")).select("id", "uid")
+    index = grams.join(uses.hint("merge"), "gram").groupBy("name", "uid").agg(F.min(F.struct("uses", "gram")).alias("g")).select("name", "uid", F.col("g.gram").alias("gram"))
+    index = index.checkpoint()
+    found = _grams_in(spread(texts.select("id", "text")), "text", ["id"], q, _marks(index)).join(index.hint("merge"), "gram").select("id", "name", "uid")
+    return found.join(texts.hint("merge"), "id").where(F.contains("text", "name")).select("id", "uid")
+
+
+def _marks(index: DataFrame) -> dict[int, bytes]:
+    """A bit for the CRC of each q-gram of the index, in pieces of 32,768 bits."""
+    mark = F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(MARKS)) + 1
+    pieces = index.select(mark.alias("m")).groupBy(F.bitmap_bucket_number("m").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("m")).alias("bits"))
+    return {row.k - 1: bytes(row.bits) for row in pieces.collect()}
 
 
-def grams_of(text: Column, q: int) -> Column:
-    """Distinct runs of q characters. The text is cut into characters once, as places in UTF-8 are found from its start."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    runs = lambda x: F.transform(F.sequence(F.lit(1), F.size(x) - (q - 1)), lambda i: F.array_join(F.slice(x, i, F.lit(q)), ""))
-    some = F.element_at(F.transform(F.array(chars), lambda x: F.when(F.size(x) >= q, runs(x))), 1)
-    return F.array_distinct(some)
+def _grams_in(rows: DataFrame, text: str, keep: list[str], q: int, marks: dict[int, bytes] | None = None) -> DataFrame:
+    """(*keep, gram): the distinct runs of q characters of each row's text; with marks only those that have one."""
+    shared = rows.sparkSession.sparkContext.broadcast(marks)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known = shared.value, {}
+
+        def marked(gram: str) -> bool:
+            if bits is None:
+                return True
+            piece, at = divmod(zlib.crc32(gram.encode()) % MARKS, 32_768)
+            return piece in bits and bits[piece][at >> 3] >> (at & 7) & 1 == 1
+
+        for batch in batches:
+            def found_in(places: list[int], grams: list[str], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                at = pa.array(places, pa.int32())
+                return pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in keep], pa.array(grams, pa.string())], names=[*keep, "gram"])
+
+            places, grams = [], []
+            for k, value in enumerate(batch.column(text)):
+                value = value.as_py() or ""
+                for gram in {value[i : i + q] for i in range(len(value) - q + 1)}:
+                    if (found := known.get(gram)) is None:
+                        if len(known) == 500_000:
+                            known.clear()
+                        found = known[gram] = marked(gram)
+                    if found:
+                        places.append(k)
+                        grams.append(gram)
+                if len(grams) > 200_000:
+                    yield found_in(places, grams)
+                    places, grams = [], []
+            yield found_in(places, grams)
+
+    return rows.mapInArrow(cut, T.StructType([*[rows.schema[c] for c in keep], T.StructField("gram", T.StringType())]))
 
 
 def missing_links(graph: Graph) -> DataFrame:
     """(src, dst) participations that an event's participants or text imply and the graph lacks; none after death, but memorials."""
     names = name_map(graph)
     text = F.concat_ws(" ", F.coalesce("description", F.lit("")), F.coalesce("name", F.lit("")))
-    listed = graph.event.select(F.col("uid").alias("id"), F.explode("participants").alias("name")).join(names, "name").select("id", "uid").where("uid IS NOT NULL")
+    listed = graph.event.select(F.col("uid").alias("id"), F.explode("participants").alias("name")).join(names.hint("merge"), "name").select("id", "uid").where("uid IS NOT NULL")
     found = mentions(graph.event.select(F.col("uid").alias("id"), text.alias("text")), names)
     links = listed.union(found).distinct()
     deaths = graph.person.select("uid", F.nullif("death_year", F.lit(0)).alias("death"))
     events = graph.event.select(F.col("uid").alias("id"), F.nullif("year", F.lit(0)).alias("year"), _memorial(F.col("description"), F.col("name")).alias("memorial"))
-    alive = links.join(deaths, "uid").join(events, "id").where(F.coalesce(F.col("year") <= F.col("death"), F.lit(True)) | F.col("memorial"))
+    alive = links.join(deaths.hint("merge"), "uid").join(events.hint("merge"), "id").where(F.coalesce(F.col("year") <= F.col("death"), F.lit(True)) | F.col("memorial"))
     have = graph.edges.where(F.col("rel_type") == PARTICIPATED).select(F.col("src").alias("uid"), F.col("dst").alias("id"))
-    return alive.select("uid", "id").join(have, ["uid", "id"], "left_anti").select(F.col("uid").alias("src"), F.col("id").alias("dst"))
+    return alive.select("uid", "id").join(have.hint("merge"), ["uid", "id"], "left_anti").select(F.col("uid").alias("src"), F.col("id").alias("dst"))
 
 
 def repair_events(graph: Graph, seq: int) -> Graph:

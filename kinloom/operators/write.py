@@ -82,4 +82,4 @@ def without_parallels(edges: DataFrame) -> DataFrame:
 
 def without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """Edges but those listed as (src, rel_type, dst)."""
-    return edges.join(gone.select("src", "rel_type", "dst").distinct(), ["src", "rel_type", "dst"], "left_anti")
+    return edges.join(gone.select("src", "rel_type", "dst").distinct().hint("merge"), ["src", "rel_type", "dst"], "left_anti")
