@@ -15,9 +15,10 @@ records like others; they arrive in no set order among themselves.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +31,11 @@ PERSON_SCHEMA = "uid string, original_name string, aliases array<string>, role s
 PERSON_COLUMNS = [x.split()[0] for x in PERSON_SCHEMA.split(", ")]
 #: Names that a node had, with the arrival that gave it (null: it was stored with it) and the one that took it away (null: none).
 NAMES = "array<struct<name:string,since:bigint,until:bigint>>"
+_LIST = pa.list_(pa.string())
+_FOLDED = pa.schema([("uid", pa.string()), ("original_name", pa.string()), ("aliases", _LIST), ("role", pa.string()), ("loyalty", _LIST), ("birth_year", pa.int32()), ("death_year", pa.int32()), ("death_cause", pa.string()), ("description", pa.string()), ("seq", pa.int64()),
+    ("names", pa.list_(pa.struct([("name", pa.string()), ("since", pa.int64()), ("until", pa.int64())])))])
+#: So many nodes leave a task at a time; most groups have a few.
+_AT_ONCE = 5_000
 _AMBIGUOUS = frozenset(AMBIGUOUS_TITLES)
 
 
@@ -88,6 +94,9 @@ class _Fold:
         rows = [(n, a, None) for n, a in self.since[uid].items()] + self.past.get(uid, [])
         return [dict(zip(("name", "since", "until"), r, strict=True)) for r in rows]
 
+    def rows(self) -> Iterator[dict]:
+        return (node | {"names": self.names_of(uid)} for uid, node in self.nodes.items())
+
     def _index(self, uid: str, index: dict[str, list], names: set[str]) -> None:
         for name in names:
             if name:
@@ -157,25 +166,22 @@ def fold_persons(records: DataFrame, stored: DataFrame | None = None) -> DataFra
     empty = F.array().cast("array<string>")
     listed = lambda df: df.withColumns({c: F.coalesce(c, empty) for c in ("aliases", "loyalty")})
 
-    def nodes_of(state: _Fold) -> pd.DataFrame:
-        out = pd.DataFrame([n | {"names": state.names_of(u)} for u, n in state.nodes.items()])
-        return out.assign(birth_year=out["birth_year"].astype("Int32"), death_year=out["death_year"].astype("Int32"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         state, current = _Fold(), None
         for batch in batches:
-            rows = batch.astype(object)
-            for row in rows.where(rows.notna(), None).to_dict("records"):
+            for row in batch.to_pylist():
                 group, new = row.pop("group"), row.pop("id") is not None
-                if group != current and state.nodes:
-                    yield nodes_of(state)
+                if group != current:
+                    yield from state.rows()
                     state = _Fold()
                 current = group
-                years = {k: None if row[k] is None else int(row[k]) for k in ("birth_year", "death_year")}
-                lists = {k: [] if row[k] is None else list(row[k]) for k in ("aliases", "loyalty")}
-                (state.add if new else state.load)(row | years | lists)
-        if state.nodes:
-            yield nodes_of(state)
+                (state.add if new else state.load)(row | {k: row[k] or [] for k in ("aliases", "loyalty")})
+        yield from state.rows()
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = folded(batches)
+        while some := list(itertools.islice(rows, _AT_ONCE)):
+            yield pa.RecordBatch.from_pylist(some, _FOLDED)
 
     many = groups.where("node LIKE 'r%'").select(F.substring("node", 2, 30).cast("long").alias("id"), "group")
     # a record that shares nothing becomes a node as it is, and never goes to Python
@@ -187,7 +193,7 @@ def fold_persons(records: DataFrame, stored: DataFrame | None = None) -> DataFra
         rows = stored.join(held, "uid").select(*PERSON_COLUMNS, F.lit(None).cast("long").alias("id"), "group").union(rows)
     # nulls come first: stored nodes by creation, then records by arrival
     order = ["group", F.col("id").isNotNull(), "seq", "id", "uid"]
-    return alone.union(rows.repartition("group").sortWithinPartitions(*order).mapInPandas(fold, f"{PERSON_SCHEMA}, names {NAMES}"))
+    return alone.union(rows.repartition("group").sortWithinPartitions(*order).mapInArrow(fold, f"{PERSON_SCHEMA}, names {NAMES}"))
 
 
 def merge_persons(records: DataFrame, stored: DataFrame | None = None) -> DataFrame:
