@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.order import in_order
 from .files import read_or
 
 #: A call in the ledger.
@@ -87,10 +88,11 @@ def ask(rows: DataFrame, client: Callable[[], Client], prompt_col: str = "prompt
     return rows.select(*names).mapInPandas(call, schema)
 
 
-def ask_once(rows: DataFrame, client: Callable[[], Client], ledger: str, system: str = "", options: dict[str, float] | None = None, per_second: float | None = None, callers: int | None = None, calls: int = 16, again: bool = False) -> DataFrame:
+def ask_once(rows: DataFrame, client: Callable[[], Client], ledger: str, system: str = "", options: dict[str, float] | None = None, per_second: float | None = None, callers: int | None = None, calls: int | None = None, again: bool = False, seconds: float = 30.0) -> DataFrame:
     """Adds output to rows (prompt, ...), as ask(), but from a ledger of calls: a table in a shared folder, keyed by the hash of system text, options and prompt.
 
-    Each distinct prompt that the ledger lacks is asked once, in rounds of ``callers`` tasks with ``calls`` prompts each (about, as prompts are dealt out by their hash). A round's answers are in the ledger before
+    Each distinct prompt that the ledger lacks is asked once, in rounds of ``callers`` tasks with ``calls`` prompts each. By default it is 16 at first; after a round that took less than a quarter of ``seconds`` the next has four times
+    as many, after one that took more than ``seconds`` a quarter, but 16 at least: so a lost round costs a bounded time, and quick answers make few rounds. A round's answers are in the ledger before
     the next begins and before any is read, so reading a result twice asks nobody, and a run that was cut off goes on after its last whole round. Failed calls are
     entered without an answer; ``again`` asks those anew. per_second is the limit for all tasks together: each of the callers has its even share of it.
     """
@@ -102,14 +104,17 @@ def ask_once(rows: DataFrame, client: Callable[[], Client], ledger: str, system:
     done = known().where("output IS NOT NULL") if again else known()
     todo = keyed.select("__key", "prompt").where("prompt IS NOT NULL").dropDuplicates(["__key"]).join(done.select(F.col("key").alias("__key")).distinct(), "__key", "left_anti")
     left = f"{ledger}_todo/{uuid.uuid4().hex}"
-    rounds = -(-todo.count() // (callers * calls))
-    if rounds:
-        deal = F.pmod(F.xxhash64("__key"), F.lit(rounds)).alias("round")
-        todo.select(F.col("__key").alias("key"), "prompt", deal).write.partitionBy("round").parquet(left)
-        held = spark.read.parquet(left)
-        for k in range(rounds):
-            here = held.where(F.col("round") == k).select("key", "prompt").repartition(callers, "key")
-            asked = ask(here, client, system=system, options=options, least=callers / per_second if per_second else 0.0)
-            asked.select("key", "output", F.current_timestamp().alias("at")).write.mode("append").parquet(ledger)
+    # numbered, and stored in that order: a round is a range of numbers, which the files' statistics find
+    in_order(todo.select(F.col("__key").alias("key"), "prompt"), ["key"], "no").sortWithinPartitions("no").write.parquet(left)
+    held = spark.read.schema("key string, prompt string, no long").parquet(left)
+    n, begin, size = held.count(), 0, calls or 16
+    while begin < n:
+        here = held.where((F.col("no") >= begin) & (F.col("no") < begin + callers * size)).select("key", "prompt").repartition(callers)
+        asked = ask(here, client, system=system, options=options, least=callers / per_second if per_second else 0.0)
+        began = time.monotonic()
+        asked.select("key", "output", F.current_timestamp().alias("at")).write.mode("append").parquet(ledger)
+        took, begin = time.monotonic() - began, begin + callers * size
+        if calls is None:
+            size = size * 4 if took < seconds / 4 else max(16, size // 4) if took > seconds else size
     answers = known().groupBy("key").agg(F.max_by("output", F.when(F.col("output").isNotNull(), F.col("at"))).alias("output"))
     return keyed.join(answers.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
