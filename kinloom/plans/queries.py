@@ -17,6 +17,7 @@ from ..operators import repair as R
 from ..operators import search as S
 from ..operators import write as W
 from ..operators.merge import merge_persons
+from ..operators.order import spread
 from ..sources.files import checkpoint_dir
 from ..sources.models import Stub
 from ..sources.tables import books_of, duckdb_ctes, graph_of
@@ -515,7 +516,7 @@ def _(spark, sf_dir):
         F.lit('{"persons":[{"uid":"u","original_name":"'), "c_name", F.lit('","role":"'), "c_mktsegment", F.lit('","aliases":["a","'), "c_name", F.lit('"],"birth_year":'), F.col("c_nationkey").cast("string"),
         F.lit('}],"events":[{"uid":"e","name":"E'), "c_name", F.lit('","participants":["x","y"]}],"dynasties":[{"uid":"d","name":"D"}],"places":[{"uid":"l","name":"P"}],"relations":[{"source":"'), "c_name", F.lit('","target":"'), "c_mktsegment", F.lit('"}]}'))
     found = extraction(F.concat(F.lit("Sure: "), text, F.lit(" end")))
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", found.alias("f"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/customer.parquet")).select("c_custkey", found.alias("f"))
     person, event, tie = F.col("f.persons")[0], F.col("f.events")[0], F.col("f.relations")[0]
     return rows.select("c_custkey", person["original_name"].alias("name"), person["role"].alias("role"), F.array_join(person["aliases"], ",").alias("aliases"), person["birth_year"].alias("birth_year"), event["name"].alias("event"), F.array_join(event["participants"], ",").alias("participants"), F.col("f.dynasties")[0]["name"].alias("dynasty"), F.col("f.places")[0]["name"].alias("place"), F.concat(tie["source"], F.lit(">"), tie["target"]).alias("relation"))
 
