@@ -19,6 +19,18 @@ def small(words: DataFrame, bound: int = SMALL) -> list[tuple] | None:
     return [tuple(row) for row in words.collect()] if total <= bound else None
 
 
+def in_blocks(words: DataFrame, most: int, bound: int = SMALL) -> list[list[tuple]] | None:
+    """As small(), but up to ``most`` lists of about that size, dealt by hash; None if there would be more."""
+    total = words.agg(F.coalesce(F.sum(sum((F.length(c) for c in words.columns), F.lit(1)).cast("long")), F.lit(0))).first()[0]
+    n = -(-total // bound) if bound else most + 1
+    if n > most:
+        return None
+    if n < 2:
+        return [[tuple(row) for row in words.collect()]]
+    dealt = words.withColumn("__k", F.pmod(F.xxhash64(*words.columns), F.lit(n))).checkpoint()
+    return [[tuple(row) for row in dealt.where(F.col("__k") == k).drop("__k").collect()] for k in range(n)]
+
+
 def automaton(words: Iterable[str]) -> ahocorasick.Automaton:
     """Finds all of the words, those within others and overlapping ones too; the empty word is left out."""
     out = ahocorasick.Automaton()

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .automaton import SMALL, Passages, automaton, cut, digest, small
+from ..sources.files import checkpoint_dir
+from .automaton import SMALL, Passages, automaton, cut, digest, in_blocks
+from .order import spread
 from .repair import by_grams
 
+#: Books are read so often at most for keywords that are too many for one automaton.
+BLOCKS = 16
 TOKEN = r"[a-z0-9]+|[\x{4e00}-\x{9fff}]"
 
 
@@ -70,20 +75,41 @@ def _places(text: str, keyword: str, around: int) -> Iterator[tuple[str, int]]:
         at = text.find(keyword, end)
 
 
+_SNIPPET = pa.schema([("book", pa.string()), ("keyword", pa.string()), ("text", pa.string()), ("keyword_no", pa.int32()), ("at", pa.int32())])
+
+
 def snippets(books: DataFrame, keywords: list[str], limit: int = 3, around: int = 200, name_col: str = "name", text_col: str = "text") -> DataFrame:
     """(book, keyword, text, keyword_no, at): keyword places with their surroundings, in order of book, keyword and place.
 
-    Snippets that begin alike (80 characters) count once.
+    Snippets that begin alike (80 characters) count once. A task holds and sends the first ``limit`` of its books alone: a snippet behind so many others of one task, all of which begin differently,
+    has as many before it in the whole.
     """
     wanted = list(dict.fromkeys(keywords))
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[str, tuple] = {}
+        last = None  # no snippet behind this place counts any more
         for batch in batches:
-            rows = [(book, keyword, cut, no, at) for book, text in zip(batch["book"], batch["text"], strict=True) for no, keyword in enumerate(wanted) for cut, at in _places(text, keyword, around)]
-            yield pd.DataFrame(rows, columns=["book", "keyword", "text", "keyword_no", "at"])
+            for book, text in zip(batch.column("book"), batch.column("text"), strict=True):
+                book = book.as_py()
+                name = (book is not None, book or "")
+                if last is not None and name > last[:2]:
+                    continue
+                text = text.as_py()
+                for no, keyword in enumerate(wanted):
+                    for cut, at in _places(text, keyword, around):
+                        place = (*name, no, at)
+                        if last is not None and place > last:
+                            break
+                        if cut[:80] not in first or place < first[cut[:80]][0]:
+                            first[cut[:80]] = place, {"book": book, "keyword": keyword, "text": cut, "keyword_no": no, "at": at}
+                        if len(first) >= 2 * limit + 1000:
+                            first = dict(sorted(first.items(), key=lambda x: x[1][0])[:limit])
+                            last = max((x[0] for x in first.values()), default=(False, "", -1, -1))
+        yield pa.RecordBatch.from_pylist([row for _, row in sorted(first.values(), key=lambda x: x[0])[:limit]], _SNIPPET)
 
     rows = books.select(F.col(name_col).cast("string").alias("book"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    out = rows.mapInPandas(find, "book string, keyword string, text string, keyword_no int, at int")
+    out = rows.mapInArrow(find, "book string, keyword string, text string, keyword_no int, at int")
     first = out.groupBy(F.substring("text", 1, 80).alias("sig")).agg(F.min(F.struct("book", "keyword_no", "at", "keyword", "text")).alias("f"))
     return first.select("f.book", "f.keyword", "f.text", "f.keyword_no", "f.at").orderBy("book", "keyword_no", "at").limit(limit)
 
@@ -95,8 +121,8 @@ def event_snippets(events: DataFrame, books: DataFrame, limit: int = 2, around:
 
     An automaton of all keywords finds places without their texts; the books that hold chosen passages are read once more, each with the list of its own. An event's first ``limit`` passages are among the first ``limit`` of each of its keywords
     that begin differently, in a task's books as in all books, as those come before any later passage of that keyword. So a task that reads books in order sends ``limit`` rows
-    for each keyword, and a keyword meets its events with ``limit`` rows, however many books have it. Keywords of more characters than ``bound`` do not go to all tasks: the books that have one are found by
-    q-grams, and a book is read for its own keywords.
+    for each keyword, and a keyword meets its events with ``limit`` rows, however many books have it. Keywords of more characters than ``bound`` are dealt into blocks, and books are read once for each. Those of more
+    than BLOCKS blocks do not go to all tasks: the books that have one are found by q-grams, and a book is read for its own keywords.
     """
     bare = F.regexp_replace(F.coalesce("name", F.lit("")), "之战|之变|事件", "")
     runs = F.slice(F.regexp_extract_all(F.substring(F.coalesce("description", F.lit("")), 1, 100), F.lit(r"[\x{4e00}-\x{9fff}]{2,4}"), 0), 1, 3)
@@ -105,13 +131,12 @@ def event_snippets(events: DataFrame, books: DataFrame, limit: int = 2, around:
     wanted = events.select("uid", F.posexplode(keyed).alias("keyword_no", "keyword"))
     words = wanted.select("keyword").distinct()
     texts = books.select(F.col("name").cast("string").alias("book"), "text").where("book IS NOT NULL AND text IS NOT NULL")
-    held = small(words, bound)
+    checkpoint_dir(texts.sparkSession)
+    held = in_blocks(words, BLOCKS, bound)
     if held is None:
         hits = by_grams(texts.withColumnRenamed("book", "id"), words.select(F.col("keyword").alias("name"), F.col("keyword").alias("uid")))
-        texts = texts.join(hits.groupBy(F.col("id").alias("book")).agg(F.collect_set("uid").alias("words")), "book")
-    shared = None if held is None else texts.sparkSession.sparkContext.broadcast([word for (word,) in held])
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = texts.hint("merge").join(hits.groupBy(F.col("id").alias("book")).agg(F.collect_set("uid").alias("words")), "book")
+    def find(shared: Broadcast | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = None if shared is None else Passages(automaton(shared.value), around, limit)
         for batch in batches:
             rows = []
@@ -130,12 +155,16 @@ def event_snippets(events: DataFrame, books: DataFrame, limit: int = 2, around:
 
     alike = F.substring("text", 1, 80).alias("sig")
     place = lambda key, *order: F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    found = texts.mapInArrow(find, "book string, keyword string, at int, sig binary")
+    shared = [None] if held is None else [texts.sparkSession.sparkContext.broadcast([word for (word,) in block]) for block in held]
+    # each task sends rows for each keyword, so tasks are as many as cores need, not as the files have splits
+    scanned = texts if held is None else texts.coalesce(2 * max(1, texts.sparkSession.sparkContext.defaultParallelism))
+    parts = [scanned.mapInArrow(functools.partial(find, block), "book string, keyword string, at int, sig binary") for block in shared]
+    found = functools.reduce(DataFrame.union, parts)
     first = found.groupBy("keyword", "sig").agg(F.min(F.struct("book", "at")).alias("f")).select("keyword", "sig", "f.*")
     first = first.withColumn("r", place("keyword", "book", "at")).where(F.col("r") <= limit)
     chosen = first.groupBy("book").agg(F.collect_list(F.struct("keyword", "at", "sig")).alias("chosen"))
     first = texts.select("book", "text").join(chosen, "book").mapInArrow(read, "book string, keyword string, at int, text string")
-    own = wanted.join(first, "keyword").groupBy("uid", alike).agg(F.min(F.struct("book", "keyword_no", "at", "text")).alias("f")).select("uid", "f.*")
+    own = wanted.join(first.hint("merge"), "keyword").groupBy("uid", alike).agg(F.min(F.struct("book", "keyword_no", "at", "text")).alias("f")).select("uid", "f.*")
     return own.withColumn("r", place("uid", "book", "keyword_no", "at")).where(F.col("r") <= limit).drop("r")
 
 
@@ -146,7 +175,9 @@ CORPUS = "rows long, words long"
 
 def write_index(docs: DataFrame, text: Column, path: str, key: str = "uid") -> None:
     """Writes postings (term, key, tf, n: words of the row) and corpus figures below path."""
-    counted = docs.select(F.col(key).cast("string").alias("key"), tokens(text).alias("t")).withColumn("n", F.size("t").cast("long"))
+    # spread, else the few tasks of a small file hold all terms
+    held = spread(docs.select(F.col(key).cast("string").alias("key"), text.alias("text")))
+    counted = held.select("key", tokens(F.col("text")).alias("t")).withColumn("n", F.size("t").cast("long"))
     rows = counted.select("key", "n", F.explode("t").alias("term")).groupBy("term", "key").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
     rows.select("term", "key", "tf", "n").repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{path}/postings")
     counted.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).write.parquet(f"{path}/corpus")

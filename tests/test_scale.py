@@ -2,7 +2,16 @@
 
 import contextlib
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from kinloom.operators.automaton import in_blocks
+from kinloom.operators.merge import _FOLDED, _Fold
+from kinloom.operators.order import spread
+from kinloom.operators.repair import by_grams
+from kinloom.operators.search import event_snippets, snippets, write_index
 from kinloom.plans.queries import QUERIES
+from kinloom.sources.models import Stub, ask_once
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +36,62 @@ def test_names_resolved_without_broadcasts(spark):
     skew = {"spark_sql_adaptive_forceOptimizeSkewedJoin": "true", "spark_sql_adaptive_skewJoin_skewedPartitionThresholdInBytes": "1b", "spark_sql_adaptive_skewJoin_skewedPartitionFactor": "0.1", "spark_sql_adaptive_advisoryPartitionSizeInBytes": "1b"}
     with settings(spark, spark_sql_autoBroadcastJoinThreshold="-1", **skew):
         assert {q: QUERIES[q](spark, SF).count() for q in want} == want
+
+
+def test_grams_are_not_broadcast(spark):
+    """A row's q-grams are many rows, so no table of them is broadcast for its size as Spark takes it."""
+    texts = spark.range(50).selectExpr("id", "concat('here was Name', id, ' once') AS text")
+    names = spark.range(60).selectExpr("concat('Name', id) AS name", "concat('u', id) AS uid")
+    found = by_grams(texts, names)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.distinct().count() == sum(f"Name{j}" in f"here was Name{i} once" for i in range(50) for j in range(60))
+
+
+def test_keywords_in_blocks(spark):
+    """More keywords than one automaton takes are dealt into blocks, not sought by runs of their shortest one's length."""
+    books = spark.range(40).selectExpr("concat('b', lpad(id, 2, '0')) AS name", "concat('the word', id, ' and word', id + 1, ' of 之战') AS text")
+    events = spark.range(30).selectExpr("concat('e', id) AS uid", "concat('word', id, '之战') AS name", "'' AS description")
+    words = events.selectExpr("name AS keyword")
+    assert [len(b) > 0 for b in in_blocks(words, 9, 100)] == [True] * 3 and in_blocks(words, 2, 100) is None
+    rows = lambda bound: sorted(map(tuple, event_snippets(events, books, 2, 5, bound).collect()))
+    assert rows(200) == rows(2_000_000) != []
+
+
+def test_quick_answers_make_few_rounds(spark, tmp_path):
+    rows = spark.range(400).selectExpr("concat('p', id) AS prompt")
+    ledger = str(tmp_path / "ledger")
+    assert ask_once(rows, Stub, ledger, callers=1).where("output IS NOT NULL").count() == 400
+    assert spark.read.parquet(ledger).select("at").distinct().count() <= 4
+
+
+def test_snippets_hold_the_first_alone(spark):
+    """A task sends no more than the first ones; order and copies are as in a plain search."""
+    books = spark.range(300).selectExpr("lpad(299 - id, 3, '0') AS name", "repeat(concat(id % 250, ' the thing '), 20) AS text").union(spark.createDataFrame([(None, "the first")], "name string, text string"))
+    found = [tuple(r) for r in snippets(books, ["the", "thing"], 7, 4).collect()]
+    plain = {}
+    for name, text in books.collect():
+        for no, word in enumerate(["the", "thing"]):
+            at = text.find(word)
+            while at >= 0:
+                cut = text[max(at - 4, 0) : at + len(word) + 4].strip()
+                row = (name or "", no, at, word, cut, name)
+                plain[cut[:80]] = min(plain.get(cut[:80], row), row)
+                at = text.find(word, at + len(word) + 4)
+    assert found == [(name, word, cut, no, at) for _, no, at, word, cut, name in sorted(plain.values())[:7]]
+
+
+def test_work_of_small_files_is_spread(spark, tmp_path):
+    """One split of a file becomes the tasks of all cores before its terms are counted."""
+    docs = spark.range(200).selectExpr("id AS uid", "concat('word', id, ' is here') AS text").coalesce(1)
+    write_index(docs, F.col("text"), str(tmp_path / "i"))
+    assert spread(docs).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(str(tmp_path / "i/postings")).count() == 600
+
+
+def test_small_groups_leave_a_task_together():
+    """Groups of a pair each make one batch, not one batch each."""
+    state = _Fold()
+    for k, name in enumerate(("Ann", "Bea")):
+        state.add({"uid": f"u{k}", "original_name": name, "aliases": [], "role": None, "loyalty": [], "birth_year": None, "death_year": 5, "death_cause": None, "description": "", "seq": k})
+    out = pa.RecordBatch.from_pylist(list(state.rows()), _FOLDED)
+    assert out.num_rows == 2 and out.column("death_year").to_pylist() == [5, 5]
