@@ -51,6 +51,7 @@ def resolve_at(history: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Of the open intervals of a name only those are joined that a better node does not cover: as they are ordered by creation, a handful is left of any number of
     nodes with one name. They are thinned out within salted parts of a name first, so no task meets all nodes of a hot name.
+    Wanted names are joined by merging: they come out of parsed and exploded rows, of which Spark takes any number for a small table to broadcast.
     """
     wanted = wanted.select("name", "at").where("name <> ''").distinct()
     # a plain join, as in graph.resolve_names()
@@ -61,5 +62,5 @@ def resolve_at(history: DataFrame, wanted: DataFrame) -> DataFrame:
         before = Window.partitionBy(*part).orderBy("since", "node").rowsBetween(Window.unboundedPreceding, -1)
         opened = opened.withColumn("best", F.min("node").over(before)).where("best IS NULL OR node < best").drop("best")
     kept = opened.drop("salt").unionByName(rows.where("until IS NOT NULL"))
-    met = wanted.join(kept, "name").where("since <= at AND (until IS NULL OR until > at)").groupBy("name", "at").agg(F.min("node").alias("node"))
+    met = wanted.hint("merge").join(kept, "name").where("since <= at AND (until IS NULL OR until > at)").groupBy("name", "at").agg(F.min("node").alias("node"))
     return wanted.join(met, ["name", "at"], "left").select("name", "at", F.col("node.uid").alias("uid"), F.col("node.label").alias("label"))

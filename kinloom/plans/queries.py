@@ -331,7 +331,7 @@ def _(g):
     said = """'{"dynasties":[],"places":[],"persons":[{"uid":"q', k, '","original_name":"Chunk', k, '"}', if(seq % 7 = 0, concat(',{"uid":"q', p, '","original_name":"Again', p, '"}'), ''), '],"events":[{"uid":"y', k, '","name":"y","participants":["Chunk', k, '","Chunk', n, '"]}],"relations":[',
         '{"source":"Chunk', k, '","target":"Chunk', p, '","relation_type":"before"},{"source":"Chunk', k, '","target":"Chunk', n, '","relation_type":"after"},{"source":"Chunk', k, '","target":"Again', p, '","relation_type":"again"},{"source":"Chunk', k, '","target":"', original_name, '","relation_type":"knows"}]}'"""
     rows = g.person.selectExpr("seq", "original_name", "CAST(seq AS STRING) AS k", "CAST(seq - 1 AS STRING) AS p", "CAST(seq + 1 AS STRING) AS n")
-    rows = rows.select("seq", F.from_json(F.expr(f"concat({said})"), EXTRACTION).alias("result"))
+    rows = spread(rows).select("seq", F.from_json(F.expr(f"concat({said})"), EXTRACTION).alias("result"))
     return ingest.apply_results(g, rows).edges.where("src LIKE 'q%'").select("src", "rel_type", "dst")
 
 

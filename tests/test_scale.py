@@ -5,6 +5,7 @@ import contextlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from kinloom.operators.asof import resolve_at
 from kinloom.operators.automaton import in_blocks
 from kinloom.operators.merge import _FOLDED, _Fold
 from kinloom.operators.order import spread
@@ -12,6 +13,7 @@ from kinloom.operators.repair import by_grams
 from kinloom.operators.search import event_snippets, snippets, write_index
 from kinloom.plans.queries import QUERIES
 from kinloom.sources.models import Stub, ask_once
+from kinloom.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -95,3 +97,21 @@ def test_small_groups_leave_a_task_together():
         state.add({"uid": f"u{k}", "original_name": name, "aliases": [], "role": None, "loyalty": [], "birth_year": None, "death_year": 5, "death_cause": None, "description": "", "seq": k})
     out = pa.RecordBatch.from_pylist(list(state.rows()), _FOLDED)
     assert out.num_rows == 2 and out.column("death_year").to_pylist() == [5, 5]
+
+
+def test_wanted_names_are_not_broadcast(spark):
+    """Names wanted at an arrival are as many as a batch's mentions, however small a table Spark takes them for."""
+    history = spark.range(3).selectExpr("concat('n', id) AS name", "concat('u', id) AS uid", "'Person' AS label", "0 AS priority", "id AS seq", "CAST(NULL AS bigint) AS since", "CAST(NULL AS bigint) AS until")
+    found = resolve_at(history, spark.range(4).selectExpr("concat('n', id) AS name", "id AS at"))
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "since" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+    assert sorted((r.name, r.uid) for r in found.collect() if r.uid) == [("n0", "u0"), ("n1", "u1"), ("n2", "u2")]
+
+
+def test_results_are_parsed_by_all_cores(spark, monkeypatch):
+    """as_of_edges makes its results from a file of one split."""
+    seen = []
+    apply = ingest.apply_results
+    monkeypatch.setattr(ingest, "apply_results", lambda graph, rows: seen.append(rows.rdd.getNumPartitions()) or apply(graph, rows))
+    QUERIES["as_of_edges"](spark, SF)
+    assert seen[0] >= spark.sparkContext.defaultParallelism
