@@ -43,21 +43,21 @@ def connected(pairs: DataFrame) -> DataFrame:
     """(node, group) for the rows (node, key): nodes that share a key, or are joined through others, get one group. Nodes that share no key have no row.
 
     Keys of one node are left out first. Smallest labels go from nodes to keys and back until nothing changes; each round is cut by checkpoint() in the session's
-    checkpoint folder. A hot key is a partial minimum and a join, never pairs.
+    checkpoint folder. A hot key is a partial minimum and a join, never pairs. Joins are by merging: keys grow with the rows, and Spark may take checkpointed or exploded ones for few.
     """
     spark = pairs.sparkSession
     checkpoint_dir(spark)
     pairs = pairs.distinct()
     shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    pairs = pairs.join(shared, "key", "left_semi").select("node", "key").checkpoint()
+    pairs = pairs.join(shared.hint("merge"), "key", "left_semi").select("node", "key").checkpoint()
     labels = pairs.select("node").distinct().withColumn("group", F.col("node")).checkpoint()
     while True:
-        least = pairs.join(labels, "node").groupBy("key").agg(F.min("group").alias("g"))
-        moved = pairs.join(least, "key").groupBy("node").agg(F.min("g").alias("g"))
-        following = labels.join(moved, "node").select("node", F.least("group", "g").alias("group"), (F.col("g") < F.col("group")).alias("changed"))
+        least = pairs.join(labels.hint("merge"), "node").groupBy("key").agg(F.min("group").alias("g"))
+        moved = pairs.join(least.hint("merge"), "key").groupBy("node").agg(F.min("g").alias("g"))
+        following = labels.join(moved.hint("merge"), "node").select("node", F.least("group", "g").alias("group"), (F.col("g") < F.col("group")).alias("changed"))
         # a node also takes the label of the node that its label names
         jump = following.select(F.col("node").alias("group"), F.col("group").alias("up"))
-        following = following.join(jump, "group", "left").select("node", F.least("group", F.coalesce("up", "group")).alias("group"), "changed").checkpoint()
+        following = following.join(jump.hint("merge"), "group", "left").select("node", F.least("group", F.coalesce("up", "group")).alias("group"), "changed").checkpoint()
         labels = following.drop("changed")
         if following.where("changed").isEmpty():
             return labels
@@ -160,7 +160,7 @@ def fold_persons(records: DataFrame, stored: DataFrame | None = None) -> DataFra
     pairs = record_keys
     if stored is not None:
         stored = stored.select(*PERSON_COLUMNS)
-        near = keyed(stored, "uid").join(record_keys.select("key").distinct(), "key", "left_semi")
+        near = keyed(stored, "uid").join(record_keys.select("key").distinct().hint("merge"), "key", "left_semi")
         pairs = record_keys.union(near.select(F.concat(F.lit("s"), "uid").alias("node"), "key"))
     groups = connected(pairs)
     empty = F.array().cast("array<string>")
@@ -186,11 +186,11 @@ def fold_persons(records: DataFrame, stored: DataFrame | None = None) -> DataFra
     many = groups.where("node LIKE 'r%'").select(F.substring("node", 2, 30).cast("long").alias("id"), "group")
     # a record that shares nothing becomes a node as it is, and never goes to Python
     names = F.transform(all_names(F.col("original_name"), F.col("aliases")), lambda n: F.struct(n.alias("name"), F.col("seq").alias("since"), F.lit(None).cast("long").alias("until")))
-    alone = listed(records.join(many.select("id"), "id", "left_anti")).withColumn("names", names).select(*PERSON_COLUMNS, "names")
-    rows = records.join(many, "id").select(*PERSON_COLUMNS, "id", "group")
+    alone = listed(records.join(many.select("id").hint("merge"), "id", "left_anti")).withColumn("names", names).select(*PERSON_COLUMNS, "names")
+    rows = records.join(many.hint("merge"), "id").select(*PERSON_COLUMNS, "id", "group")
     if stored is not None:
         held = groups.where("node LIKE 's%'").select(F.expr("substring(node, 2)").alias("uid"), "group")
-        rows = stored.join(held, "uid").select(*PERSON_COLUMNS, F.lit(None).cast("long").alias("id"), "group").union(rows)
+        rows = stored.join(held.hint("merge"), "uid").select(*PERSON_COLUMNS, F.lit(None).cast("long").alias("id"), "group").union(rows)
     # nulls come first: stored nodes by creation, then records by arrival
     order = ["group", F.col("id").isNotNull(), "seq", "id", "uid"]
     return alone.union(rows.repartition("group").sortWithinPartitions(*order).mapInArrow(fold, f"{PERSON_SCHEMA}, names {NAMES}"))
@@ -202,4 +202,4 @@ def merge_persons(records: DataFrame, stored: DataFrame | None = None) -> DataFr
     if stored is None:
         return folded.select(*PERSON_COLUMNS)
     folded = folded.checkpoint()
-    return stored.select(*PERSON_COLUMNS).join(folded.select("uid"), "uid", "left_anti").select(*PERSON_COLUMNS).union(folded.select(*PERSON_COLUMNS))
+    return stored.select(*PERSON_COLUMNS).join(folded.select("uid").hint("merge"), "uid", "left_anti").select(*PERSON_COLUMNS).union(folded.select(*PERSON_COLUMNS))

@@ -4,10 +4,11 @@ import contextlib
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from kinloom.operators.asof import resolve_at
 from kinloom.operators.automaton import in_blocks
-from kinloom.operators.merge import _FOLDED, _Fold
+from kinloom.operators.merge import _FOLDED, _Fold, merge_persons
 from kinloom.operators.order import spread
 from kinloom.operators.repair import by_grams
 from kinloom.operators.search import event_snippets, snippets, write_index
@@ -99,6 +100,20 @@ def test_small_groups_leave_a_task_together():
     assert out.num_rows == 2 and out.column("death_year").to_pylist() == [5, 5]
 
 
+def test_keys_of_a_batch_are_not_broadcast(spark, monkeypatch):
+    """Keys, labels and uids of a batch grow with it, so no step of the fold sends them whole through the driver, however few Spark takes them for."""
+    plans = []
+    cut = DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, *a))
+    blank = {"role": F.lit("x"), "loyalty": F.expr("CAST(array() AS array<string>)"), "birth_year": F.lit(1), "death_year": F.lit(1), "death_cause": F.lit(""), "description": F.lit("")}
+    stored = spark.range(6).selectExpr("concat('s', id) AS uid", "concat('Old', id) AS original_name", "array(concat('Nick', id)) AS aliases", "id AS seq").withColumns(blank)
+    records = spark.range(3, 9).selectExpr("concat('r', id) AS uid", "concat('New', id) AS original_name", "array(concat('Nick', id)) AS aliases", "id + 10 AS seq").withColumns(blank)
+    nodes = merge_persons(records, stored)
+    plans.append(nodes._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r.uid, *r.aliases) for r in nodes.collect()) == [(f"r{k}", f"Nick{k}") for k in (6, 7, 8)] + [(f"s{k}", f"Nick{k}") for k in range(3)] + [(f"s{k}", f"New{k}", f"Nick{k}") for k in (3, 4, 5)]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_wanted_names_are_not_broadcast(spark):
     """Names wanted at an arrival are as many as a batch's mentions, however small a table Spark takes them for."""
     history = spark.range(3).selectExpr("concat('n', id) AS name", "concat('u', id) AS uid", "'Person' AS label", "0 AS priority", "id AS seq", "CAST(NULL AS bigint) AS since", "CAST(NULL AS bigint) AS until")
