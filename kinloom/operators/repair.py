@@ -20,7 +20,7 @@ from .order import spread
 from .write import upsert_edges, without, without_parallels, without_self_loops
 
 
-#: Bits of the table of q-grams that an index has.
+#: Bits of a table of marks.
 MARKS = 1 << 26
 
 
@@ -52,105 +52,122 @@ def name_map(graph: Graph) -> DataFrame:
 
 
 def mentions(texts: DataFrame, names: DataFrame, shortest: int = 2, bound: int = SMALL) -> DataFrame:
-    """(id, uid) where a text contains a name of ``shortest`` characters or more. texts: (id, text); names: (name, uid). Null texts and names find nothing.
+    """(id, uid) where a text contains a name of ``shortest`` characters or more. texts: (id, text); names: (name, uid). Null texts and names find nothing."""
+    named = names.where((F.length("name") >= shortest) & F.col("uid").isNotNull()).select("name", "uid").distinct()
+    return words_in(texts, named.select("name").distinct(), bound).join(named.hint("merge"), "name").select("id", "uid").distinct()
+
 
-    Names whose characters and uids number up to ``bound`` go to all tasks, and each text is read once by their automaton; more are found by by_grams().
+def words_in(texts: DataFrame, words: DataFrame, bound: int = SMALL) -> DataFrame:
+    """(id, name): the words, a column name, that a text contains, each once, and perhaps some that are not among the words; those go when the words are joined.
+
+    Words whose characters number up to ``bound`` go to all tasks, and each text is read once by their automaton; of more, runs() finds them.
     """
-    named = names.where((F.length("name") >= shortest) & F.col("uid").isNotNull()).select("name", "uid").distinct()
-    held = small(named, bound)
+    held = small(words, bound)
     if held is None:
-        return by_grams(texts, named).distinct()
-    pairs = texts.sparkSession.sparkContext.broadcast(held)
+        return runs(texts, words)
+    shared = texts.sparkSession.sparkContext.broadcast([word for (word,) in held])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uids: dict[str, list[str]] = {}
-        for name, uid in pairs.value:
-            uids.setdefault(name, []).append(uid)
-        look = automaton(uids)
+        look = automaton(shared.value)
         for batch in batches:
-            found = [sorted({uid for name, _ in places(look, text) for uid in uids[name]}) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.string()))], names=["id", "uids"])
+            found = [sorted({word for word, _ in places(look, text)}) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.string()))], names=["id", "names"])
 
-    schema = T.StructType([texts.schema["id"], T.StructField("uids", T.ArrayType(T.StringType()))])
-    return texts.select("id", "text").mapInArrow(find, schema).select("id", F.explode("uids").alias("uid")).distinct()
+    schema = T.StructType([texts.schema["id"], T.StructField("names", T.ArrayType(T.StringType()))])
+    return texts.select("id", "text").mapInArrow(find, schema).select("id", F.explode("names").alias("name"))
 
 
 def by_grams(texts: DataFrame, named: DataFrame) -> DataFrame:
-    """(id, uid) where a text contains a name, for any number of distinct (name, uid).
+    """(id, uid) where a text contains a name, for any number of distinct (name, uid)."""
+    return runs(texts, named.select("name")).join(named.hint("merge"), "name").select("id", "uid")
 
-    Names are indexed by the one of their q-grams that the fewest names have, q being the shortest name's length. An equi-join with a text's distinct q-grams gives the
-    names to look for in it. A text sends each of its q-grams once at most, and of those that are not in the index only some that share a mark with one that is.
-    One number, q, and the marks, a table of fixed size, reach the driver. Joins are by merging: Spark takes a row's q-grams for
-    one row and would broadcast them.
+
+def runs(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, name): of each text the distinct runs of characters that may be one of any number of words, a column name; all that are words are among them.
+
+    A run is sent if it is as long as some word that begins with the same q characters, q being the shortest word's length, and shares a mark with a word. So a text
+    sends the words that it contains and few others, however many words have parts in common with it; an equi-join with the words tells.
+    The lengths of words and the marks, two tables of fixed size, reach the driver and all tasks. Joins are by merging: Spark takes a text's runs for one row and would broadcast them.
     """
     checkpoint_dir(texts.sparkSession)
-    q = named.agg(F.min(F.length("name")).alias("q")).first().q
-    if q is None:
-        return texts.select("id", F.lit(None).cast("string").alias("uid")).where("false")
-    grams = _grams_in(spread(named.select("name", "uid")), "name", ["name", "uid"], q)
-    uses = grams.groupBy("gram").agg(F.count("*").alias("uses"))
-    index = grams.join(uses.hint("merge"), "gram").groupBy("name", "uid").agg(F.min(F.struct("uses", "gram")).alias("g")).select("name", "uid", F.col("g.gram").alias("gram"))
-    index = index.checkpoint()
-    found = _grams_in(spread(texts.select("id", "text")), "text", ["id"], q, _marks(index)).join(index.hint("merge"), "gram").select("id", "name", "uid")
-    return found.join(texts.hint("merge"), "id").where(F.contains("text", "name")).select("id", "uid")
-
-
-def _marks(index: DataFrame) -> dict[int, bytes]:
-    """A bit for the CRC of each q-gram of the index, in pieces of 32,768 bits."""
-    mark = F.pmod(F.crc32(F.col("gram").cast("binary")), F.lit(MARKS)) + 1
-    pieces = index.select(mark.alias("m")).groupBy(F.bitmap_bucket_number("m").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("m")).alias("bits"))
+    words = words.where("name IS NOT NULL").checkpoint()
+    lengths = sorted(row.n for row in words.select(F.length("name").alias("n")).distinct().collect())
+    if not lengths:
+        return texts.select("id", F.lit(None).cast("string").alias("name")).where("false")
+    start = F.substring("name", 1, lengths[0])
+    starts = words.select(F.explode(F.array(start, F.concat(F.length("name").cast("string"), F.lit(" "), start))).alias("name"))
+    return _runs_in(spread(texts.select("id", "text")), lengths, _marks(starts), _marks(words))
+
+
+def _marks(words: DataFrame) -> dict[int, bytes]:
+    """A bit for the CRC of each word, in pieces of 32,768 bits."""
+    mark = F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(MARKS)) + 1
+    pieces = words.select(mark.alias("m")).groupBy(F.bitmap_bucket_number("m").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("m")).alias("bits"))
     return {row.k - 1: bytes(row.bits) for row in pieces.collect()}
 
 
-def _grams_in(rows: DataFrame, text: str, keep: list[str], q: int, marks: dict[int, bytes] | None = None) -> DataFrame:
-    """(*keep, gram): the distinct runs of q characters of each row's text; with marks only those that have one."""
-    shared = rows.sparkSession.sparkContext.broadcast(marks)
+def _marked(bits: dict[int, bytes], word: str) -> bool:
+    piece, at = divmod(zlib.crc32(word.encode()) % MARKS, 32_768)
+    return piece in bits and bits[piece][at >> 3] >> (at & 7) & 1 == 1
+
+
+def _runs_in(texts: DataFrame, lengths: list[int], starts: dict[int, bytes], marks: dict[int, bytes]) -> DataFrame:
+    """(id, name): each text's distinct marked runs of one of the lengths that their start, of the least length, is marked with."""
+    shared = texts.sparkSession.sparkContext.broadcast((starts, marks))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known = shared.value, {}
+        (starts, marks), q = shared.value, lengths[0]
+        known: dict[str, list[int]] = {}
 
-        def marked(gram: str) -> bool:
-            if bits is None:
-                return True
-            piece, at = divmod(zlib.crc32(gram.encode()) % MARKS, 32_768)
-            return piece in bits and bits[piece][at >> 3] >> (at & 7) & 1 == 1
+        def sizes_of(start: str) -> list[int]:
+            if len(known) == 500_000:
+                known.clear()
+            known[start] = found = [n for n in lengths if _marked(starts, f"{n} {start}")] if _marked(starts, start) else []
+            return found
 
         for batch in batches:
-            def found_in(places: list[int], grams: list[str], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
-                at = pa.array(places, pa.int32())
-                return pa.RecordBatch.from_arrays([*[batch.column(c).take(at) for c in keep], pa.array(grams, pa.string())], names=[*keep, "gram"])
-
-            places, grams = [], []
-            for k, value in enumerate(batch.column(text)):
-                value = value.as_py() or ""
-                for gram in {value[i : i + q] for i in range(len(value) - q + 1)}:
-                    if (found := known.get(gram)) is None:
-                        if len(known) == 500_000:
-                            known.clear()
-                        found = known[gram] = marked(gram)
-                    if found:
+            def found_in(places: list[int], names: list[str], batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(places, pa.int32())), pa.array(names, pa.string())], names=["id", "name"])
+
+            places, names = [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                if text is None:
+                    continue
+                found = set()
+                for i in range(len(text) - q + 1):
+                    start = text[i : i + q]
+                    if (sizes := known.get(start)) is None:
+                        sizes = sizes_of(start)
+                    for n in sizes:
+                        if i + n <= len(text):
+                            found.add(text[i : i + n])
+                for run in found:
+                    if _marked(marks, run):
                         places.append(k)
-                        grams.append(gram)
-                if len(grams) > 200_000:
-                    yield found_in(places, grams)
-                    places, grams = [], []
-            yield found_in(places, grams)
+                        names.append(run)
+                if len(names) > 200_000:
+                    yield found_in(places, names)
+                    places, names = [], []
+            yield found_in(places, names)
 
-    return rows.mapInArrow(cut, T.StructType([*[rows.schema[c] for c in keep], T.StructField("gram", T.StringType())]))
+    return texts.mapInArrow(cut, T.StructType([texts.schema["id"], T.StructField("name", T.StringType())]))
 
 
 def missing_links(graph: Graph) -> DataFrame:
     """(src, dst) participations that an event's participants or text imply and the graph lacks; none after death, but memorials."""
-    names = name_map(graph)
+    # years of death go with the names, which are fewer than the links
+    deaths = graph.person.groupBy("uid").agg(F.collect_list(F.struct(F.nullif("death_year", F.lit(0)).alias("death"))).alias("deaths"))
+    names = name_map(graph).where("name IS NOT NULL").join(deaths.hint("merge"), "uid")
     text = F.concat_ws(" ", F.coalesce("description", F.lit("")), F.coalesce("name", F.lit("")))
-    listed = graph.event.select(F.col("uid").alias("id"), F.explode("participants").alias("name")).join(names.hint("merge"), "name").select("id", "uid").where("uid IS NOT NULL")
-    found = mentions(graph.event.select(F.col("uid").alias("id"), text.alias("text")), names)
-    links = listed.union(found).distinct()
-    deaths = graph.person.select("uid", F.nullif("death_year", F.lit(0)).alias("death"))
+    listed = graph.event.select(F.col("uid").alias("id"), F.explode("participants").alias("name"))
+    found = words_in(graph.event.select(F.col("uid").alias("id"), text.alias("text")), names.where(F.length("name") >= 2).select("name"))
+    # dealt by event once, for telling links apart and for their events
+    links = listed.union(found).join(names.hint("merge"), "name").select("id", "uid", "deaths").repartition("id").distinct()
     events = graph.event.select(F.col("uid").alias("id"), F.nullif("year", F.lit(0)).alias("year"), _memorial(F.col("description"), F.col("name")).alias("memorial"))
-    alive = links.join(deaths.hint("merge"), "uid").join(events.hint("merge"), "id").where(F.coalesce(F.col("year") <= F.col("death"), F.lit(True)) | F.col("memorial"))
+    dated = links.join(events.hint("merge"), "id").select("uid", "id", "year", "memorial", F.explode("deaths.death").alias("death"))
+    alive = dated.where(F.coalesce(F.col("year") <= F.col("death"), F.lit(True)) | F.col("memorial")).select("uid", "id")
     have = graph.edges.where(F.col("rel_type") == PARTICIPATED).select(F.col("src").alias("uid"), F.col("dst").alias("id"))
-    return alive.select("uid", "id").join(have.hint("merge"), ["uid", "id"], "left_anti").select(F.col("uid").alias("src"), F.col("id").alias("dst"))
+    return alive.join(have.hint("merge"), ["uid", "id"], "left_anti").select(F.col("uid").alias("src"), F.col("id").alias("dst"))
 
 
 def repair_events(graph: Graph, seq: int) -> Graph:

@@ -130,3 +130,20 @@ def test_results_are_parsed_by_all_cores(spark, monkeypatch):
     monkeypatch.setattr(ingest, "apply_results", lambda graph, rows: seen.append(rows.rdd.getNumPartitions()) or apply(graph, rows))
     QUERIES["as_of_edges"](spark, SF)
     assert seen[0] >= spark.sparkContext.defaultParallelism
+
+
+def _rows_joined(plan):
+    """Rows that each join by merging has put out."""
+    own = [plan.metrics().apply("numOutputRows").value()] if plan.nodeName().startswith("SortMergeJoin") else []
+    return own + [n for k in range(plan.children().size()) for n in _rows_joined(plan.children().apply(k))]
+
+
+def test_names_alike_make_no_candidates(spark):
+    """Digits of a text are parts of many names; only names that the text has leave it or meet it."""
+    names = spark.range(20_000).selectExpr("concat('Nick', id) AS name", "concat('u', id) AS uid")
+    texts = spark.range(300).selectExpr("id", "concat('Order ', 1000000 + id * 7919, ' of Nick', id, '!') AS text")
+    with settings(spark, spark_sql_adaptive_enabled="false"):
+        found = by_grams(texts, names)
+        rows = sorted((r.id, r.uid) for r in found.collect())
+    assert rows == sorted({(i, f"u{str(i)[:n]}") for i in range(300) for n in range(1, len(str(i)) + 1)})
+    assert max(_rows_joined(found._jdf.queryExecution().executedPlan())) == len(rows)
