@@ -122,7 +122,7 @@ def event_snippets(events: DataFrame, books: DataFrame, limit: int = 2, around:
     An automaton of all keywords finds places without their texts; the books that hold chosen passages are read once more, each with the list of its own. An event's first ``limit`` passages are among the first ``limit`` of each of its keywords
     that begin differently, in a task's books as in all books, as those come before any later passage of that keyword. So a task that reads books in order sends ``limit`` rows
     for each keyword, and a keyword meets its events with ``limit`` rows, however many books have it. Keywords of more characters than ``bound`` are dealt into blocks, and books are read once for each. Those of more
-    than BLOCKS blocks do not go to all tasks: the books that have one are found by q-grams, and a book is read for its own keywords.
+    than BLOCKS blocks do not go to all tasks: the books that have one are found by by_grams(), and a book is read for its own keywords.
     """
     bare = F.regexp_replace(F.coalesce("name", F.lit("")), "之战|之变|事件", "")
     runs = F.slice(F.regexp_extract_all(F.substring(F.coalesce("description", F.lit("")), 1, 100), F.lit(r"[\x{4e00}-\x{9fff}]{2,4}"), 0), 1, 3)
